@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, token_output, warc
+from . import decontaminate, jaccard_join, mixing, quality_rules, token_output, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _tables("documents labels", quality_rules.op1_quality_rules),
         "op2_decontaminate": _tables("documents benchmark", decontaminate.op2_decontaminate),
+        "op3_jaccard_join": _tables("documents", jaccard_join.op3_jaccard_join),
         "op6_mixing": _tables("documents", mixing.op6_mixing),
         "op9_token_output": _tables("documents", lambda d: token_output.op9_token_output(d, tokenizer_path())),
         "op10_warc": _tables("pages", warc.op10_warc),
@@ -59,6 +60,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN words USING (row_id) LEFT JOIN found USING (row_id)
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM docs),
+sizes AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), chr(10))) END AS class FROM sets),
+reps AS (SELECT class, min(doc_id) AS rep, min(n) AS n, count(*) AS class_size FROM sizes WHERE class IS NOT NULL GROUP BY class),
+shingles AS (SELECT rep, n, unnest(s) AS x FROM sets JOIN reps ON sets.doc_id = reps.rep),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
+reach AS (SELECT rep AS node, rep AS other FROM reps UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+parts AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id, coalesce(class_size, 1)::BIGINT AS class_size
+FROM sizes s LEFT JOIN reps r ON s.class = r.class LEFT JOIN parts p ON p.node = r.rep
+"""
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
@@ -71,4 +91,4 @@ FROM p LEFT JOIN largest USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op6_mixing": mixing.ORACLE, "op10_warc": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": mixing.ORACLE, "op10_warc": OP10_SQL}
