@@ -66,7 +66,7 @@ class Ftrl:
 
     def __init__(self, bits: int = BITS):
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
-        self.bias = 0.0
+        self.prior = self.bias = 0.0
         self.bias_z = self.bias_n = 0.0
 
     def weights(self, at=slice(None)) -> np.ndarray:
@@ -75,7 +75,7 @@ class Ftrl:
 
     def learn(self, at: np.ndarray, x: np.ndarray, label: int) -> None:
         w = self.weights(at)
-        p = 1 / (1 + np.exp(-np.clip(w @ x + self.bias, -35, 35)))
+        p = 1 / (1 + np.exp(-np.clip(w @ x + self.prior + self.bias, -35, 35)))
         g = (p - label) * x
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
@@ -96,11 +96,13 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, count = np.unique(f, return_counts=True)
             examples.append((at.astype(np.int32), (SCALE * count / (SHRINK + len(f))).astype(np.float32), labels[i]))
     model = Ftrl()
+    ones = sum(e[2] for e in examples)
+    model.prior = float(np.log((ones + 1) / (len(examples) - ones + 1)))
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in order.permutation(len(examples)):
             model.learn(*examples[i])
-    yield pa.RecordBatch.from_pydict({"weights": [model.weights().astype(np.float32).tobytes()], "bias": [float(model.bias)]})
+    yield pa.RecordBatch.from_pydict({"weights": [model.weights().astype(np.float32).tobytes()], "bias": [float(model.prior + model.bias)]})
 
 
 def fold(id_col: str = "doc_id", folds: int = FOLDS) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, mixing, quality_classifier, quality_rules, token_output, warc
+from . import decontaminate, jaccard_join, language_id, lm_score, mixing, quality_classifier, quality_rules, token_output, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": _tables("documents labels", quality_rules.op1_quality_rules),
         "op2_decontaminate": _tables("documents benchmark", decontaminate.op2_decontaminate),
         "op3_jaccard_join": _tables("documents", jaccard_join.op3_jaccard_join),
+        "op4_lm_score": _tables("documents", lm_score.op4_lm_score),
         "op5_quality_classifier": _tables("documents labels", quality_classifier.op5_quality_classifier),
         "op6_mixing": _tables("documents", mixing.op6_mixing),
         "op7_language_id": _tables("documents", language_id.op7_language_id),

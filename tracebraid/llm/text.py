@@ -55,19 +55,39 @@ class Words:
     def __init__(self, texts: list[bytes]):
         self.data = b"\n".join(texts) + b"\n"
         a = np.frombuffer(self.data, np.uint8)
-        edge = np.diff(_IS_SPACE[a].view(np.int8), prepend=np.int8(1))
-        self.starts = np.flatnonzero(edge == -1)
-        ends = np.flatnonzero(edge == 1)
-        self.ends = ends[len(ends) - len(self.starts) :]
-        power, inverse = _powers_to(len(a))
-        total = np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)
-        self.hashes = total[self.ends - 1] if len(self.starts) else np.zeros(0, np.uint64)
-        before = np.where(self.starts > 0, total[self.starts - 1], np.uint64(0)) if len(self.starts) else self.hashes
-        self.hashes = mix((self.hashes - before) * inverse[self.starts])
+        parts, begin = [], 0
+        while begin < len(a):
+            end = _segment_end(a, begin)
+            parts.append(_hash_segment(a[begin:end], begin))
+            begin = end
+        self.starts, self.ends, self.hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.starts, offsets)
 
 
+def _segment_end(a: np.ndarray, begin: int) -> int:
+    """A place after white space, about CHUNK_BYTES on; later only if a word is longer than that."""
+    end = begin + 2 * CHUNK_BYTES
+    if end >= len(a):
+        return len(a)
+    spaces = np.flatnonzero(_IS_SPACE[a[begin:end]])
+    while not len(spaces) and end < len(a):
+        at, end = end, end + CHUNK_BYTES
+        spaces = np.flatnonzero(_IS_SPACE[a[at:end]]) + (at - begin)
+    return begin + int(spaces[-1]) + 1 if len(spaces) else len(a)
+
+
+def _hash_segment(a: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    edge = np.diff(_IS_SPACE[a].view(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return starts, starts, np.zeros(0, np.uint64)
+    power, inverse = _powers_to(len(a))
+    total = np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    return starts + offset, ends + offset, mix((total[ends - 1] - before) * inverse[starts])
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
     """Rows of a batch in runs of about ``limit`` bytes; a longer text is a run of its own.
 
