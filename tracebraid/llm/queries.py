@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, lm_score, mixing, quality_classifier, quality_rules, token_output, warc
+from . import decontaminate, jaccard_join, language_id, lm_score, mixing, quality_classifier, quality_rules, token_output, url_filter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": _tables("documents labels", quality_classifier.op5_quality_classifier),
         "op6_mixing": _tables("documents", mixing.op6_mixing),
         "op7_language_id": _tables("documents", language_id.op7_language_id),
+        "op8_url_filter": _tables("pages", url_filter.op8_url_filter),
         "op9_token_output": _tables("documents", lambda d: token_output.op9_token_output(d, tokenizer_path())),
         "op10_warc": _tables("pages", warc.op10_warc),
     }
@@ -94,4 +95,4 @@ FROM p LEFT JOIN largest USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": mixing.ORACLE, "op10_warc": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": mixing.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_warc": OP10_SQL}
