@@ -33,7 +33,7 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAGS = "(?i)<(?:link|meta)\\b[^>]*>"
 CANONICAL = "(?i)\\brel\\s*=\\s*[\"']?canonical\\b"
-HREF = "(?i)\\bhref\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
+HREF = "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
 REFRESH = "(?i)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
 TARGET = "(?i)\\bcontent\\s*=\\s*[\"'][^\"'>]*\\burl\\s*=\\s*([^\"'>\\s]+)"
 
@@ -72,8 +72,9 @@ def longest_first(rules) -> list[tuple[str, str, str]]:
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges (source, target) between addresses, from canonical links and refresh redirects in the html."""
     tag = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag"))
-    href = F.concat(*[F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)])
-    target = F.when(F.col("tag").rlike(CANONICAL), href).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
+    target = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
+    tag = tag.select("url", target.alias("target")).filter("target <> ''").distinct()
+    target = F.col("target")
     scheme = F.concat(F.regexp_extract("url", "^([^:]*://)", 1), F.regexp_extract("url", "://([^/?#]*)", 1))
     whole = (
         F.when(target.contains("://"), target)
@@ -134,9 +135,7 @@ tags AS (
 targets AS (
   SELECT url, address, CASE
     WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
-      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1)
-        || regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2)
-        || regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)
+      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
     WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
       THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["''][^"''>]*\burl\s*=\s*([^"''>\s]+)', 1) END AS t FROM tags),
 whole AS (
