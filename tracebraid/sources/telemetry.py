@@ -28,7 +28,11 @@ def with_seconds(df: DataFrame, time: str = "time") -> DataFrame:
 
 
 def read_cases(spark: SparkSession, base: str) -> Telemetry:
-    """All case folders below ``base`` at once: ``<case>/{normal,abnormal}_{traces,metrics,logs}.parquet`` and ``<case>/env.json``."""
+    """All case folders below ``base`` at once: ``<case>/{normal,abnormal}_{traces,metrics,logs}.parquet`` and ``<case>/env.json``.
+
+    Times in nanoseconds, which Spark has no type for, are read as numbers.
+    """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
 
     def frames(kind: str) -> DataFrame:
         def one(win: str) -> DataFrame:
