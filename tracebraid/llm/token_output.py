@@ -2,8 +2,8 @@
 
 Documents are dealt out by ranges of their ids.  Each range is written by one
 task as one Arrow IPC file: record batches of two fixed-size-list columns,
-``ids`` and ``mask`` (1 for a real id, 0 for padding at a file's end), all
-sequences of the same length.  Nothing is compressed, so a memory map gives any
+``ids`` and ``mask`` (bits: true for a real id, false for padding at a file's end),
+all sequences of the same length.  Nothing is compressed, so a memory map gives any
 sequence without a copy.  A second small file beside it lists the documents:
 ``doc_id``, ``start`` within the file and ``n_tokens``.
 
@@ -86,9 +86,9 @@ class _SequenceWriter:
     def __init__(self, sink, kind, sequence: int):
         self.kind, self.sequence, self.rest, self.total = np.dtype(kind), sequence, bytearray(), 0
         self.ids = pa.list_(pa.from_numpy_dtype(self.kind), sequence)
-        self.mask = pa.list_(pa.uint8(), sequence)
+        self.mask = pa.list_(pa.bool_(), sequence)
         self.writer = pa.ipc.new_file(sink, pa.schema([("ids", self.ids), ("mask", self.mask)]))
-        self.ones = np.ones(BATCH_ROWS * sequence, np.uint8)
+        self.ones = np.ones(BATCH_ROWS * sequence, bool)
 
     def add(self, ids: bytes) -> int:
         start = self.total
@@ -113,8 +113,8 @@ class _SequenceWriter:
         if self.rest:
             n = len(self.rest) // self.kind.itemsize
             rows = -(-n // self.sequence)
-            mask = np.zeros(rows * self.sequence, np.uint8)
-            mask[:n] = 1
+            mask = np.zeros(rows * self.sequence, bool)
+            mask[:n] = True
             self._write(bytes(self.rest) + bytes((rows * self.sequence - n) * self.kind.itemsize), mask)
         self.writer.close()
 
@@ -241,7 +241,8 @@ def read_sequence(base: str, file: str, number: int) -> tuple[np.ndarray, np.nda
     fs, folder = _files(base)
     source = pa.memory_map(f"{folder}/{file}.arrow") if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(f"{folder}/{file}.arrow")
     batch = pa.ipc.open_file(source).get_batch(number // BATCH_ROWS)
-    return tuple(batch.column(c)[number % BATCH_ROWS].values.to_numpy() for c in ("ids", "mask"))
+    ids, mask = (batch.column(c)[number % BATCH_ROWS].values for c in ("ids", "mask"))
+    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
 def _spread(files: DataFrame) -> DataFrame:
