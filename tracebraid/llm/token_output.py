@@ -38,18 +38,28 @@ BATCH_ROWS = 512
 FILE_BYTES = 32 << 20
 #: The id that ends each document.
 END_ID = 0
-#: Pieces whose ids a task remembers.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers; when it has so many, further ones are encoded anew in every batch.
+REMEMBERED = 600_000
 
-#: Where a text may be cut without changing its ids: before a single space between two visible characters.
+#: Where any text may be cut without changing its ids: before a single space between two visible characters.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def is_plain(text: str) -> bool:
+    """Whether all white space is single spaces and line ends between visible characters."""
+    if "\x00" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return len(text.replace(" ", "").replace("\n", "").split(None, 1)) == 1 and not (text[0].isspace() or text[-1].isspace())
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file; pieces between spaces are encoded once and remembered.
 
     A byte-level pre-tokenizer starts a new word at a single space between
-    visible characters, so that ids of the pieces, joined, are the text's ids.
+    visible characters, takes a single line end for itself, and parts letters
+    from a final comma or full stop.  So the ids of such pieces, joined, are the
+    text's ids.  New pieces are encoded many at a time as one text, whose ids
+    are told apart by their lengths in bytes.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -57,23 +67,82 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        # In the byte-level alphabet every character stands for one byte.
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
         self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        self.line_end = np.array(self.tokenizer.encode("\n").ids, self.kind).tobytes()
+
+    def pieces(self, text: str) -> list[str]:
+        """Keys of the pieces: a plain text's words without their space, with the line end before them.
+
+        The first word counts as one after a line end; other texts' pieces have
+        a mark before them.
+        """
+        if is_plain(text):
+            return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        return ["\n", *("\x00" + p for p in _CUT.split(text))]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as bytes of ``kind``."""
+        pieces = [self.pieces(t) if t else [] for t in texts]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        pieces = [_CUT.split(t) if t else [] for t in texts]
-        new = list({p for each in pieces for p in each if p not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.kind).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, each)) + self.end for each in pieces]
+        new = set().union(*pieces).difference(known)
+        if new:
+            fresh = self._encode_new(new)
+            if len(known) < REMEMBERED:
+                known.update(fresh)
+            else:
+                known = _Either(fresh, known)
+        get, skip = known.__getitem__, len(self.line_end)
+        return [b"".join(map(get, each))[skip:] + self.end for each in pieces]
+
+    def _encode_new(self, new: set[str]) -> dict[str, bytes]:
+        known = self.known
+        marked = [p for p in new if p[0] in "\n\x00"]
+        stems = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ",." and p[-2].isalpha() and p[0] not in "\n\x00"}
+        words = [p for p in {stems.get(p, p) for p in new.difference(marked)} if p not in known]
+        out: dict[str, bytes] = {}
+        # One text of all words, each after its space.
+        bounds = np.cumsum([len(p.encode()) + 1 for p in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids if words else [], np.int64)
+        cuts = np.searchsorted(np.cumsum(self.size[ids]), bounds) + 1
+        data, width, at = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
+        for p, c in zip(words, (cuts * width).tolist(), strict=True):
+            out[p] = data[at:c]
+            at = c
+        alone = [p[1:] for p in marked] + [",", "."]
+        got = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        for p in marked:
+            out[p] = (self.line_end if p[0] == "\n" else b"") + got[p[1:]]
+        for p, stem in stems.items():
+            out[p] = (out.get(stem) or known[stem]) + got[p[-1]]
+        return out
+
+
+class _Either(dict):
+    """What a batch has found, before what is remembered."""
+
+    def __init__(self, own: dict, other: dict):
+        super().__init__(own)
+        self.other = other
+
+    def __missing__(self, key):
+        return self.other[key]
+
+
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def encoder_for(path: str, end_id: int) -> PieceEncoder:
+    """One encoder per worker and file, with what it remembers."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = PieceEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _files(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -131,7 +200,7 @@ def _write_file(batches: Iterator[pa.RecordBatch], base: str, tokenizer: str, se
             batch = whole.slice(begin, 1024)
             if writer is None and batch.num_rows:
                 fs.create_dir(folder, recursive=True)
-                encoder = PieceEncoder(tokenizer, end_id)
+                encoder = encoder_for(tokenizer, end_id)
                 sink = fs.open_output_stream(temporary)
                 writer = _SequenceWriter(sink, encoder.kind, sequence)
             for doc, e in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()) if encoder else (), strict=True):
