@@ -97,3 +97,17 @@ def test_manifest(spark, tmp_path):
     p.write_text("\n".join([*(json.dumps({"name": f"c{i}", "system": "s", "root_services": ["r"]}) for i in range(5)), ""]))
     m = telemetry.read_manifest(spark, str(p))
     assert [r["name"] for r in telemetry.manifest_slice(m, -3, 2).collect()] == ["c0", "c1"] and telemetry.manifest_slice(m, 4, 99).count() == 1
+
+
+def test_cases_are_built_and_written(spark, tmp_path):
+    from tracebraid.plans import build
+    from tracebraid.plans.sample import Sample
+
+    s = Sample(spark, "/root/testdata/sf0.001")
+    gold = build.Gold(s.gold_edges.filter("case_id IN ('case-1', 'case-2', 'case-3')"), s.gold_roots, s.alarms)
+    made = build.build(s.t, gold, limit=2)
+    c.write_cases(made, str(tmp_path / "made"))
+    again = c.read_cases(spark, str(tmp_path / "made"))
+    assert {r["case_id"] for r in again.cases.collect()} == {"case-1", "case-2"}
+    assert again.edges.filter("role = 'known'").count() == made.edges.filter("role = 'known'").count() > 0
+    assert again.evidence.count() > 0 and again.observations.count() == made.observations.count()

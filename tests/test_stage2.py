@@ -249,3 +249,18 @@ def test_reports(spark, tmp_path):
     assert [r["case_id"] for r in reports.merge_shards(spark, f"{tmp_path}/s*.json", 2).collect()] == ["a", "b"]
     with pytest.raises(ValueError):
         reports.merge_shards(spark, f"{tmp_path}/s*.json", 3)
+
+
+def test_result_files(spark, tmp_path):
+    docs = [{"summary": {"f1": 0.5}, "mask_ratio": 0.4, "track": "ablation"}, {"summary": {"old_f1": 0.2}, "mask_ratio": 0.2, "model": "m"}, {"other": 1}]
+    import json
+
+    for i, d in enumerate(docs):
+        (tmp_path / f"r{i}.json").write_text(json.dumps(d))
+    (tmp_path / "bad.json").write_text("{")
+    found = reports.load_results(spark, f"{tmp_path}/*.json")
+    rows = {(r["kind"], r["mask_ratio"], r["f1"]) for r in reports.summary_rows(found, {"f1": ("f1", "old_f1")}).collect()}
+    assert rows == {("ablation", 0.4, 0.5), ("direct_llm", 0.2, 0.2)} and {r["ratio"] for r in found.collect()} == {"40%", "20%"}
+    with pytest.raises(ValueError):
+        reports.load_results(spark, f"{tmp_path}/r2.json")
+    assert reports.means(found.select("mask_ratio").limit(0), ["mask_ratio"]).first()["mask_ratio"] == 0.0

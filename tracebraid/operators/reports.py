@@ -105,6 +105,30 @@ def load_results(spark: SparkSession, pattern: str) -> DataFrame:
     return df.filter("summary IS NOT NULL AND mask_ratio IS NOT NULL").withColumn("ratio", ratio_label("mask_ratio"))
 
 
+def result_kind(df: DataFrame) -> DataFrame:
+    """Adds ``kind``: final_llm, ablation, direct_llm or other, by the result's track and variant."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    kind = (
+        F.when(text("variant") == "llm_adjudication", "final_llm")
+        .when(text("track") == "ablation", "ablation")
+        .when(text("model") != "", "direct_llm")
+        .otherwise("other")
+    )
+    return df.withColumn("kind", kind)
+
+
+def summary_rows(df: DataFrame, columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """One row per result: each wanted value from the first of its columns in ``summary`` that is there and not null."""
+    have = df.select("summary.*").columns
+    pick = lambda names: F.coalesce(*[F.col(f"summary.`{n}`") for n in names if n in have], F.lit(None))
+    return result_kind(df).select("kind", "mask_ratio", *[pick(names).alias(c) for c, names in columns.items()])
+
+
+def means(rows: DataFrame, values: list[str]) -> DataFrame:
+    """One row of means over cases, 0 where there are none."""
+    return rows.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(v), F.lit(0.0)).alias(v) for v in values])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
