@@ -40,7 +40,7 @@ from .text import Words, mix, text_chunks
 
 WORDS, PERCENT = 5, 80
 #: Hashes of one packed row, of one hash range and of one block of a tile.
-CHUNK_HASHES, RANGE_HASHES, BLOCK_HASHES = 2_000_000, 2_000_000, 2_000_000
+CHUNK_HASHES, RANGE_HASHES, BLOCK_HASHES = 1_000_000, 1_000_000, 2_000_000
 #: Documents of one packed row.
 CHUNK_DOCS = 60_000
 #: Stands for a null id; no document may bear it.
