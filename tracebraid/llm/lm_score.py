@@ -4,6 +4,7 @@ Counts of all words in all learning documents are exact.  Documents are dealt
 into chunks by a hash; each chunk's distinct words travel as packed arrays to
 hash ranges, are counted there across all chunks, and the counts travel back to
 the chunk.  No vocabulary is broadcast but the ``CLASSES`` most frequent words.
+All other words, the tail, are modelled where their hash range is.
 
 The model predicts a token's class from the classes of the two tokens before:
 ``s(w | u, v) = b_w + r_w . (C1 r_v + C2 r_u)``.  All learning documents are read
@@ -12,9 +13,14 @@ results are averaged by their numbers of tokens, in ``ROUNDS`` rounds over
 disjoint parts of the documents.  As the context adds up, all bilinear scores
 are two matrix products, and the normalisers of all contexts a third.
 
-Classes are the frequent words, the end of a text, and all other words together;
-among those a word has the share of its count plus one, with one more for words
-never seen.  So the probabilities of all words and the end add up to one.
+Classes are the frequent words, the end of a text, and ``TAIL`` classes of tail
+words by their hash.  A tail word's probability is that of its class times that
+within the class: each seen word is a leaf of a binary tree, whose every fork has
+a bias and a vector that meets the context.  The biases alone give a word the share
+of its count plus one, with one more for words never seen; the vectors are one
+regularised Newton step from there over all learning tokens.  A fork's two
+ways add up to one, and so do the probabilities of all words and the end.
+The forks grow with the words of the corpus; each range has its own.
 
 Cases: a null or empty text is only its end; texts of any length count whole;
 repeated rows count repeatedly; a null doc_id counts as held in; empty tables
@@ -34,6 +40,8 @@ from .text import Words, text_chunks
 
 #: Frequent words that are classes of their own; numbers of a class's vector.
 CLASSES, WIDTH = 1_500, 24
+#: Classes of tail words, at most; strength of the prior of a fork's vector.
+TAIL, PRIOR = 512, 24.0
 #: Noise classes of a step (shared by its tokens), distinct tokens of a step, step size, passes over a run of texts, rounds.
 NOISE, STEP, RATE, PASSES, ROUNDS = 96, 4096, 0.06, 2, 2
 #: Text bytes of a chunk; distinct words of a hash range, about.
@@ -78,8 +86,21 @@ def _count_chunk(key: tuple, table: pa.Table, ranges: int) -> pa.Table:
     )
 
 
-def _count_range(key: tuple, table: pa.Table, classes: int) -> pa.Table:
-    """Back to each chunk its words' total counts; and (chunk -1) the range's totals and most frequent words."""
+def pieces_of(ranges: int) -> tuple[int, int, int]:
+    """Numbers of ranges, of tail classes, and of the pieces that are parts of both."""
+    if ranges <= TAIL:
+        pieces = ranges * (TAIL // ranges)
+        return ranges, pieces, pieces
+    ranges = -(-ranges // TAIL) * TAIL
+    return ranges, TAIL, ranges
+
+
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _count_range(key: tuple, table: pa.Table, classes: int, ranges: int, pieces: int) -> pa.Table:
+    """Back to each chunk its words' total counts; and (chunk -1) the range's totals, by pieces too, and most frequent words."""
     words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
     counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
     distinct, back = np.unique(np.concatenate(words), return_inverse=True)
@@ -90,6 +111,9 @@ def _count_range(key: tuple, table: pa.Table, classes: int) -> pa.Table:
     got = total[back].astype(np.uint64)
     at = np.cumsum([0, *map(len, words)])
     n = len(words)
+    each = pieces // ranges
+    piece = _part_of(distinct, pieces) - key[0].as_py() * each
+    by_piece = np.stack([np.bincount(piece, total, each), np.bincount(piece, total > 0, each)]).astype(np.int64)
     return pa.table(
         {
             "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()),
@@ -97,31 +121,46 @@ def _count_range(key: tuple, table: pa.Table, classes: int) -> pa.Table:
             "totals": pa.array([*(got[at[i] : at[i + 1]].tobytes() for i in range(n)), None], pa.binary()),
             "distinct": pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
             "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()),
+            "pieces": pa.array([None] * n + [by_piece.tobytes()], pa.binary()),
             "top": pa.array([None] * n + [np.stack([distinct[top].view(np.int64), total[top]], 1).tolist()], pa.list_(pa.list_(pa.int64()))),
         }
     )
 
 
 class Vocabulary:
-    """The frequent words and the totals; class ``n`` is the end, class ``n + 1`` any other word."""
+    """The frequent words and the totals; class ``n`` is the end, those from ``n + 1`` on are tail words.
+
+    ``pieces`` are tokens and distinct words by hash piece, frequent words included.
+    """
 
-    def __init__(self, top: list[tuple[int, int]], distinct: int, tokens: int, texts: int):
+    def __init__(self, top: list[tuple[int, int]], distinct: int, tokens: int, texts: int, pieces: np.ndarray | None = None, tails: int = 1):
         words = np.array([t[0] for t in top], np.int64).view(np.uint64)
         order = np.argsort(words)
         self.words = words[order]
         self.counts = np.array([t[1] for t in top], np.int64)[order]
-        self.end, self.other = len(words), len(words) + 1
+        self.end, self.other, self.tails = len(words), len(words) + 1, tails
         self.distinct, self.tokens, self.texts = distinct + (texts > 0), tokens + texts, texts
-        self.other_tokens = tokens - int(self.counts.sum())
-        self.other_words = distinct - len(words)
-        shares = np.array([*self.counts, texts, self.other_tokens], np.float64) + 1
+        pieces = np.array([[tokens], [distinct]]) if pieces is None else pieces
+        self.pieces = pieces.shape[1]
+        where = _part_of(self.words, self.pieces)
+        left = pieces - np.stack([np.bincount(where, w, self.pieces) for w in (self.counts, np.ones(len(words)))]).astype(np.int64)
+        tail_tokens = left[0].reshape(tails, -1).sum(axis=1)
+        # Of a tail word by its class: a piece's weight, and that of all with one for words never seen.
+        self.weights = left.sum(axis=0).astype(np.float64)
+        self.class_weights = self.weights.reshape(tails, -1).sum(axis=1) + 1
+        shares = np.array([*self.counts, texts, *tail_tokens], np.float64) + 1
         self.shares = shares / shares.sum()
 
+    @property
+    def size(self) -> int:
+        return self.other + self.tails
+
     def classes(self, hashes: np.ndarray) -> np.ndarray:
+        tail = self.other + _part_of(hashes, self.tails)
         if not len(self.words):
-            return np.full(len(hashes), self.other)
+            return tail
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, self.other)
+        return np.where(self.words[at] == hashes, at, tail)
 
     def tokens_of(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of all texts' tokens with their ends, the places of the words, and the places of the ends."""
@@ -168,6 +207,43 @@ class LogBilinear:
         return ((one + self.b) * scale).astype(np.float32), (two * scale).astype(np.float32), (np.log10(z)).astype(np.float32)
 
 
+    def context_tables(self, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By previous class and class before it, parts of a context's vector, whose coordinates are brought to mean 0 and variance 1."""
+        parts = [(self.r @ c.T).astype(np.float64) for c in (self.c1, self.c2)]
+        parts = [x - shares @ x for x in parts]
+        values, vectors = np.linalg.eigh(sum((x * shares[:, None]).T @ x for x in parts))
+        scale = vectors / np.sqrt(np.maximum(values, max(values.max() * 1e-3, 1e-12)))
+        return tuple((x @ scale).astype(np.float32) for x in parts)
+
+
+class Tree:
+    """Probabilities of words given contexts, from the words' counts and the sums of their contexts' vectors."""
+
+    def __init__(self, counts: np.ndarray, sums: np.ndarray):
+        depth = (len(counts) - 1).bit_length()
+        c, s = np.zeros(1 << depth), np.zeros((1 << depth, sums.shape[1]), np.float32)
+        c[: len(counts)], s[: len(counts)] = counts + 1.0, sums
+        self.levels = []
+        while len(c) > 1:
+            total = c[0::2] + c[1::2]
+            right = c[1::2] / np.maximum(total, 1)
+            step = (s[1::2] - right[:, None] * (s[0::2] + s[1::2])) / (PRIOR + total * right * (1 - right))[:, None]
+            step[right == 0] = 0  # no word there
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bias = np.log(c[1::2]) - np.log(c[0::2])
+            self.levels.append((bias, step.astype(np.float32)))
+            c, s = total, s[0::2] + s[1::2]
+
+    def log10(self, word: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of the ``word``-th words in contexts ``q``."""
+        out = np.zeros(len(word))
+        for k, (bias, vectors) in enumerate(self.levels):
+            node, right = word >> (k + 1), (word >> k) & 1
+            x = bias[node] + np.einsum("ij,ij->i", vectors[node], q)
+            out -= np.logaddexp(0, np.where(right, -x, x))
+        return out / np.log(10)
+
+
 class Trainer:
     """Noise-contrastive steps over distinct (context, token) triples, weighted by their counts."""
 
@@ -215,7 +291,7 @@ class Trainer:
 def _train_part(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    model = LogBilinear(vocabulary.other + 1, flat.copy())
+    model = LogBilinear(vocabulary.size, flat.copy())
     trainer = Trainer(model, vocabulary.shares, TaskContext.get().partitionId())
     for batch in batches:
         for _, texts in text_chunks(batch, "text"):
@@ -237,7 +313,7 @@ def _averaged(key: tuple, table: pa.Table) -> pa.Table:
 
 def train(learning: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
     """Average the tasks' models, round by round."""
-    flat = LogBilinear(vocabulary.other + 1, shares=vocabulary.shares).flat
+    flat = LogBilinear(vocabulary.size, shares=vocabulary.shares).flat
     for k in range(ROUNDS):
         part = learning.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k).select("text")
         held = learning.sparkSession.sparkContext.broadcast((flat, vocabulary))
@@ -248,7 +324,7 @@ def train(learning: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
         got = some.groupBy("slice").applyInArrow(_averaged, "slice long, params binary").collect()
         if got:
             flat = np.concatenate([np.frombuffer(r["params"], np.float32) for r in sorted(got)])
-    return LogBilinear(vocabulary.other + 1, flat)
+    return LogBilinear(vocabulary.size, flat)
 
 
 def _summed(key: tuple, table: pa.Table) -> pa.Table:
@@ -256,8 +332,10 @@ def _summed(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Vocabulary, tables: tuple) -> pa.Table:
+    """A row per document, with the scores of its tokens' classes; and a row per range with the tail's tokens, in order of their words."""
     one_table, two_table, z = tables
     texts = [t or b"" for t in docs.column("text").to_pylist()]
+    chunk = docs.column("chunk")[0].as_py() if len(texts) else 0
     parts = list(_chunk_words(texts))
     distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]))
     count = np.zeros(len(distinct), np.int64)
@@ -265,8 +343,8 @@ def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Voca
     for r, x in zip(totals.column("range").to_pylist(), totals.column("totals").to_pylist(), strict=True):
         count[cuts[r] : cuts[r + 1]] = np.frombuffer(x, np.uint64)
     out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+    tail, row = [(np.zeros(0, np.uint64), *[np.zeros(0, np.uint16)] * 2, np.zeros(0, np.uint32))], 0
     base_n = np.log10(vocabulary.tokens + vocabulary.distinct + 1)
-    other_n = np.log10(vocabulary.other_tokens + vocabulary.other_words + 1)
     for h, first in parts:
         c = count[np.searchsorted(distinct, h)]
         tokens, places, ends = vocabulary.tokens_of(h, first)
@@ -275,15 +353,89 @@ def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Voca
         each = np.full(len(tokens), vocabulary.texts, np.int64)
         each[places] = c
         base = np.log10(each + 1.0)
-        other = tokens == vocabulary.other
-        score[other] += base[other] - other_n
         begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
         n = np.diff(first) + 1
+        far = tokens[places] >= vocabulary.other
+        at = places[far]
+        tail.append((h[far], one[at].astype(np.uint16), two[at].astype(np.uint16), np.repeat(np.arange(row, row + len(n), dtype=np.uint32), n - 1)[far]))
+        row += len(n)
         out["n_tokens"].append(n)
         out["n_known"].append(np.add.reduceat((each > 0).astype(np.int64), begins))
         out["base_score"].append(np.add.reduceat(base, begins) - n * base_n)
         out["score"].append(np.add.reduceat(score, begins))
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: np.concatenate(v) for k, v in out.items()}})
+    rows = pa.table({"chunk": docs.column("chunk"), "doc": pa.array(np.arange(row, dtype=np.int64)), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: np.concatenate(v) for k, v in out.items()}})
+    words, one, two, doc = (np.concatenate(x) for x in zip(*tail, strict=True))
+    learn = ~docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+    order = np.argsort(words, kind="stable")
+    words, one, two, doc = words[order], one[order], two[order], doc[order]
+    cuts = _ranges_of(words, ranges)
+    packed: dict[str, list] = {k: [] for k in ("range", "words", "sizes", "one", "two", "docs", "learn")}
+    for r in range(ranges):
+        part = slice(cuts[r], cuts[r + 1])
+        if part.start < part.stop:
+            own, sizes = np.unique(words[part], return_counts=True)
+            values = (r, own, sizes.astype(np.uint32), one[part], two[part], doc[part], np.packbits(learn[doc[part]]))
+            for k, v in zip(packed, values, strict=True):
+                packed[k].append(v if k == "range" else v.tobytes())
+    tails = pa.table({"chunk": pa.array([chunk] * len(packed["range"]), pa.int64()), **{k: pa.array(v, pa.int64() if k == "range" else pa.binary()) for k, v in packed.items()}})
+    return pa.concat_tables([rows, tails], promote_options="default").select(SCORED_COLUMNS)
+
+
+SCORED = (
+    "chunk long, doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+    "range long, words binary, sizes binary, one binary, two binary, docs binary, learn binary"
+)
+SCORED_COLUMNS = [x.split()[0] for x in SCORED.split(", ")]
+
+
+def _tail_range(key: tuple, table: pa.Table, vocabulary: Vocabulary, one_q: np.ndarray, two_q: np.ndarray) -> pa.Table:
+    """Learn the forks of a range's words from all chunks, then give each chunk its documents' scores of them."""
+    kinds = {"words": np.uint64, "sizes": np.uint32, "one": np.uint16, "two": np.uint16, "docs": np.uint32, "learn": np.uint8}
+    columns = {k: [np.frombuffer(x.as_buffer(), t) for x in table.column(k)] for k, t in kinds.items()}
+    rows = list(zip(*columns.values(), strict=True))
+    distinct = np.unique(np.concatenate(columns["words"]))
+    counts, sums = np.zeros(len(distinct), np.int64), np.zeros((len(distinct), one_q.shape[1]), np.float32)
+    for words, sizes, one, two, _, bits in rows:
+        at, begins = np.searchsorted(distinct, words), np.cumsum(sizes, dtype=np.int64) - sizes
+        learn = np.unpackbits(bits, count=len(one))
+        counts[at] += np.add.reduceat(learn.astype(np.int64), begins)
+        sums[at] += np.add.reduceat((one_q[one] + two_q[two]) * learn[:, None], begins, axis=0)
+    seen = np.flatnonzero(counts)
+    piece = _part_of(distinct, vocabulary.pieces)
+    used, begins, sizes = np.unique(piece[seen], return_index=True, return_counts=True)
+    first = dict(zip(used.tolist(), begins.tolist(), strict=True))
+    trees = {}
+    for p, i, n in zip(used.tolist(), begins.tolist(), sizes.tolist(), strict=True):
+        own = seen[i : i + n]
+        trees[p] = Tree(counts[own], sums[own])
+    del sums
+    leaf = np.cumsum(counts > 0) - 1
+    per_class = vocabulary.pieces // vocabulary.tails
+    unseen = -np.log10(vocabulary.class_weights)
+    out_docs, out_scores = [], []
+    for words, sizes, one, two, docs, _ in rows:
+        at = np.repeat(np.searchsorted(distinct, words), sizes)
+        where = piece[at]
+        score = unseen[where // per_class]
+        for p in np.unique(where).tolist():
+            a, b = np.searchsorted(where, [p, p + 1])
+            known = a + np.flatnonzero(counts[at[a:b]])
+            if len(known):
+                q = one_q[one[known]] + two_q[two[known]]
+                score[known] += np.log10(vocabulary.weights[p]) + trees[p].log10(leaf[at[known]] - first[p], q)
+        own, back = np.unique(docs, return_inverse=True)
+        out_docs.append(own.tobytes())
+        out_scores.append(np.bincount(back, score).astype(np.float32).tobytes())
+    return pa.table({"chunk": table.column("chunk"), "docs": pa.array(out_docs, pa.binary()), "scores": pa.array(out_scores, pa.binary())})
+
+
+def _add_tails(docs: pa.Table, tails: pa.Table) -> pa.Table:
+    score, doc = docs.column("score").to_numpy().copy(), docs.column("doc").to_numpy()
+    more = np.zeros(int(doc.max(initial=-1)) + 1)
+    for d, x in zip(tails.column("docs"), tails.column("scores"), strict=True):
+        more[np.frombuffer(d.as_buffer(), np.uint32)] += np.frombuffer(x.as_buffer(), np.float32)
+    out = docs.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score"])
+    return out.append_column("score", pa.array(score + more[doc]))
 
 
 def score_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,27 +448,39 @@ def score_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     row = docs.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     size, texts = int(row[0] or 0), int(row[1])
     chunks = max(spark.sparkContext.defaultParallelism, -(-size // CHUNK))
-    ranges = max(8, -(-size // (40 * RANGE_WORDS)))
+    ranges, tails, pieces = pieces_of(max(8, -(-size // (40 * RANGE_WORDS))))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     packed = dealt.groupBy("chunk").applyInArrow(lambda k, t: _count_chunk(k, t, ranges), "range long, chunk long, words binary, counts binary")
     counted = packed.groupBy("range").applyInArrow(
-        lambda k, t: _count_range(k, t, CLASSES), "chunk long, range long, totals binary, distinct long, tokens long, top array<array<bigint>>"
+        lambda k, t: _count_range(k, t, CLASSES, ranges, pieces),
+        "chunk long, range long, totals binary, distinct long, tokens long, pieces binary, top array<array<bigint>>",
     )
     counted = written(counted, "word-counts")
     heads = counted.filter("chunk = -1")
     sums = heads.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     top = heads.select(F.explode("top").alias("t")).select(F.get("t", F.lit(0)).alias("word"), F.get("t", F.lit(1)).alias("n"))
     top = top.orderBy(F.desc("n"), "word").limit(CLASSES).collect()
-    vocabulary = Vocabulary([(r["word"], r["n"]) for r in top], int(sums[0]), int(sums[1]), texts)
+    by_piece = np.zeros((2, pieces), np.int64)
+    for r in heads.select("range", "pieces").collect():
+        each = pieces // ranges
+        by_piece[:, r["range"] * each : (r["range"] + 1) * each] = np.frombuffer(r["pieces"], np.int64).reshape(2, each)
+    vocabulary = Vocabulary([(r["word"], r["n"]) for r in top], int(sums[0]), int(sums[1]), texts, by_piece, tails)
     model = train(docs.filter("NOT held_out"), vocabulary)
     held = spark.sparkContext.broadcast((vocabulary, model.tables()))
+    far = spark.sparkContext.broadcast((vocabulary, *model.context_tables(vocabulary.shares)))
     scored = (
         dealt.groupBy("chunk")
         .cogroup(counted.filter("chunk >= 0").select("chunk", "range", "totals").groupBy("chunk"))
-        .applyInArrow(
-            lambda d, t: _score_chunk(d, t, ranges, *held.value),
-            "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
-        )
+        .applyInArrow(lambda d, t: _score_chunk(d, t, ranges, *held.value), SCORED)
+    )
+    scored = written(scored, "class-scores")
+    tail = scored.filter("range IS NOT NULL").select("range", "chunk", "words", "sizes", "one", "two", "docs", "learn")
+    tail = tail.groupBy("range").applyInArrow(lambda k, t: _tail_range(k, t, *far.value), "chunk long, docs binary, scores binary")
+    rows = scored.filter("range IS NULL").select("chunk", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+    scored = (
+        rows.groupBy("chunk")
+        .cogroup(tail.groupBy("chunk"))
+        .applyInArrow(_add_tails, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
