@@ -4,7 +4,8 @@ import zlib
 
 import numpy as np
 
-from tracebraid.llm import lm_score
+from tracebraid.llm import lm_score, token_output
+from tracebraid.llm.queries import tokenizer_path
 from tracebraid.llm.text import Words
 
 
@@ -32,3 +33,18 @@ def test_lm_knows_contexts_of_rare_words(spark, monkeypatch):
     assert len({round(by[i]["base_score"], 9) for i in tests}) == 1
     ap, aq, bp, bq = (by[i]["score"] for i in tests)
     assert ap > aq + 0.2 and bq > bp + 0.2
+
+
+def test_tokens_of_special_texts_are_the_default_ones(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path())
+    texts = ["plain one", "<|endoftext|> hi", "a b<|endoftext|>c, d.", "x  y <|endoftext|>", "<|EndOfText|> no", "<|endoftext| > no", None, "last, one."]
+    assert len(tk.encode("<|endoftext|>", add_special_tokens=False).ids) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, token_output.op9_token_output(df, tokenizer_path()).collect())) == want

@@ -59,14 +59,19 @@ class PieceEncoder:
     visible characters, takes a single line end for itself, and parts letters
     from a final comma or full stop.  So the ids of such pieces, joined, are the
     text's ids.  New pieces are encoded many at a time as one text, whose ids
-    are told apart by their lengths in bytes.
+    are told apart by their lengths in bytes.  A text that holds an added token's
+    content is encoded as a whole.  With ``spell_special`` special tokens in texts
+    are spelled out as ordinary ids; else they are their one id, as by default.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, spell_special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell_special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (spell_special and t.special)]
+        # Normalised tokens match texts as the normaliser leaves them, here in any case.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         # In the byte-level alphabet every character stands for one byte.
@@ -89,6 +94,12 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as bytes of ``kind``."""
+        whole = {t for t in texts if t and self.added(t)}
+        if whole:
+            got = self.tokenizer.encode_batch_fast(list(whole), add_special_tokens=False)
+            ids = {t: np.array(e.ids, self.kind).tobytes() + self.end for t, e in zip(whole, got, strict=True)}
+            rest = iter(self.encode([t for t in texts if t not in whole]))
+            return [ids[t] if t in whole else next(rest) for t in texts]
         pieces = [self.pieces(t) if t else [] for t in texts]
         known = self.known
         new = set().union(*pieces).difference(known)
@@ -135,14 +146,15 @@ class _Either(dict):
         return self.other[key]
 
 
-_encoders: dict[tuple[str, int], PieceEncoder] = {}
+_encoders: dict[tuple[str, int, bool], PieceEncoder] = {}
 
 
-def encoder_for(path: str, end_id: int) -> PieceEncoder:
-    """One encoder per worker and file, with what it remembers."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = PieceEncoder(path, end_id)
-    return _encoders[path, end_id]
+def encoder_for(path: str, end_id: int, spell_special: bool) -> PieceEncoder:
+    """One encoder per worker, file and mode, with what it remembers."""
+    key = path, end_id, spell_special
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
 
 
 def _files(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -188,7 +200,7 @@ class _SequenceWriter:
         self.writer.close()
 
 
-def _write_file(batches: Iterator[pa.RecordBatch], base: str, tokenizer: str, sequence: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _write_file(batches: Iterator[pa.RecordBatch], base: str, tokenizer: str, sequence: int, end_id: int, spell_special: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     name = f"part-{TaskContext.get().partitionId():06d}"
@@ -200,7 +212,7 @@ def _write_file(batches: Iterator[pa.RecordBatch], base: str, tokenizer: str, se
             batch = whole.slice(begin, 1024)
             if writer is None and batch.num_rows:
                 fs.create_dir(folder, recursive=True)
-                encoder = encoder_for(tokenizer, end_id)
+                encoder = encoder_for(tokenizer, end_id, spell_special)
                 sink = fs.open_output_stream(temporary)
                 writer = _SequenceWriter(sink, encoder.kind, sequence)
             for doc, e in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()) if encoder else (), strict=True):
@@ -228,11 +240,13 @@ def write_tokens(
     sequence: int = SEQUENCE,
     end_id: int = END_ID,
     base: str | None = None,
+    spell_special: bool = True,
 ) -> DataFrame:
     """Write the documents' ids in ascending order of ``id_col``; one row per file comes back.
 
     The rows: ``base``, ``file``, ``n_docs``, ``n_tokens``, ``id_bytes`` and
     ``first`` (ids in all files before).  Their number is that of the files.
+    ``spell_special``: special tokens in texts are spelled out, not one id.
     """
     spark = documents.sparkSession
     base = base or shared_dir(spark, "tokens")
@@ -240,7 +254,7 @@ def write_tokens(
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ordered = docs.repartitionByRange(max(spark.sparkContext.defaultParallelism, -(-int(size) // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id", "text")
     files = ordered.mapInArrow(
-        lambda batches: _write_file(batches, base, tokenizer, sequence, end_id), "file string, n_docs long, n_tokens long, id_bytes long"
+        lambda batches: _write_file(batches, base, tokenizer, sequence, end_id, spell_special), "file string, n_docs long, n_tokens long, id_bytes long"
     )
     files = written(files, "token-files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -321,6 +335,6 @@ def _spread(files: DataFrame) -> DataFrame:
 
 
 def op9_token_output(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode, write and read back every document: doc_id, start, n_tokens, ids_crc32."""
-    return read_checksums(write_tokens(documents, tokenizer))
+    """Encode as the tokenizer does by default, write and read back every document: doc_id, start, n_tokens, ids_crc32."""
+    return read_checksums(write_tokens(documents, tokenizer, spell_special=False))
 
