@@ -1,10 +1,12 @@
 """One test per finding of a review."""
 
 import zlib
+from urllib.parse import urljoin
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tracebraid.llm import lm_score, token_output
+from tracebraid.llm import lm_score, token_output, url_filter
 from tracebraid.llm.queries import tokenizer_path
 from tracebraid.llm.text import Words
 
@@ -48,3 +50,29 @@ def test_tokens_of_special_texts_are_the_default_ones(spark):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, token_output.op9_token_output(df, tokenizer_path()).collect())) == want
+
+
+def test_link_targets_are_resolved_like_urljoin(spark):
+    bases = ["http://a.com/en/x/y.html?q=1#f", "https://b.de", "http://c.org/", "http://d.net/p/"]
+    targets = ["page2.html", "../x", "../../../x/", "?id=3", "./", "..", ".", "a/./b/../c?x=../y", "/r/../s", "/out?u=http://a.com/en/1", "out?u=http://a.com/1", "//h.de/x/../y", "//h.de", "http://Z.com/a/../b?c", "x.html#top"]
+    rows = [(b, t) for b in bases for t in targets]
+    df = spark.createDataFrame(rows, "url string, target string")
+    f = url_filter
+    got = df.select("url", "target", f.address_of(f.resolved(df.target, df.url)).alias("got")).collect()
+    want = spark.createDataFrame([(b, t, urljoin(b, t)) for b, t in rows], "url string, target string, want string").select("url", "target", f.address_of(F.col("want")).alias("want")).collect()
+    assert {(r["url"], r["target"]): r["got"] for r in got} == {(r["url"], r["target"]): r["want"] for r in want}
+
+
+def test_url_links_of_all_kinds_carry_blocks(spark):
+    rows = [
+        (1, "http://a.com/en/1", None, "block"),
+        (2, "http://a.com/z/2", "<link rel=canonical href='../en/5'>", "block"),
+        (3, "http://b.de/x/", '<meta http-equiv="refresh" content="0; url=index.html">', "block"),
+        (4, "http://b.de/x/index.html", '<link rel="alternate canonical" href="http://a.com/en/1">', "block"),
+        (5, "http://c.de/y", '<link rel="canonical" href="/out?u=http://a.com/en/1">', "allow"),
+        (6, "http://e.de/?a=1&b=2", "<link rel=canonical href=http://a.com/en/1>", "block"),
+        (7, "http://f.de/", '<link rel="canonical" href="http://e.de/?a=1&amp;b=2">', "block"),
+        (8, "http://g.de/", '<link rel="x-canonical" href="http://a.com/en/1">', "allow"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.op8_url_filter(df).collect()} == {r[0]: r[3] for r in rows}

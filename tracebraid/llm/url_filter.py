@@ -10,7 +10,10 @@ allowed.
 
 Cases: a null url and one without ``://`` has empty host and path, no rule and no
 aliases; null html has no links; targets without a page count as addresses of
-their own, with the rule they would have; links to the page itself add nothing;
+their own, with the rule they would have; only a scheme at the start makes a target
+absolute, others are resolved against the page's address, dot segments removed,
+as ``urljoin`` does; ``mailto:``, ``data:`` and the like have no address; links to
+the page itself add nothing;
 repeated rows get equal verdicts; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -32,7 +35,7 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAGS = "(?i)<(?:link|meta)\\b[^>]*>"
-CANONICAL = "(?i)\\brel\\s*=\\s*[\"']?canonical\\b"
+CANONICAL = "(?i)\\brel\\s*=\\s*(?:\"(?:[^\">]*\\s)?canonical(?:\\s[^\">]*)?\"|'(?:[^'>]*\\s)?canonical(?:\\s[^'>]*)?'|canonical(?=[\\s/>]))"
 HREF = "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
 REFRESH = "(?i)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
 TARGET = "(?i)\\bcontent\\s*=\\s*[\"'][^\"'>]*\\burl\\s*=\\s*([^\"'>\\s]+)"
@@ -69,19 +72,51 @@ def longest_first(rules) -> list[tuple[str, str, str]]:
     return sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0], r))
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """The url that a link's target means on the page ``url``; the same as urllib's ``urljoin`` on http and https."""
+    # A url: scheme, authority, path, query; without a host no target can be resolved.
+    part = lambda pattern, x: F.regexp_extract(x, pattern, 1)
+    base = part("^([^#]*)", url)
+    scheme, host, path = part("^([A-Za-z][A-Za-z0-9+.-]*:)//", base), part("^[^:/?#]*://([^/?#]*)", base), part("^[^:/?#]*://[^/?#]*([^?]*)", base)
+    target = part("^([^#]*)", target)
+    own, query = part("^([^?]*)", target), part("^[^?]*(\\?.*)$", target)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.coalesce(F.nullif(part("^(.*/)[^/]*$", path), F.lit("")), F.lit("/")), own))
+    merged = F.concat(scheme, F.lit("//"), host, without_dots(joined), query)
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target == "", base)
+        .when(own == "", F.concat(scheme, F.lit("//"), host, path, query))
+        .otherwise(merged)
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its segments ``.`` and ``..`` carried out."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    # The first segment is the empty one before the first slash; it stays.
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    ends = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    clean = F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), ends), "^//$", "/")
+    return F.when(path.rlike("(^|/)\\.\\.?(/|$)"), clean).otherwise(path)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges (source, target) between addresses, from canonical links and refresh redirects in the html."""
     tag = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag"))
     target = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
-    tag = tag.select("url", target.alias("target")).filter("target <> ''").distinct()
-    target = F.col("target")
-    scheme = F.concat(F.regexp_extract("url", "^([^:]*://)", 1), F.regexp_extract("url", "://([^/?#]*)", 1))
-    whole = (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(scheme, target))
-    )
-    edges = tag.select(address_of(F.col("url")).alias("source"), address_of(whole).alias("target"))
+    tag = tag.select("url", target.alias("target")).filter("target <> ''")
+    # The escapes that addresses need; the ampersand's own comes last.
+    for escape, char in (("(?i)&(?:#0*38|#x0*26);", "&amp;"), ("(?i)&(?:#0*47|#x0*2f|sol);", "/"), ("(?i)&(?:#0*58|#x0*3a|colon);", ":"), ("(?i)&amp;", "&")):
+        tag = tag.withColumn("target", F.regexp_replace("target", escape, char))
+    tag = tag.distinct()
+    edges = tag.select(address_of(F.col("url")).alias("source"), address_of(resolved(F.col("target"), F.col("url"))).alias("target"))
     return edges.dropna().filter("source <> target")
 
 
