@@ -1,0 +1,18 @@
+"""One test per finding of a review."""
+
+from tracebraid.operators import adjudication
+from tracebraid.schemas import CAUSAL, MASKED
+
+
+def test_adjudication_keeps_scored_roots_and_visible_edges(spark):
+    rows = [(c, i, a, r, b) for c in "xy" for i, (a, r, b) in enumerate([("ts-a", MASKED, "ts-b"), ("ts-b", CAUSAL, "ts-d")])]
+    known = spark.createDataFrame(rows, "case_id string, pos long, source string, relation string, target string")
+    scored = spark.createDataFrame([(c, n, k + 1) for c in "xy" for k, n in enumerate(["nobody", "ts-d", "b"])], "case_id string, node string, rank long")
+    answers = spark.createDataFrame([("x", "no idea"), ("y", '{"causal_ids": [0], "root_causes": ["a"]}')], "case_id string, answer string")
+    edges, roots, _ = adjudication.decide(answers, known, None, scored_roots=scored)
+    assert {tuple(r) for r in edges.collect()} == {("x", "ts-b", CAUSAL, "ts-d"), ("y", "ts-b", CAUSAL, "ts-d"), ("y", "ts-a", CAUSAL, "ts-b")}
+    assert {tuple(r) for r in roots.collect()} == {("x", "ts-d", 1), ("x", "ts-b", 2), ("y", "ts-a", 1)}
+    ev = spark.createDataFrame([], "case_id string, evidence_id string, node string, kind string, signal string, abnormality double, ts_s double, text string")
+    symptoms = spark.createDataFrame([("x", "ts-d")], "case_id string, node string")
+    p = adjudication.prompts(known, ev, symptoms, roots=scored).filter("case_id = 'x'").first()["prompt"]
+    assert 'SCORED_ROOTS\n["nobody","ts-d","b"]' in p

@@ -36,8 +36,8 @@ def evidence_lines(ev: DataFrame) -> DataFrame:
     return lines(ev, line, order, "evidence_lines")
 
 
-def prompts(known: DataFrame, ev: DataFrame, symptoms: DataFrame, scores: DataFrame | None = None, keep_loadgen: bool = True) -> DataFrame:
-    """case_id and prompt.  With ``scores`` each candidate carries the signals of a scored run; gold is never read."""
+def prompts(known: DataFrame, ev: DataFrame, symptoms: DataFrame, scores: DataFrame | None = None, keep_loadgen: bool = True, roots: DataFrame | None = None) -> DataFrame:
+    """case_id and prompt.  With ``scores`` each candidate carries the signals of a scored run, ``roots`` are its ranked roots; gold is never read."""
     c = candidates(known, keep_loadgen)
     line = F.concat_ws("|", F.col("id").cast("string"), "source", "target")
     if scores is not None:
@@ -49,7 +49,9 @@ def prompts(known: DataFrame, ev: DataFrame, symptoms: DataFrame, scores: DataFr
     seen = known.filter(F.col("relation") != MASKED)
     seen = seen if keep_loadgen else seen.filter(without_loadgen())
     said = symptoms.groupBy("case_id").agg(F.to_json(F.array_sort(F.collect_set("node"))).alias("symptoms"))
-    parts = [lines(c, line, ["id"], "masked"), lines(seen, F.concat_ws("|", "source", "relation", "target"), ["pos"], "visible"), said, evidence_lines(ev)]
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"])
+    parts = [] if roots is None else [roots.groupBy("case_id").agg(F.to_json(F.slice(ranked, 1, 3)).alias("scored_roots"))]
+    parts += [lines(c, line, ["id"], "masked"), lines(seen, F.concat_ws("|", "source", "relation", "target"), ["pos"], "visible"), said, evidence_lines(ev)]
     j = known.select("case_id").distinct()
     for p in parts:
         j = j.join(p, "case_id", "left")
@@ -59,9 +61,10 @@ def prompts(known: DataFrame, ev: DataFrame, symptoms: DataFrame, scores: DataFr
         "Choose ids of masked candidates only; rank at most three root-cause services.\n"
         'Answer with JSON only: {"causal_ids":[0,2],"root_causes":["service-a"]}'
     )
+    first = [] if roots is None else [F.concat(F.lit("SCORED_ROOTS\n"), F.coalesce("scored_roots", F.lit("[]")))]
     return j.select(
         "case_id",
-        F.concat_ws("\n\n", F.lit(head), block("MASKED_CANDIDATES", F.col("masked")), block("VISIBLE_RELATIONS", F.col("visible")), block("SYMPTOM_SERVICES", F.col("symptoms")), block("TELEMETRY", F.col("evidence_lines"))).alias("prompt"),
+        F.concat_ws("\n\n", F.lit(head), *first, block("MASKED_CANDIDATES", F.col("masked")), block("VISIBLE_RELATIONS", F.col("visible")), block("SYMPTOM_SERVICES", F.col("symptoms")), block("TELEMETRY", F.col("evidence_lines"))).alias("prompt"),
     )
 
 
@@ -112,8 +115,11 @@ def parsed(answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_answer(a) for a in answers], columns=["ids", "roots", "mode"])
 
 
-def decide(answers: DataFrame, known: DataFrame, ev: DataFrame | None, keep_loadgen: bool = False, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges chosen by valid ids, roots as canonical services, counts) of parsed answers."""
+def decide(answers: DataFrame, known: DataFrame, ev: DataFrame | None, keep_loadgen: bool = False, most: int = 3, scored_roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges chosen by valid ids and visible causal ones, roots as canonical services, counts) of parsed answers.
+
+    A case whose answer names no valid root keeps those of ``scored_roots`` (case_id, node, rank).
+    """
     p = answers.withColumn("p", parsed("answer")).select("case_id", "p.*")
     c = candidates(known, keep_loadgen).select("case_id", "id", "source", "target")
     ids = p.select("case_id", F.explode(F.array_distinct("ids")).alias("id"))
@@ -133,4 +139,13 @@ def decide(answers: DataFrame, known: DataFrame, ev: DataFrame | None, keep_load
     wrong = found.filter("node IS NULL").join(last, "case_id", "left").filter("last IS NULL OR at < last").groupBy("case_id").agg(F.count("*").alias("n_invalid_roots"))
     valid = edges.groupBy("case_id").agg(F.count("*").alias("n_valid_ids"))
     counts = p.select("case_id", "mode", F.size(F.array_distinct("ids")).cast("long").alias("n_ids")).join(valid, "case_id", "left").join(wrong, "case_id", "left").na.fill(0)
-    return edges, first.select("case_id", "node", "rank"), counts.withColumn("n_invalid_ids", F.col("n_ids") - F.col("n_valid_ids"))
+    visible = known.filter(F.col("relation") == CAUSAL).join(p.select("case_id"), "case_id", "left_semi")
+    edges = visible.select("case_id", "source", "relation", "target").unionByName(edges).distinct()
+    roots = first.select("case_id", "node", "rank")
+    if scored_roots is not None:
+        open_ = p.select("case_id").join(roots, "case_id", "left_anti")
+        kept = scored_roots.select("case_id", F.col("rank").alias("at"), normalize_service("node").alias("norm")).join(open_, "case_id", "left_semi")
+        kept = kept.join(canon, ["case_id", "norm"]).groupBy("case_id", "node").agg(F.min("at").alias("at"))
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("at")).cast("long")).filter(F.col("rank") <= most)
+        roots = roots.unionByName(kept.select("case_id", "node", "rank"))
+    return edges, roots, counts.withColumn("n_invalid_ids", F.col("n_ids") - F.col("n_valid_ids"))

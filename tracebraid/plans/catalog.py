@@ -163,10 +163,17 @@ def _first_candidates():
     return run
 
 
-def _adjudicated(s: Sample) -> DataFrame:
-    known = cut(masking.causal_mask(s.known, s.gold_edges, RATIO)[0])
-    answers = adjudication.ask(adjudication.prompts(known, s.evidence, s.symptoms), _first_candidates)
-    return adjudication.decide(answers, known, s.evidence)[2]
+def _adjudicated(part: int) -> Callable[[Sample], DataFrame]:
+    """Of edges, roots and counts the ``part``-th."""
+
+    def f(s: Sample) -> DataFrame:
+        known = cut(masking.causal_mask(s.known, s.gold_edges, RATIO)[0])
+        h, _, roots = incident.predict(known, s.evidence, s.symptoms, semantic=semantic.deterministic_causal, logic=incident.soft_logic)
+        roots = cut(roots)
+        answers = adjudication.ask(adjudication.prompts(known, s.evidence, s.symptoms, cut(h), roots=roots), _first_candidates)
+        return adjudication.decide(answers, known, s.evidence, scored_roots=roots)[part]
+
+    return f
 
 
 def _ablation(variant: str) -> Callable[[Sample], DataFrame]:
@@ -236,7 +243,9 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "causal_mask": _causal_mask,
     "removal_mask": _removal_mask,
     "contrastive_scores": _contrastive,
-    "adjudication": _adjudicated,
+    "adjudication": _adjudicated(2),
+    "adjudication_edges": _adjudicated(0),
+    "adjudication_roots": _adjudicated(1),
     "topology_condition_rows": lambda s: s.rca,
     "topology_condition_deltas": lambda s: evaluation.condition_deltas(s.rca),
     "topology_condition_summary": lambda s: evaluation.condition_summary(s.rca),
