@@ -1,6 +1,6 @@
 """One test per finding of a review."""
 
-from tracebraid.operators import adjudication
+from tracebraid.operators import adjudication, incident
 from tracebraid.schemas import CAUSAL, MASKED
 
 
@@ -16,3 +16,12 @@ def test_adjudication_keeps_scored_roots_and_visible_edges(spark):
     symptoms = spark.createDataFrame([("x", "ts-d")], "case_id string, node string")
     p = adjudication.prompts(known, ev, symptoms, roots=scored).filter("case_id = 'x'").first()["prompt"]
     assert 'SCORED_ROOTS\n["nobody","ts-d","b"]' in p
+
+
+def test_soft_logic_reaches_a_chain_of_any_length(spark, monkeypatch):
+    h = spark.createDataFrame([("c", "n0", "n1")], "case_id string, source string, target string")
+    monkeypatch.setattr(incident, "local_score", lambda: incident.F.lit(0.5))
+    known = spark.createDataFrame([("c", f"n{i}", CAUSAL, f"n{i + 1}") for i in range(1, 4)], "case_id string, source string, relation string, target string")
+    symptoms = spark.createDataFrame([("c", "n4")], "case_id string, node string")
+    # No rounds but those that the nodes ask for.
+    assert abs(incident.soft_logic(h, known, symptoms, rounds=0).first()["soft_logic_score"] - 0.5) < 1e-9

@@ -56,7 +56,7 @@ def soft_logic(h: DataFrame, known: DataFrame, symptoms: DataFrame, rounds: int
     """Local scores, and how far symptoms reach back over them: a best-product fixpoint by joins.
 
     A round takes the best product over one edge for all cases at once; rounds
-    end when no node gains 1e-6.  The reach table is written in every round.
+    end when no node gains 1e-6, which takes no more than a case has nodes.  The reach table is written in every round.
     """
     from .graph import cut
 
@@ -66,13 +66,17 @@ def soft_logic(h: DataFrame, known: DataFrame, symptoms: DataFrame, rounds: int
     edges = cut(edges.unionByName(hard).groupBy("case_id", *PAIR).agg(F.max("w").alias("w")))
     reach = cut(symptoms.select("case_id", "node").distinct().withColumn("reach", F.lit(1.0)))
     total = None
-    for _ in range(rounds * 8):
+    # A gain takes as many rounds as its path has edges, and two more show that there is none.
+    longest = edges.select("case_id", F.explode(F.array("source", "target")).alias("node")).groupBy("case_id").agg(F.countDistinct("node").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    for _ in range(max(rounds * 8, longest + 2)):
         new = edges.join(reach.withColumnRenamed("node", "target"), ["case_id", "target"]).select("case_id", F.col("source").alias("node"), (F.col("w") * F.col("reach")).alias("reach"))
         reach = cut(reach.unionByName(new).groupBy("case_id", "node").agg(F.max("reach").alias("reach")))
         now = reach.agg(F.round(F.sum("reach"), 6), F.count("*")).first()
         if now == total:
             break
         total = now
+    else:
+        raise RuntimeError("reach over causes did not settle")
     down = reach.select("case_id", F.col("node").alias("target"), "reach")
     j = h.join(down, ["case_id", "target"], "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
     return j.withColumn("soft_logic_score", clip01(0.82 * F.col("local") + 0.18 * F.least("local", "reach"))).drop("reach")
