@@ -22,6 +22,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .store import shared_dir, written
+from .text import text_chunks
 
 #: Ids of one sequence.
 SEQUENCE = 1024
@@ -38,30 +40,71 @@ BATCH_ROWS = 512
 FILE_BYTES = 32 << 20
 #: The id that ends each document.
 END_ID = 0
-#: Pieces whose ids a worker remembers; when it has so many, further ones are encoded anew in every batch.
-REMEMBERED = 600_000
-
-#: Where any text may be cut without changing its ids: before a single space between two visible characters.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-
-
-def is_plain(text: str) -> bool:
-    """Whether all white space is single spaces and line ends between visible characters."""
-    if "\x00" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    return len(text.replace(" ", "").replace("\n", "").split(None, 1)) == 1 and not (text[0].isspace() or text[-1].isspace())
+#: Text bytes that are encoded together.
+RUN_BYTES = 8 << 20
+#: Pieces whose ids a worker remembers; when it has so many, further ones are encoded anew in every run.
+REMEMBERED = 1_000_000
+
+#: Kinds of bytes: the space, the line end, other white space (and what some take for it), ASCII letters, other ASCII.
+SPACE, LINE, BLANK, LETTER, SIGN, FAR = range(1, 7)
+_KINDS = bytes(
+    SPACE if b == 0x20 else LINE if b == 0x0A else BLANK if 0x09 <= b <= 0x0D or 0x1C <= b <= 0x1F
+    else LETTER if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A else FAR if b >= 0x80 else SIGN
+    for b in range(256)
+)
+#: White space and invisible signs beyond ASCII, in UTF-8 (Unicode's, and some more).
+_FAR_BLANK = re.compile(b"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8-\xaf]|\x81[\x9f\xa0])|\xe3\x80\x80|\xef\xbb\xbf")
+#: First bytes of these, by which they are looked for.
+_FAR_BLANK_FIRST = bytes(b in b"\xc2\xe1\xe2\xe3\xef" for b in range(256))
+#: A piece that may follow others of its kind in one text, and one that may stand between line ends.
+_SPACED, _BARE = re.compile(r" \S+").fullmatch, re.compile(r"\S+").fullmatch
+
+
+def cut_pieces(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts in a row, and where each text's begin (one more than texts).
+
+    A text is cut where a byte-level pre-tokenizer always begins a new word:
+    before a single space and around a single line end between visible
+    characters, and between a Latin letter and an ASCII sign or digit.
+    """
+    data = b"".join(texts)
+    bounds = np.cumsum([0, *map(len, texts)])
+    a, kind = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    for i in np.flatnonzero(np.frombuffer(data.translate(_FAR_BLANK_FIRST), bool)).tolist():
+        if m := _FAR_BLANK.match(data, i):
+            kind[i : m.end()] = BLANK
+    # Second bytes of U+00C0 to U+017F but the two signs among them.
+    first = (a[:-1] - np.uint8(0xC3)) < 3
+    latin = np.flatnonzero(first) + 1
+    kind[latin[(a[latin - 1] != 0xC3) | ((a[latin] != 0x97) & (a[latin] != 0xB7))]] = LETTER
+    visible = np.concatenate(([False], kind > BLANK, [False]))
+    lone = visible[:-2] & visible[2:] & (kind <= LINE)
+    cut = lone.copy()
+    cut[1:] |= (lone[:-1] & (kind[:-1] == LINE)) | ((kind[:-1] == LETTER) & (kind[1:] == SIGN))
+    cut[bounds[:-1][bounds[:-1] < len(a)]] = True
+    begins = np.append(np.flatnonzero(cut), len(a)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)])
+    return pieces, np.searchsorted(begins, bounds)
+
+
+def _listed(values: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    whole = data.to_pybytes() if data else b""
+    return [whole[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizers file; pieces between spaces are encoded once and remembered.
-
-    A byte-level pre-tokenizer starts a new word at a single space between
-    visible characters, takes a single line end for itself, and parts letters
-    from a final comma or full stop.  So the ids of such pieces, joined, are the
-    text's ids.  New pieces are encoded many at a time as one text, whose ids
-    are told apart by their lengths in bytes.  A text that holds an added token's
-    content is encoded as a whole.  With ``spell_special`` special tokens in texts
-    are spelled out as ordinary ids; else they are their one id, as by default.
+    """Encodes texts with a tokenizers file; distinct pieces of texts are encoded once and remembered.
+
+    The ids of a text's pieces, joined, are the text's ids.  The pieces of many
+    texts are one Arrow array; each distinct one is looked up or encoded, and the
+    ids of all are gathered by their places in one table.  New pieces are encoded
+    many at a time as one text, whose ids are told apart by their lengths in
+    bytes.  A text that holds an added token's content is encoded as a whole.
+    With ``spell_special`` special tokens in texts are spelled out as ordinary
+    ids; else they are their one id, as by default.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, spell_special: bool = False):
@@ -71,79 +114,85 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = spell_special
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (spell_special and t.special)]
         # Normalised tokens match texts as the normaliser leaves them, here in any case.
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
+        self.added = re.compile("|".join(map(re.escape, added)).encode(), re.IGNORECASE).search if added else lambda text: None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         # In the byte-level alphabet every character stands for one byte.
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.line_end = np.array(self.tokenizer.encode("\n").ids, self.kind).tobytes()
-
-    def pieces(self, text: str) -> list[str]:
-        """Keys of the pieces: a plain text's words without their space, with the line end before them.
-
-        The first word counts as one after a line end; other texts' pieces have
-        a mark before them.
-        """
-        if is_plain(text):
-            return ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        return ["\n", *("\x00" + p for p in _CUT.split(text))]
+        self.end_id = end_id
+        # The n-th piece's ids are flat[at[n]:at[n + 1]].
+        self.known: dict[bytes, int] = {}
+        self.flat, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def encode_run(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with the end id after it, and where each text's begin (one more than texts)."""
+        whole = {i: self._ids([t])[0] for i, t in enumerate(texts) if self.added(t)}
+        pieces, first = cut_pieces([b"" if i in whole else t for i, t in enumerate(texts)])
+        coded = pieces.dictionary_encode()
+        distinct = _listed(coded.dictionary)
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        flat, at = self.flat, self.at
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh = [distinct[i] for i in new]
+            ids, sizes = self._encode_new(fresh)
+            number[new] = len(at) - 1 + np.arange(len(new))
+            flat, at = np.concatenate((flat, ids)), np.concatenate((at, at[-1] + np.cumsum(sizes)))
+            if len(self.known) + len(new) <= REMEMBERED:
+                self.known.update(zip(fresh, number[new].tolist(), strict=True))
+                self.flat, self.at = flat, at
+        number = number[coded.indices.to_numpy()]
+        sizes = (at[1:] - at[:-1])[number]
+        ends = np.cumsum(sizes)
+        got = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[number] - ends + sizes, sizes)]
+        begins = np.concatenate(([0], ends))[first]
+        # The end ids, and the texts that were encoded as a whole.
+        parts = [x for i in sorted(whole) for x in (begins[i], whole[i])]
+        if whole:
+            cuts = np.split(got, parts[0::2])
+            got = np.concatenate([x for pair in zip(cuts, [*parts[1::2], cuts[-1][:0]], strict=True) for x in pair]).astype(self.kind)
+            begins = begins + np.concatenate(([0], np.cumsum([len(whole.get(i, ())) for i in range(len(texts))])))
+        return np.insert(got, begins[1:], self.end_id), begins + np.arange(len(texts) + 1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as bytes of ``kind``."""
-        whole = {t for t in texts if t and self.added(t)}
-        if whole:
-            got = self.tokenizer.encode_batch_fast(list(whole), add_special_tokens=False)
-            ids = {t: np.array(e.ids, self.kind).tobytes() + self.end for t, e in zip(whole, got, strict=True)}
-            rest = iter(self.encode([t for t in texts if t not in whole]))
-            return [ids[t] if t in whole else next(rest) for t in texts]
-        pieces = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        new = set().union(*pieces).difference(known)
-        if new:
-            fresh = self._encode_new(new)
-            if len(known) < REMEMBERED:
-                known.update(fresh)
-            else:
-                known = _Either(fresh, known)
-        get, skip = known.__getitem__, len(self.line_end)
-        return [b"".join(map(get, each))[skip:] + self.end for each in pieces]
-
-    def _encode_new(self, new: set[str]) -> dict[str, bytes]:
-        known = self.known
-        marked = [p for p in new if p[0] in "\n\x00"]
-        stems = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ",." and p[-2].isalpha() and p[0] not in "\n\x00"}
-        words = [p for p in {stems.get(p, p) for p in new.difference(marked)} if p not in known]
-        out: dict[str, bytes] = {}
-        # One text of all words, each after its space.
-        bounds = np.cumsum([len(p.encode()) + 1 for p in words])
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids if words else [], np.int64)
-        cuts = np.searchsorted(np.cumsum(self.size[ids]), bounds) + 1
-        data, width, at = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
-        for p, c in zip(words, (cuts * width).tolist(), strict=True):
-            out[p] = data[at:c]
-            at = c
-        alone = [p[1:] for p in marked] + [",", "."]
-        got = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
-        for p in marked:
-            out[p] = (self.line_end if p[0] == "\n" else b"") + got[p[1:]]
-        for p, stem in stems.items():
-            out[p] = (out.get(stem) or known[stem]) + got[p[-1]]
-        return out
-
-
-class _Either(dict):
-    """What a batch has found, before what is remembered."""
-
-    def __init__(self, own: dict, other: dict):
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key):
-        return self.other[key]
+        ids, first = self.encode_run([(t or "").encode() for t in texts])
+        return [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind) for e in got]
+
+    def _encode_new(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces in a row, and how many each has."""
+        text = [p.decode("utf-8", "replace") for p in new]
+        sizes = np.zeros(len(new), np.int64)
+        kinds = np.array([0 if _SPACED(t) else 1 if _BARE(t) else 2 for t in text])
+        parts, order = [], []
+        for kind, mark in ((0, ""), (1, "\n")):
+            own = np.flatnonzero(kinds == kind)
+            joined = "".join([text[i] + mark for i in own.tolist()])
+            [ids] = self._ids([joined.encode()])
+            ends = np.cumsum([len(text[i].encode()) + len(mark) for i in own.tolist()], dtype=np.int64)
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+            if mark and len(own):
+                ids, cuts = np.delete(ids, cuts - 1), cuts - np.arange(1, len(own) + 1)
+            sizes[own] = np.diff(cuts, prepend=0)
+            parts.append(ids)
+            order.append(own)
+        own = np.flatnonzero(kinds == 2)
+        alone = self._ids([new[i] for i in own.tolist()])
+        sizes[own] = [len(x) for x in alone]
+        parts += alone
+        order = np.concatenate([*order, own]).astype(np.int64)
+        # From the order of kinds to that of ``new``.
+        by_kind = sizes[order]
+        start = np.empty(len(new), np.int64)
+        start[order] = np.cumsum(by_kind) - by_kind
+        flat = np.concatenate([np.zeros(0, self.kind), *parts]).astype(self.kind)
+        return flat[np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 _encoders: dict[tuple[str, int, bool], PieceEncoder] = {}
@@ -171,15 +220,13 @@ class _SequenceWriter:
         self.writer = pa.ipc.new_file(sink, pa.schema([("ids", self.ids), ("mask", self.mask)]))
         self.ones = np.ones(BATCH_ROWS * sequence, bool)
 
-    def add(self, ids: bytes) -> int:
-        start = self.total
-        self.total += len(ids) // self.kind.itemsize
-        self.rest += ids
+    def add(self, ids: np.ndarray) -> None:
+        self.total += len(ids)
+        self.rest += ids.tobytes()
         block = BATCH_ROWS * self.sequence * self.kind.itemsize
         while len(self.rest) >= block:
             self._write(bytes(self.rest[:block]), self.ones)
             del self.rest[:block]
-        return start
 
     def _write(self, ids: bytes, mask: np.ndarray) -> None:
         flat = pa.Array.from_buffers(self.ids.value_type, len(ids) // self.kind.itemsize, [None, pa.py_buffer(ids)])
@@ -206,24 +253,25 @@ def _write_file(batches: Iterator[pa.RecordBatch], base: str, tokenizer: str, se
     name = f"part-{TaskContext.get().partitionId():06d}"
     fs, folder = _files(base)
     encoder, writer, temporary = None, None, f"{folder}/.{name}-{uuid.uuid4().hex}"
-    ids, starts, counts = [], [], []
-    for whole in batches:
-        for begin in range(0, whole.num_rows, 1024):
-            batch = whole.slice(begin, 1024)
-            if writer is None and batch.num_rows:
+    ids, starts, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        docs = batch.column("doc_id").to_pylist()
+        for rows, texts in text_chunks(batch, "text", RUN_BYTES):
+            if writer is None:
                 fs.create_dir(folder, recursive=True)
                 encoder = encoder_for(tokenizer, end_id, spell_special)
                 sink = fs.open_output_stream(temporary)
                 writer = _SequenceWriter(sink, encoder.kind, sequence)
-            for doc, e in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()) if encoder else (), strict=True):
-                ids.append(doc)
-                starts.append(writer.add(e))
-                counts.append(len(e) // writer.kind.itemsize)
+            run, first = encoder.encode_run(texts)
+            ids += docs[rows]
+            starts.append(writer.total + first[:-1])
+            counts.append(np.diff(first))
+            writer.add(run)
     if writer is None:
         return
     writer.close()
     sink.close()
-    index = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+    index = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": np.concatenate(starts), "n_tokens": np.concatenate(counts)})
     with fs.open_output_stream(temporary + "-docs") as out, pa.ipc.new_file(out, index.schema) as w:
         w.write_table(index)
     fs.move(temporary + "-docs", f"{folder}/{name}-docs.arrow")
@@ -250,7 +298,7 @@ def write_tokens(
     """
     spark = documents.sparkSession
     base = base or shared_dir(spark, "tokens")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ordered = docs.repartitionByRange(max(spark.sparkContext.defaultParallelism, -(-int(size) // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id", "text")
     files = ordered.mapInArrow(
