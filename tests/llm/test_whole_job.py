@@ -11,12 +11,31 @@ from tracebraid.llm.queries import tokenizer_path
 from tracebraid.llm.text import Words
 
 
-def test_lm_tree_adds_up_in_every_context():
+def test_lm_tail_adds_up_in_every_context():
     rng = np.random.default_rng(5)
-    tree = lm_score.Tree(rng.integers(1, 9, 13), rng.normal(0, 4, (13, 6)).astype(np.float32))
-    q = rng.normal(size=(7, 6)).astype(np.float32)
-    p = 10.0 ** np.stack([tree.log10(np.full(7, i), q) for i in range(13)])
-    assert np.allclose(p.sum(axis=0), 1) and p.std(axis=1).max() > 0.01
+    counts, vectors = rng.integers(0, 9, (13, 6)).astype(np.float32), rng.normal(0, 4, (6, 24)).astype(np.float32)
+    counts[3] = 0
+    p = 10.0 ** lm_score.tail_scores(counts, vectors).astype(np.float64)
+    assert np.allclose(p.sum(axis=0), 1, atol=1e-5) and p.std(axis=1).max() > 0.01 and not p[3].any()
+
+
+def test_lm_against_direct_softmax(spark, monkeypatch):
+    """Every word and the end after one context, scored as texts: prefixes' differences add up to one with the unseen rest."""
+    monkeypatch.setattr(lm_score, "CLASSES", 3)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    learn = [(i, " ".join(rng.choice(words, 40, p=np.arange(30, 0, -1) / 465))) for i in range(400) if not held(i)]
+    free = [i for i in range(400, 2000) if held(i)]
+    ask = ["w0", *(f"w0 {w}" for w in words)]
+    df = spark.createDataFrame(learn + list(zip(free, ask, strict=False)), "doc_id long, text string")
+    by = {r["doc_id"]: r["score"] for r in lm_score.op4_lm_score(df.repartition(7)).collect()}
+    again = {r["doc_id"]: r["score"] for r in lm_score.op4_lm_score(df.coalesce(1)).collect()}
+    assert by.keys() == again.keys() and max(abs(by[i] - again[i]) for i in by) < 1e-9  # whatever the layout
+    # P(w0 .) and P(w0 w .); the end's probability after "w0 w" does not matter here: it is below one.
+    whole = 10 ** np.array([by[i] for i, _ in zip(free, ask, strict=False)])
+    first = 10 ** by[free[0]]
+    assert whole[0] == first and (whole[1:] > 0).all() and whole.sum() < 1
 
 
 def test_lm_knows_contexts_of_rare_words(spark, monkeypatch):

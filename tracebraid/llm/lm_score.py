@@ -8,19 +8,22 @@ All other words, the tail, are modelled where their hash range is.
 
 The model predicts a token's class from the classes of the two tokens before:
 ``s(w | u, v) = b_w + r_w . (C1 r_v + C2 r_u)``.  All learning documents are read
-once; every task trains from common parameters on its own documents, and the
-results are averaged by their numbers of tokens, in ``ROUNDS`` rounds over
-disjoint parts of the documents.  As the context adds up, all bilinear scores
+once; documents are dealt to folds by a hash, every fold trains from common
+parameters, and the results are averaged by their numbers of tokens, in ``ROUNDS``
+rounds over disjoint parts of the documents.  So the model does not depend on how
+files or tasks hold the documents.  As the context adds up, all bilinear scores
 are two matrix products, and the normalisers of all contexts a third.
 
 Classes are the frequent words, the end of a text, and ``TAIL`` classes of tail
 words by their hash.  A tail word's probability is that of its class times that
-within the class: each seen word is a leaf of a binary tree, whose every fork has
-a bias and a vector that meets the context.  The biases alone give a word the share
-of its count plus one, with one more for words never seen; the vectors are one
-regularised Newton step from there over all learning tokens.  A fork's two
-ways add up to one, and so do the probabilities of all words and the end.
-The forks grow with the words of the corpus; each range has its own.
+within the class, which is log-bilinear too: each seen word has a bias and a vector
+of its own that meets the context, the context being the sum of two of
+``NEAR`` and ``FAR`` mean context vectors, those of the group of either class before.
+The biases give a word the share of its count plus one, with one more for words
+never seen; the vectors are one regularised Newton step from there over all
+learning tokens.  A matrix product of the words of a piece of the hash space and all
+contexts gives the normalisers, so the probabilities of all words and the end add
+up to one.  The words grow with the corpus; each range has its own.
 
 Cases: a null or empty text is only its end; texts of any length count whole;
 repeated rows count repeatedly; a null doc_id counts as held in; empty tables
@@ -40,10 +43,14 @@ from .text import Words, text_chunks
 
 #: Frequent words that are classes of their own; numbers of a class's vector.
 CLASSES, WIDTH = 1_500, 24
-#: Classes of tail words, at most; strength of the prior of a fork's vector.
-TAIL, PRIOR = 512, 24.0
-#: Noise classes of a step (shared by its tokens), distinct tokens of a step, step size, passes over a run of texts, rounds.
-NOISE, STEP, RATE, PASSES, ROUNDS = 96, 4096, 0.06, 2, 2
+#: Classes of tail words, at most; strength of the prior of a tail word's vector.
+TAIL, PRIOR = 64, 24.0
+#: Groups of classes as contexts of tail words: of the class before, and of the one before that.
+NEAR, FAR = 16, 4
+#: Noise classes of a step (shared by its tokens), distinct tokens of a step, step size, rounds.
+NOISE, STEP, RATE, ROUNDS = 48, 4096, 0.08, 2
+#: Text bytes of a training fold, about; it sees a part of them in each round.
+FOLD_BYTES = 32 << 20
 #: Text bytes of a chunk; distinct words of a hash range, about.
 CHUNK, RANGE_WORDS = 8 << 20, 1_000_000
 FOLDS, HELD_OUT = 7, 2
@@ -216,32 +223,40 @@ class LogBilinear:
         return tuple((x @ scale).astype(np.float32) for x in parts)
 
 
-class Tree:
-    """Probabilities of words given contexts, from the words' counts and the sums of their contexts' vectors."""
-
-    def __init__(self, counts: np.ndarray, sums: np.ndarray):
-        depth = (len(counts) - 1).bit_length()
-        c, s = np.zeros(1 << depth), np.zeros((1 << depth, sums.shape[1]), np.float32)
-        c[: len(counts)], s[: len(counts)] = counts + 1.0, sums
-        self.levels = []
-        while len(c) > 1:
-            total = c[0::2] + c[1::2]
-            right = c[1::2] / np.maximum(total, 1)
-            step = (s[1::2] - right[:, None] * (s[0::2] + s[1::2])) / (PRIOR + total * right * (1 - right))[:, None]
-            step[right == 0] = 0  # no word there
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bias = np.log(c[1::2]) - np.log(c[0::2])
-            self.levels.append((bias, step.astype(np.float32)))
-            c, s = total, s[0::2] + s[1::2]
-
-    def log10(self, word: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Of the ``word``-th words in contexts ``q``."""
-        out = np.zeros(len(word))
-        for k, (bias, vectors) in enumerate(self.levels):
-            node, right = word >> (k + 1), (word >> k) & 1
-            x = bias[node] + np.einsum("ij,ij->i", vectors[node], q)
-            out -= np.logaddexp(0, np.where(right, -x, x))
-        return out / np.log(10)
+def grouped_contexts(model: LogBilinear, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By class, its number as the near and as the far context of a tail word; and the context vectors by the sum of both."""
+    groups, means = zip(*(_k_means(x, shares, k) for x, k in zip(model.context_tables(shares), (NEAR, FAR), strict=True)), strict=True)
+    vectors = (means[0][:, None] + means[1][None]).reshape(-1, WIDTH)
+    return (groups[0] * len(means[1])).astype(np.uint8), groups[1].astype(np.uint8), vectors.astype(np.float32)
+
+
+def _k_means(x: np.ndarray, shares: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each row and the groups' means, weighted by ``shares``."""
+    rng = np.random.default_rng(5)
+    x = x.astype(np.float64)
+    means = x[rng.choice(len(x), min(k, len(x)), replace=False, p=shares)]
+    for _ in range(rounds):
+        group = ((x[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
+        weight = np.bincount(group, shares, len(means))
+        total = np.stack([np.bincount(group, shares * c, len(means)) for c in x.T], 1)
+        means = np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-300)[:, None], means)
+    return group, means
+
+
+def tail_scores(counts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """log10 probabilities of one piece's words (rows) in every context (columns), from the words' counts by context.
+
+    Words without a count have none (minus infinity); those of the others add up to one.
+    """
+    total = counts.sum(axis=1, dtype=np.float64)
+    sums = counts @ vectors
+    mean = sums.sum(axis=0) / max(1.0, total.sum())
+    r = (sums - total[:, None] * mean) / (PRIOR + total)[:, None]
+    with np.errstate(divide="ignore"):
+        scores = np.where(total > 0, np.log(total + 1), -np.inf)[:, None] + r @ vectors.T.astype(np.float64)
+    top = scores.max(axis=0)
+    scores -= top + np.log(np.exp(scores - top).sum(axis=0))
+    return (scores / np.log(10)).astype(np.float32)
 
 
 class Trainer:
@@ -257,11 +272,11 @@ class Trainer:
         self.seen += len(tokens)
         n = self.m.n
         codes, counts = np.unique((two.astype(np.int64) * n + one) * n + tokens, return_counts=True)
-        order = np.concatenate([self.rng.permutation(len(codes)) for _ in range(PASSES)])
-        for i in range(0, len(order), STEP):
-            part = order[i : i + STEP]
-            c = codes[part]
-            self.step(c // (n * n), c // n % n, c % n, counts[part].astype(np.float32))
+        order = self.rng.permutation(len(codes))
+        codes, counts = codes[order], counts[order].astype(np.float32)
+        for i in range(0, len(codes), STEP):
+            c = codes[i : i + STEP]
+            self.step(c // (n * n), c // n % n, c % n, counts[i : i + STEP])
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
         m = self.m
@@ -288,50 +303,58 @@ class Trainer:
         m.flat += RATE * grad / np.sqrt(self.squares)
 
 
-def _train_part(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+#: A model comes in so many rows.
+SLICES = 16
 
+
+def _train_fold(key: tuple, table: pa.Table, flat: np.ndarray, vocabulary: Vocabulary) -> pa.Table:
+    """The model that a fold's documents give, from ``flat``."""
+    table = table.sort_by([("h", "ascending"), ("text", "ascending")])
     model = LogBilinear(vocabulary.size, flat.copy())
-    trainer = Trainer(model, vocabulary.shares, TaskContext.get().partitionId())
-    for batch in batches:
+    trainer = Trainer(model, vocabulary.shares, int(key[0].as_py()))
+    for batch in table.select(["text"]).combine_chunks().to_batches():
         for _, texts in text_chunks(batch, "text"):
             w = Words([t.lower() for t in texts])
             tokens, _, ends = vocabulary.tokens_of(w.hashes, w.first)
             trainer.learn(tokens, *contexts(tokens, ends, vocabulary.end))
-    if trainer.seen:
-        slices = np.array_split(model.flat, 16)
-        yield pa.RecordBatch.from_pydict(
-            {"slice": list(range(16)), "tokens": [trainer.seen] * 16, "params": pa.array([s.tobytes() for s in slices], pa.binary())}
-        )
+    parts = [s.tobytes() for s in np.array_split(model.flat, SLICES)]
+    return pa.table({"slice": pa.array(range(SLICES), pa.int64()), "fold": pa.array([key[0].as_py()] * SLICES, pa.int64()), "tokens": pa.array([trainer.seen] * SLICES, pa.int64()), "params": pa.array(parts, pa.binary())})
 
 
 def _averaged(key: tuple, table: pa.Table) -> pa.Table:
+    """The mean of some models' slice, by their tokens, in order of their folds."""
+    table = table.sort_by("fold")
     weight = table.column("tokens").to_numpy().astype(np.float64)
     total = sum(w * np.frombuffer(x.as_py(), np.float32) for w, x in zip(weight / weight.sum(), table.column("params"), strict=True))
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "params": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    one = {"slice": key[0].as_py(), "fold": table.column("fold")[0].as_py(), "tokens": int(weight.sum()), "params": total.astype(np.float32).tobytes()}
+    return pa.Table.from_pylist([one], schema=table.schema)
+
 
+def _fold_trainer(held):
+    return lambda key, table: _train_fold(key, table, *held.value)
 
-def train(learning: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """Average the tasks' models, round by round."""
+
+MODEL_ROWS = "slice long, fold long, tokens long, params binary"
+
+
+def train(learning: DataFrame, vocabulary: Vocabulary, folds: int) -> LogBilinear:
+    """Average the folds' models, round by round; ``learning`` has doc_id and text."""
     flat = LogBilinear(vocabulary.size, shares=vocabulary.shares).flat
+    h = F.xxhash64("doc_id", "text")
+    dealt = learning.select("doc_id", "text", h.alias("h"), F.pmod(F.xxhash64(h, F.lit("fold")), F.lit(folds)).alias("fold"))
     for k in range(ROUNDS):
-        part = learning.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k).select("text")
+        part = dealt.filter(F.pmod(F.xxhash64("h", F.lit("round")), F.lit(ROUNDS)) == k).select("fold", "h", "text")
         held = learning.sparkSession.sparkContext.broadcast((flat, vocabulary))
-        models = part.mapInArrow(lambda b, held=held: _train_part(b, *held.value), "slice long, tokens long, params binary")
+        models = part.groupBy("fold").applyInArrow(_fold_trainer(held), MODEL_ROWS)
         # In two steps, so that no task gathers the models of all others.
-        dealt = models.withColumn("some", F.spark_partition_id() % 64)
-        some = dealt.groupBy("slice", "some").applyInArrow(_summed, "slice long, tokens long, params binary")
-        got = some.groupBy("slice").applyInArrow(_averaged, "slice long, params binary").collect()
+        some = models.groupBy("slice", (F.col("fold") % 64).alias("some")).applyInArrow(lambda key, t: _averaged(key, t.select(["slice", "fold", "tokens", "params"])), MODEL_ROWS)
+        got = some.groupBy("slice").applyInArrow(_averaged, MODEL_ROWS).collect()
         if got:
             flat = np.concatenate([np.frombuffer(r["params"], np.float32) for r in sorted(got)])
     return LogBilinear(vocabulary.size, flat)
 
 
-def _summed(key: tuple, table: pa.Table) -> pa.Table:
-    return pa.table({"slice": [key[0].as_py()], "tokens": [sum(table.column("tokens").to_pylist())], "params": _averaged(key, table).column("params")})
-
-
-def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Vocabulary, tables: tuple) -> pa.Table:
+def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Vocabulary, tables: tuple, near: np.ndarray, far_context: np.ndarray) -> pa.Table:
     """A row per document, with the scores of its tokens' classes; and a row per range with the tail's tokens, in order of their words."""
     one_table, two_table, z = tables
     texts = [t or b"" for t in docs.column("text").to_pylist()]
@@ -343,7 +366,7 @@ def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Voca
     for r, x in zip(totals.column("range").to_pylist(), totals.column("totals").to_pylist(), strict=True):
         count[cuts[r] : cuts[r + 1]] = np.frombuffer(x, np.uint64)
     out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-    tail, row = [(np.zeros(0, np.uint64), *[np.zeros(0, np.uint16)] * 2, np.zeros(0, np.uint32))], 0
+    tail, row = [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32))], 0
     base_n = np.log10(vocabulary.tokens + vocabulary.distinct + 1)
     for h, first in parts:
         c = count[np.searchsorted(distinct, h)]
@@ -357,24 +380,24 @@ def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Voca
         n = np.diff(first) + 1
         far = tokens[places] >= vocabulary.other
         at = places[far]
-        tail.append((h[far], one[at].astype(np.uint16), two[at].astype(np.uint16), np.repeat(np.arange(row, row + len(n), dtype=np.uint32), n - 1)[far]))
+        tail.append((h[far], near[one[at]] + far_context[two[at]], np.repeat(np.arange(row, row + len(n), dtype=np.uint32), n - 1)[far]))
         row += len(n)
         out["n_tokens"].append(n)
         out["n_known"].append(np.add.reduceat((each > 0).astype(np.int64), begins))
         out["base_score"].append(np.add.reduceat(base, begins) - n * base_n)
         out["score"].append(np.add.reduceat(score, begins))
     rows = pa.table({"chunk": docs.column("chunk"), "doc": pa.array(np.arange(row, dtype=np.int64)), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: np.concatenate(v) for k, v in out.items()}})
-    words, one, two, doc = (np.concatenate(x) for x in zip(*tail, strict=True))
+    words, context, doc = (np.concatenate(x) for x in zip(*tail, strict=True))
     learn = ~docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
     order = np.argsort(words, kind="stable")
-    words, one, two, doc = words[order], one[order], two[order], doc[order]
+    words, context, doc = words[order], context[order], doc[order]
     cuts = _ranges_of(words, ranges)
-    packed: dict[str, list] = {k: [] for k in ("range", "words", "sizes", "one", "two", "docs", "learn")}
+    packed: dict[str, list] = {k: [] for k in ("range", "words", "sizes", "contexts", "docs", "learn")}
     for r in range(ranges):
         part = slice(cuts[r], cuts[r + 1])
         if part.start < part.stop:
             own, sizes = np.unique(words[part], return_counts=True)
-            values = (r, own, sizes.astype(np.uint32), one[part], two[part], doc[part], np.packbits(learn[doc[part]]))
+            values = (r, own, sizes.astype(np.uint32), context[part], doc[part], np.packbits(learn[doc[part]]))
             for k, v in zip(packed, values, strict=True):
                 packed[k].append(v if k == "range" else v.tobytes())
     tails = pa.table({"chunk": pa.array([chunk] * len(packed["range"]), pa.int64()), **{k: pa.array(v, pa.int64() if k == "range" else pa.binary()) for k, v in packed.items()}})
@@ -383,52 +406,47 @@ def _score_chunk(docs: pa.Table, totals: pa.Table, ranges: int, vocabulary: Voca
 
 SCORED = (
     "chunk long, doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "range long, words binary, sizes binary, one binary, two binary, docs binary, learn binary"
+    "range long, words binary, sizes binary, contexts binary, docs binary, learn binary"
 )
 SCORED_COLUMNS = [x.split()[0] for x in SCORED.split(", ")]
 
 
-def _tail_range(key: tuple, table: pa.Table, vocabulary: Vocabulary, one_q: np.ndarray, two_q: np.ndarray) -> pa.Table:
-    """Learn the forks of a range's words from all chunks, then give each chunk its documents' scores of them."""
-    kinds = {"words": np.uint64, "sizes": np.uint32, "one": np.uint16, "two": np.uint16, "docs": np.uint32, "learn": np.uint8}
+def _tail_range(key: tuple, table: pa.Table, vocabulary: Vocabulary, vectors: np.ndarray) -> pa.Table:
+    """Learn the vectors of a range's words from all chunks, then give each chunk its documents' scores of them."""
+    kinds = {"words": np.uint64, "sizes": np.uint32, "contexts": np.uint8, "docs": np.uint32, "learn": np.uint8}
     columns = {k: [np.frombuffer(x.as_buffer(), t) for x in table.column(k)] for k, t in kinds.items()}
     rows = list(zip(*columns.values(), strict=True))
     distinct = np.unique(np.concatenate(columns["words"]))
-    counts, sums = np.zeros(len(distinct), np.int64), np.zeros((len(distinct), one_q.shape[1]), np.float32)
-    for words, sizes, one, two, _, bits in rows:
-        at, begins = np.searchsorted(distinct, words), np.cumsum(sizes, dtype=np.int64) - sizes
-        learn = np.unpackbits(bits, count=len(one))
-        counts[at] += np.add.reduceat(learn.astype(np.int64), begins)
-        sums[at] += np.add.reduceat((one_q[one] + two_q[two]) * learn[:, None], begins, axis=0)
-    seen = np.flatnonzero(counts)
+    width = len(vectors)
+    counts = np.zeros(len(distinct) * width, np.float32)
+    for words, sizes, context, _, bits in rows:
+        cells = np.repeat(np.searchsorted(distinct, words), sizes) * width + context
+        cells, n = np.unique(cells[np.unpackbits(bits, count=len(context)).astype(bool)], return_counts=True)
+        counts[cells] += n
+    counts = counts.reshape(-1, width)
+    seen = counts.any(axis=1)
     piece = _part_of(distinct, vocabulary.pieces)
-    used, begins, sizes = np.unique(piece[seen], return_index=True, return_counts=True)
-    first = dict(zip(used.tolist(), begins.tolist(), strict=True))
-    trees = {}
-    for p, i, n in zip(used.tolist(), begins.tolist(), sizes.tolist(), strict=True):
-        own = seen[i : i + n]
-        trees[p] = Tree(counts[own], sums[own])
-    del sums
-    leaf = np.cumsum(counts > 0) - 1
-    per_class = vocabulary.pieces // vocabulary.tails
-    unseen = -np.log10(vocabulary.class_weights)
+    unseen = -np.log10(vocabulary.class_weights)[piece // (vocabulary.pieces // vocabulary.tails)]
+    # The counts make way for the scores, piece by piece.
+    for p, a, b in zip(*_runs(piece), strict=True):
+        if seen[a:b].any():
+            counts[a:b] = tail_scores(counts[a:b], vectors) + np.log10(vocabulary.weights[p])
+    scores = np.where(seen[:, None], counts, np.float32(0)).ravel()
     out_docs, out_scores = [], []
-    for words, sizes, one, two, docs, _ in rows:
+    for words, sizes, context, docs, _ in rows:
         at = np.repeat(np.searchsorted(distinct, words), sizes)
-        where = piece[at]
-        score = unseen[where // per_class]
-        for p in np.unique(where).tolist():
-            a, b = np.searchsorted(where, [p, p + 1])
-            known = a + np.flatnonzero(counts[at[a:b]])
-            if len(known):
-                q = one_q[one[known]] + two_q[two[known]]
-                score[known] += np.log10(vocabulary.weights[p]) + trees[p].log10(leaf[at[known]] - first[p], q)
         own, back = np.unique(docs, return_inverse=True)
         out_docs.append(own.tobytes())
-        out_scores.append(np.bincount(back, score).astype(np.float32).tobytes())
+        out_scores.append(np.bincount(back, unseen[at] + scores[at * width + context]).astype(np.float32).tobytes())
     return pa.table({"chunk": table.column("chunk"), "docs": pa.array(out_docs, pa.binary()), "scores": pa.array(out_scores, pa.binary())})
 
 
+def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Each value, and where it begins and ends."""
+    values, begins = np.unique(sorted_values, return_index=True)
+    return values.tolist(), begins.tolist(), [*begins[1:].tolist(), len(sorted_values)]
+
+
 def _add_tails(docs: pa.Table, tails: pa.Table) -> pa.Table:
     score, doc = docs.column("score").to_numpy().copy(), docs.column("doc").to_numpy()
     more = np.zeros(int(doc.max(initial=-1)) + 1)
@@ -465,17 +483,18 @@ def score_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         each = pieces // ranges
         by_piece[:, r["range"] * each : (r["range"] + 1) * each] = np.frombuffer(r["pieces"], np.int64).reshape(2, each)
     vocabulary = Vocabulary([(r["word"], r["n"]) for r in top], int(sums[0]), int(sums[1]), texts, by_piece, tails)
-    model = train(docs.filter("NOT held_out"), vocabulary)
-    held = spark.sparkContext.broadcast((vocabulary, model.tables()))
-    far = spark.sparkContext.broadcast((vocabulary, *model.context_tables(vocabulary.shares)))
+    model = train(docs.filter("NOT held_out"), vocabulary, max(4, -(-size // FOLD_BYTES)))
+    near, far, vectors = grouped_contexts(model, vocabulary.shares)
+    held = spark.sparkContext.broadcast((vocabulary, model.tables(), near, far))
+    of_tail = spark.sparkContext.broadcast((vocabulary, vectors))
     scored = (
         dealt.groupBy("chunk")
         .cogroup(counted.filter("chunk >= 0").select("chunk", "range", "totals").groupBy("chunk"))
         .applyInArrow(lambda d, t: _score_chunk(d, t, ranges, *held.value), SCORED)
     )
     scored = written(scored, "class-scores")
-    tail = scored.filter("range IS NOT NULL").select("range", "chunk", "words", "sizes", "one", "two", "docs", "learn")
-    tail = tail.groupBy("range").applyInArrow(lambda k, t: _tail_range(k, t, *far.value), "chunk long, docs binary, scores binary")
+    tail = scored.filter("range IS NOT NULL").select("range", "chunk", "words", "sizes", "contexts", "docs", "learn")
+    tail = tail.groupBy("range").applyInArrow(lambda k, t: _tail_range(k, t, *of_tail.value), "chunk long, docs binary, scores binary")
     rows = scored.filter("range IS NULL").select("chunk", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
     scored = (
         rows.groupBy("chunk")
