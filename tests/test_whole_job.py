@@ -1,6 +1,10 @@
 """One test per finding of a review."""
 
-from tracebraid.operators import adjudication, incident
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracebraid.operators import adjudication, incident, masking, structural
 from tracebraid.schemas import CAUSAL, MASKED
 
 
@@ -25,3 +29,59 @@ def test_soft_logic_reaches_a_chain_of_any_length(spark, monkeypatch):
     symptoms = spark.createDataFrame([("c", "n4")], "case_id string, node string")
     # No rounds but those that the nodes ask for.
     assert abs(incident.soft_logic(h, known, symptoms, rounds=0).first()["soft_logic_score"] - 0.5) < 1e-9
+
+
+def test_competing_relations_of_a_pair_are_solved_together(spark):
+    observed = [("c", "service:a", "service:b", "trace_parent_child", 0.9, "o1", 1, "t"), ("c", "service:a", "service:d", "trace_parent_child", 0.5, "o2", 1, "t")]
+    o = spark.createDataFrame(observed, "case_id string, source string, target string, evidence_kind string, confidence double, observation_id string, observation_count long, text string")
+    schema = {("service", "service"): ("calls", "depends_on")}
+    got = {(r["target"], r["relation"]): r["soft_logic_score"] for r in structural.recover(o, schema=schema, logic=structural.psl).collect()}
+    grid = np.linspace(0, 1, 1001)
+    for target, c in (("service:b", 0.9), ("service:d", 0.5)):
+        p = {"calls": 0.98 * c, "depends_on": 0.35 * c}
+        y, z = np.meshgrid(grid, grid, indexing="ij")
+        loss = sum(1.4 * np.maximum(0, p[r] - v) ** 2 + 0.2 * v**2 for r, v in (("calls", y), ("depends_on", z))) + 1.6 * np.maximum(0, y + z - 1) ** 2
+        i, j = np.unravel_index(loss.argmin(), loss.shape)
+        assert abs(got[target, "calls"] - grid[i]) < 2e-3 and abs(got[target, "depends_on"] - grid[j]) < 2e-3
+    alone = structural.recover(o, logic=structural.psl).collect()
+    assert all(abs(r["soft_logic_score"] - 1.4 * r["abductive_support"] / 1.6) < 1e-12 for r in alone)
+
+
+def test_prompts_carry_all_signals_by_normalised_name(spark):
+    known = spark.createDataFrame([("x", 0, "ts-a", MASKED, "ts-b"), ("x", 1, "ts-b", CAUSAL, "ts-d"), ("x", 2, "ts-d", MASKED, "ts-a")], "case_id string, pos long, source string, relation string, target string")
+    scored = [("x", "a", "b", 0, 0.25, 0.8, 0.5, 0.9, 0.1, 0.75, 0.75), ("x", "ts-A", "B", 1, 0.5, 0.8, 0.5, 0.9, 0.2, None, 0.4)]
+    s = spark.createDataFrame(scored, "case_id string, source string, target string, pos long, abductive_score double, temporal_score double, anomaly_score double, semantic_support double, semantic_contradiction double, soft_logic_score double, final_score double")
+    s = s.withColumn("truth_causal", F.lit(True))
+    ev = spark.createDataFrame([("x", "e1", "ts-a", "trace", "latency", 0.75, None, "slow  a")], "case_id string, evidence_id string, node string, kind string, signal string, abnormality double, ts_s double, text string")
+    symptoms = spark.createDataFrame([("x", "ts-d")], "case_id string, node string")
+    p = adjudication.prompts(known, ev, symptoms, s, keep_loadgen=False).first()["prompt"]
+    assert "0|ts-a|ts-b|decision=0|abd=0.500|temporal=0.800|anomaly=0.500|margin=0.700|logic=NA|final=0.400" in p  # the last of equal names
+    assert "1|ts-d|ts-a|decision=0|abd=NA" in p and "VISIBLE_RELATIONS\nts-b|ts-d" in p and "truth" not in p and "t=NA|slow a" in p
+    adjudication.require_scored(known, s)
+    with pytest.raises(KeyError, match="x"):
+        adjudication.require_scored(known, s.limit(0))
+    q = adjudication.pair_prompts(known, ev.withColumn("pos", F.lit(1)), symptoms).first()["prompt"]
+    assert '{"source":"ts-a","relation":"__MASKED_RELATION__","target":"ts-b"}' in q and '"abnormality":0.75' in q
+
+
+def test_answers_of_pairs_and_broken_answers(spark):
+    assert adjudication.parse_pairs('so {no} ```{"causal_pairs": [["a", "b"], ["c"], "d", ["e", "f", 1]], "root_causes": [1, 2, 3, 4]}```') == ([("a", "b"), ("e", "f")], ["1", "2", "3"], "json")
+    assert adjudication.parse_pairs(None) == adjudication.parse_pairs("[1]") == ([], [], "failed")
+    assert adjudication.parse_answer("{x} {\"causal_ids\": [3], \"root_causes\": null} tail }") == ([3], [], "json")
+    assert adjudication.parse_answer("Root_Causes = [\"a b\", 'c', 5] causal_ids=[]") == ([], ["a b", "c"], "regex_fallback")
+    known = spark.createDataFrame([("x", 0, "a", MASKED, "b"), ("x", 1, "b", CAUSAL, "d"), ("y", 0, "b", CAUSAL, "d")], "case_id string, pos long, source string, relation string, target string")
+    answers = spark.createDataFrame([("x", '{"causal_pairs": [["a", "b"], ["q", "r"]], "root_causes": ["a"]}')], "case_id string, answer string")
+    edges, roots = adjudication.decide_pairs(answers, known)
+    assert {tuple(r) for r in edges.collect()} == {("x", "a", CAUSAL, "b"), ("x", "q", CAUSAL, "r"), ("x", "b", CAUSAL, "d")}
+    assert [tuple(r) for r in roots.collect()] == [("x", "a", 1)]
+
+
+def test_given_picks_mask_as_a_sample_would(spark):
+    known = spark.createDataFrame([("x", i, f"a{i}", "dependency_propagates_to", "b") for i in range(6)], "case_id string, pos long, source string, relation string, target string")
+    gold = spark.createDataFrame([("x", "a1", "b"), ("x", "A-2", "b")], "case_id string, source string, target string")
+    picks = spark.createDataFrame([("x", 1), ("x", 3), ("x", 3), ("x", 99)], "case_id string, place int")
+    visible, truth = masking.causal_mask(known, gold, 0.5, picks=picks)
+    assert [r["relation"] == MASKED for r in visible.orderBy("pos").collect()] == [False, True, False, True, False, False]
+    assert [(r["source"], r["relation"] == CAUSAL) for r in truth.orderBy("pos").collect()] == [("a1", True), ("a3", False)]
+    kept, gone = masking.removal_mask(known, 0.5, picks=picks)
+    assert kept.count() == 4 and gone.count() == 2

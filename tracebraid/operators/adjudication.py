@@ -30,42 +30,88 @@ def candidates(known: DataFrame, keep_loadgen: bool = False) -> DataFrame:
 
 
 def evidence_lines(ev: DataFrame) -> DataFrame:
-    at = F.coalesce(fixed(F.col("ts_s")), F.lit("NA"))
+    at = F.when(F.col("ts_s").isNull(), F.lit("NA")).otherwise(fixed(F.col("ts_s")))
     line = F.concat_ws("|", "node", "kind", "signal", F.concat(F.lit("abn="), fixed(F.col("abnormality"))), F.concat(F.lit("t="), at), compact("text"))
     order = [(-F.col("abnormality")).alias("o1"), F.coalesce("ts_s", F.lit(float("inf"))).alias("o2"), F.col("evidence_id").alias("o3")]
     return lines(ev, line, order, "evidence_lines")
 
 
+#: What a prompt may show of a scored run, and its name there.  Truth columns of a diagnostic table are never read.
+SIGNALS = {
+    "abductive_score": "abd", "temporal_score": "temporal", "anomaly_score": "anomaly",
+    "semantic_margin": "margin", "soft_logic_score": "logic", "final_score": "final",
+}
+
+
+def pair_signals(scores: DataFrame) -> DataFrame:
+    """Per case and normalised pair the signals and the decision of a scored run; of pairs with one name the last counts."""
+    have = scores.columns
+    optional = lambda c, kind="double": F.col(c) if c in have else F.lit(None).cast(kind)
+    margin = optional("semantic_margin") if "semantic_margin" in have else optional("semantic_support") - optional("semantic_contradiction")
+    values = [margin.alias(c) if c == "semantic_margin" else optional(c).alias(c) for c in SIGNALS]
+    decided = F.col("predicted_causal") if "predicted_causal" in have else F.coalesce(optional("final_score") >= 0.5, F.lit(False))
+    order = F.col("pos") if "pos" in have else optional("candidate_id", "long")
+    norm = [normalize_service("source").alias("source_norm"), normalize_service("target").alias("target_norm")]
+    last = F.max_by(F.struct(decided.alias("decided"), *values), F.struct(order, "source", "target"))
+    return scores.groupBy("case_id", *norm).agg(last.alias("s")).select("case_id", "source_norm", "target_norm", "s.*")
+
+
+def require_scored(known: DataFrame, scored: DataFrame) -> None:
+    """Raises when a case is missing in the scored run."""
+    missing = known.select("case_id").distinct().join(scored.select("case_id").distinct(), "case_id", "left_anti").orderBy("case_id").limit(5).collect()
+    if missing:
+        raise KeyError(f"no scored run of cases {', '.join(r['case_id'] for r in missing)}")
+
+
 def prompts(known: DataFrame, ev: DataFrame, symptoms: DataFrame, scores: DataFrame | None = None, keep_loadgen: bool = True, roots: DataFrame | None = None) -> DataFrame:
-    """case_id and prompt.  With ``scores`` each candidate carries the signals of a scored run, ``roots`` are its ranked roots; gold is never read."""
+    """case_id and prompt: masked candidates by id, visible causal pairs, symptoms, telemetry.
+
+    With ``scores`` each candidate carries the signals of a scored run (NA where it
+    has none); ``roots`` are its ranked roots.  Gold is never read.
+    """
     c = candidates(known, keep_loadgen)
-    line = F.concat_ws("|", F.col("id").cast("string"), "source", "target")
+    parts = [F.col("id").cast("string"), F.col("source"), F.col("target")]
     if scores is not None:
-        s = scores.select("case_id", "source", "target", "abductive_score", "final_score")
-        c = c.join(s, ["case_id", "source", "target"], "left")
-        na = lambda x: F.coalesce(fixed(F.col(x)), F.lit("NA"))
-        decided = F.coalesce((F.col("final_score") >= 0.5).cast("int"), F.lit(0)).cast("string")
-        line = F.concat_ws("|", line, F.concat(F.lit("decision="), decided), F.concat(F.lit("abd="), na("abductive_score")), F.concat(F.lit("final="), na("final_score")))
-    seen = known.filter(F.col("relation") != MASKED)
+        c = c.withColumn("source_norm", normalize_service("source")).withColumn("target_norm", normalize_service("target"))
+        c = c.join(pair_signals(scores), ["case_id", "source_norm", "target_norm"], "left")
+        parts.append(F.concat(F.lit("decision="), F.coalesce(F.col("decided").cast("int"), F.lit(0)).cast("string")))
+        parts += [F.concat(F.lit(f"{short}="), F.when(F.col(c).isNull(), F.lit("NA")).otherwise(fixed(F.col(c)))) for c, short in SIGNALS.items()]
+    seen = known.filter(F.col("relation") == CAUSAL)
     seen = seen if keep_loadgen else seen.filter(without_loadgen())
     said = symptoms.groupBy("case_id").agg(F.to_json(F.array_sort(F.collect_set("node"))).alias("symptoms"))
-    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"])
-    parts = [] if roots is None else [roots.groupBy("case_id").agg(F.to_json(F.slice(ranked, 1, 3)).alias("scored_roots"))]
-    parts += [lines(c, line, ["id"], "masked"), lines(seen, F.concat_ws("|", "source", "relation", "target"), ["pos"], "visible"), said, evidence_lines(ev)]
+    tables = [lines(c, F.concat_ws("|", *parts), ["id"], "masked"), lines(seen, F.concat_ws("|", "source", "target"), ["pos"], "visible"), said, evidence_lines(ev)]
+    if roots is not None:
+        ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"])
+        tables.append(roots.groupBy("case_id").agg(F.to_json(F.slice(ranked, 1, 3)).alias("scored_roots")))
     j = known.select("case_id").distinct()
-    for p in parts:
-        j = j.join(p, "case_id", "left")
-    block = lambda title, c: F.concat(F.lit(title + "\n"), F.coalesce(c, F.lit("NONE")))
-    head = (
-        "Decide which hidden relations of an incident's dependency graph are causal.\n"
-        "Choose ids of masked candidates only; rank at most three root-cause services.\n"
-        'Answer with JSON only: {"causal_ids":[0,2],"root_causes":["service-a"]}'
-    )
-    first = [] if roots is None else [F.concat(F.lit("SCORED_ROOTS\n"), F.coalesce("scored_roots", F.lit("[]")))]
-    return j.select(
-        "case_id",
-        F.concat_ws("\n\n", F.lit(head), *first, block("MASKED_CANDIDATES", F.col("masked")), block("VISIBLE_RELATIONS", F.col("visible")), block("SYMPTOM_SERVICES", F.col("symptoms")), block("TELEMETRY", F.col("evidence_lines"))).alias("prompt"),
-    )
+    for t in tables:
+        j = j.join(t, "case_id", "left")
+    block = lambda title, c, none="NONE": F.concat(F.lit(title + "\n"), F.coalesce(c, F.lit(none)))
+    blocks = [block("SCORED_ROOTS", "scored_roots", "[]")] if roots is not None else []
+    blocks += [block("MASKED_CANDIDATES", "masked"), block("VISIBLE_RELATIONS", "visible"), block("SYMPTOM_SERVICES", "symptoms"), block("TELEMETRY", "evidence_lines")]
+    return j.select("case_id", F.concat_ws("\n\n", F.lit(SCORED_TASK if scores is not None else TASK), *blocks).alias("prompt"))
+
+
+TASK = """Below is one incident of a service system. Pairs marked as masked were observed, their labels are hidden.
+Name the masked pairs over which the incident spread, by id, and up to three services where it began, the likeliest first.
+Reply with one JSON object and nothing else: {"causal_ids":[0,2],"root_causes":["service-a"]}"""
+SCORED_TASK = TASK + """
+Each masked pair carries what an earlier analysis found: its decision, scores from 0 to 1, and a margin from -1 to 1. It may be wrong.
+The visible relations are causal already and need no id."""
+PAIR_TASK = f"""Below is one incident of a service system, as JSON. All pairs were observed; those labelled {MASKED} hide whether the incident spread over them.
+List the hidden pairs over which it did, and up to three services where it began, the likeliest first. Pairs that are not listed do not exist.
+Reply with one JSON object and nothing else: {{"causal_pairs":[["source","target"]],"root_causes":["service"]}}"""
+
+
+def pair_prompts(known: DataFrame, ev: DataFrame, symptoms: DataFrame) -> DataFrame:
+    """case_id and prompt of the direct baseline: relations, evidence and symptoms as JSON; answers name pairs, not ids."""
+    listed = lambda df, order, row, name: df.groupBy("case_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("row")))), lambda x: x["row"])).alias(name))
+    relations = listed(known, "pos", F.struct("source", "relation", "target"), "relations")
+    seen = F.struct("node", "kind", "signal", F.round("abnormality", 4).alias("abnormality"), F.col("ts_s").alias("timestamp"), "text")
+    j = relations.join(listed(ev, "pos", seen, "evidence"), "case_id", "left")
+    j = j.join(symptoms.groupBy("case_id").agg(F.to_json(F.array_sort(F.collect_set("node"))).alias("symptoms")), "case_id", "left")
+    block = lambda title, c: F.concat(F.lit(title + "\n"), F.coalesce(c, F.lit("[]")))
+    return j.select("case_id", F.concat_ws("\n\n", F.lit(PAIR_TASK), block("RELATIONS", "relations"), block("TELEMETRY", "evidence"), block("SYMPTOM_SERVICES", "symptoms")).alias("prompt"))
 
 
 def ask(prompt_rows: DataFrame, make_client: Callable[[], Client], batch: int = 8) -> DataFrame:
@@ -83,28 +129,64 @@ def ask(prompt_rows: DataFrame, make_client: Callable[[], Client], batch: int =
 
 
 def parse_object(text: str) -> dict:
-    """The JSON object inside an answer, code fences and surroundings cut off."""
-    begin, end = text.find("{"), text.rfind("}")
-    value = json.loads(text[begin : end + 1]) if 0 <= begin < end else None
-    if not isinstance(value, dict):
-        raise ValueError("no JSON object")
-    return value
+    """The first JSON object inside an answer, whatever stands around it."""
+    decoder, at = json.JSONDecoder(), -1
+    while (at := text.find("{", at + 1)) >= 0:
+        try:
+            return decoder.raw_decode(text, at)[0]
+        except ValueError:
+            continue
+    raise ValueError("no JSON object")
+
+
+_TOKEN = re.compile(r"(?P<key>causal_ids|root_causes)\s*[:=]|(?P<open>\[)|(?P<close>\])|(?P<text>'[^'\"]+'|\"[^'\"]+\")|(?P<number>-?\d+)", re.IGNORECASE)
+
+
+def _listed(text: str) -> dict[str, list[str]]:
+    """Lists after the two keys in text that is no JSON: a list's numbers, and its quoted texts without the quotes."""
+    found: dict[str, list[str]] = {}
+    key, inside = None, False
+    for m in _TOKEN.finditer(text):
+        kind = m.lastgroup
+        if kind == "key":
+            key, inside = m["key"].lower(), False
+        elif kind == "open" and key is not None and not inside and key not in found:
+            found[key], inside = [], True
+        elif kind == "close":
+            key, inside = None, False
+        elif inside and kind == ("number" if key == "causal_ids" else "text"):
+            found[key].append(m[kind].strip("'\""))
+    return found
+
+
+def _whole(x: object) -> int | None:
+    try:
+        return int(str(x))
+    except ValueError:
+        return None
 
 
 def parse_answer(text: str | None) -> tuple[list[int], list[str], str]:
-    """(ids, roots, mode): from JSON, else by pattern, else nothing."""
-    text = text or ""
+    """(ids, roots, mode): from JSON, else from lists behind the keys (``regex_fallback``), else nothing (``failed``)."""
     try:
-        found = parse_object(text)
-        ids = [int(str(x)) for x in found.get("causal_ids") or [] if re.fullmatch(r"-*\d+", str(x))]
-        return ids, [str(x) for x in found.get("root_causes") or []], "json"
+        answer = parse_object(text or "")
+        numbers, names, mode = list(answer.get("causal_ids") or []), list(answer.get("root_causes") or []), "json"
+    except (ValueError, TypeError):
+        lists = _listed(text or "")
+        numbers, names = lists.get("causal_ids", []), lists.get("root_causes", [])
+        mode = "regex_fallback" if lists else "failed"
+    ids = [n for n in map(_whole, numbers) if n is not None]
+    return ids, [str(x) for x in names], mode
+
+
+def parse_pairs(text: str | None) -> tuple[list[tuple[str, str]], list[str], str]:
+    """(pairs, roots, mode) of a direct answer; what is no list of two names or more is left out."""
+    try:
+        answer = parse_object(text or "")
+        pairs = [(str(x[0]), str(x[1])) for x in answer.get("causal_pairs") or [] if isinstance(x, list) and len(x) >= 2]
+        return pairs, [str(x) for x in answer.get("root_causes") or []][:3], "json"
     except (ValueError, TypeError):
-        pass
-    listed = {k: re.search(rf"{k}\s*[:=]\s*\[([^\]]*)\]", text, re.IGNORECASE | re.DOTALL) for k in ("causal_ids", "root_causes")}
-    if not any(listed.values()):
         return [], [], "failed"
-    inside = {k: m.group(1) if m else "" for k, m in listed.items()}
-    return [int(x) for x in re.findall(r"-?\d+", inside["causal_ids"])], re.findall(r"['\"]([^'\"]+)['\"]", inside["root_causes"]), "regex_fallback"
 
 
 _PARSED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("roots", T.ArrayType(T.StringType())), T.StructField("mode", T.StringType())])
@@ -115,6 +197,26 @@ def parsed(answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_answer(a) for a in answers], columns=["ids", "roots", "mode"])
 
 
+_NAMES = T.ArrayType(T.StringType())
+_PAIR = T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType())])
+_PAIRS = T.StructType([T.StructField("pairs", T.ArrayType(_PAIR)), T.StructField("roots", _NAMES), T.StructField("mode", T.StringType())])
+
+
+@F.pandas_udf(_PAIRS)
+def parsed_pairs(answers: pd.Series) -> pd.DataFrame:
+    rows = [parse_pairs(a) for a in answers]
+    return pd.DataFrame([([{"source": a, "target": b} for a, b in pairs], roots, mode) for pairs, roots, mode in rows], columns=["pairs", "roots", "mode"])
+
+
+def decide_pairs(answers: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges: the answered pairs and the visible causal ones, roots by rank) of direct answers; names are taken as they are."""
+    p = answers.withColumn("p", parsed_pairs("answer")).select("case_id", "p.*")
+    pairs = p.select("case_id", F.inline("pairs")).select("case_id", "source", F.lit(CAUSAL).alias("relation"), "target")
+    visible = known.filter(F.col("relation") == CAUSAL).join(p.select("case_id"), "case_id", "left_semi").select("case_id", "source", "relation", "target")
+    roots = p.select("case_id", F.posexplode("roots").alias("at", "node"))
+    return visible.unionByName(pairs).distinct(), roots.select("case_id", "node", (F.col("at") + 1).cast("long").alias("rank"))
+
+
 def decide(answers: DataFrame, known: DataFrame, ev: DataFrame | None, keep_loadgen: bool = False, most: int = 3, scored_roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges chosen by valid ids and visible causal ones, roots as canonical services, counts) of parsed answers.
 

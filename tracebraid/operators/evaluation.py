@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expressions import ratio_of
-from ..functions.predicates import structural
+from ..functions.expressions import normalize_service, ratio_of
+from ..functions.predicates import structural, without_loadgen
 from ..schemas import CAUSAL
 from . import incident, masking, metrics, structural as s1
 from .incident import PAIR
@@ -79,6 +79,34 @@ def stage1(relations: DataFrame, observations: DataFrame, cases: DataFrame, rati
     }
 
 
+#: Stage-1 variants: whether a semantic scorer moves the scores, and the logic; topology_only recovers nothing.
+STAGE1_VARIANTS: dict[str, tuple[bool, str] | None] = {
+    "topology_only": None, "abduction": (False, "none"), "abduction_semantic": (True, "none"), "abduction_psl": (False, "psl"), "abduction_semantic_psl": (True, "psl"),
+}
+
+
+def stage1_variant(relations: DataFrame, observations: DataFrame, cases: DataFrame, ratio: float, variant: str, semantic=None, **options) -> dict[str, DataFrame]:
+    """``stage1`` under a variant's name; ``semantic`` is the scorer of those that use one."""
+    uses = STAGE1_VARIANTS[variant]
+    if uses is None:
+        return stage1(relations, observations.limit(0), cases, ratio, **options)
+    if uses[0] and semantic is None:
+        raise ValueError(f"{variant} needs a semantic scorer")
+    return stage1(relations, observations, cases, ratio, semantic=semantic if uses[0] else None, logic=s1.LOGIC[uses[1]], **options)
+
+
+def insertion_rate(rows: DataFrame) -> DataFrame:
+    """One row: the share of inserted relations that are wrong; 0 without any."""
+    n = rows.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"), F.coalesce(F.sum("fp"), F.lit(0)).alias("fp"))
+    return n.select("tp", "fp", ratio_of("fp", F.col("tp") + F.col("fp")).alias("rate"))
+
+
+def pooled_ceiling(ceiling: DataFrame) -> DataFrame:
+    """One row over all cases: missing relations, those among the candidates, their share (null without any missing)."""
+    n = ceiling.agg(F.coalesce(F.sum("n_missing"), F.lit(0)).alias("n_missing"), F.coalesce(F.sum("n_candidates"), F.lit(0)).alias("n_candidates"))
+    return n.withColumn("ceiling", F.try_divide("n_candidates", "n_missing"))
+
+
 def conditions(visible: DataFrame, added: DataFrame, full: DataFrame) -> DataFrame:
     """The three topologies of each case, by ``condition``."""
     parts = {"incomplete": visible, "recovered": visible.select("case_id", *EDGE).union(added.select("case_id", *EDGE)), "complete": full}
@@ -103,20 +131,26 @@ def topology_rca(topologies: DataFrame, ev: DataFrame, symptoms: DataFrame, gold
     all_cases, ev, symptoms = spread(cases), spread(ev), spread(symptoms)
     gold_edges, gold_roots, alarms = spread(gold_edges), spread(gold_roots), spread(alarms)
     _, edges, roots = incident.predict(known, ev, symptoms, logic=logic)
-    score = lambda df, name: df.select("case_id", F.col("f1").alias(name))
+    named = lambda df, name: df.select("case_id", *[F.col(c).alias(f"{name}_{c}") for c in ("precision", "recall", "f1")])
     out = all_cases.select("case_id").distinct()
     for df in (
-        score(metrics.edge_prf(edges, gold_edges, all_cases), "edge_f1"),
-        score(metrics.node_prf(edges, gold_edges, all_cases, roots, gold_roots), "node_f1"),
-        score(metrics.root_prf(roots, gold_roots, all_cases), "root_f1"),
+        named(metrics.edge_prf(edges, gold_edges, all_cases), "edge"),
+        named(metrics.node_prf(edges, gold_edges, all_cases, roots, gold_roots), "node"),
+        named(metrics.root_prf(roots, gold_roots, all_cases), "root"),
         metrics.root_hits(roots, gold_roots, all_cases),
         metrics.path_reachability(edges, roots, gold_roots, alarms, all_cases),
     ):
         out = out.join(df, "case_id")
+    for df, name in ((roots, "n_predicted_roots"), (edges, "n_predicted_edges")):
+        out = out.join(df.groupBy("case_id").agg(F.count("*").alias(name)), "case_id", "left").na.fill(0, [name])
     return out.withColumn("condition", F.substring_index("case_id", "|", -1)).withColumn("case_id", F.substring_index("case_id", "|", 1))
 
 
-SCORES = ("edge_f1", "node_f1", "root_f1", "any_hit", "all_hit", "exact", "hit_1", "hit_3", "path_reachability")
+#: Scores of a row that are summarised, and those whose differences are reported.
+SCORES = (
+    "any_hit", "all_hit", "root_precision", "root_recall", "root_f1", "exact", "hit_1", "hit_3", "path_reachability",
+    "node_precision", "node_recall", "node_f1", "edge_precision", "edge_recall", "edge_f1",
+)
 DELTAS = ("edge_f1", "node_f1", "root_f1", "any_hit", "exact", "path_reachability")
 
 
@@ -136,8 +170,6 @@ def condition_summary(rows: DataFrame) -> DataFrame:
 
 def with_positions(edges: DataFrame) -> DataFrame:
     """Adds ``pos`` in order of source and target within the case."""
-    from pyspark.sql import Window
-
     return edges.withColumn("pos", F.row_number().over(Window.partitionBy("case_id").orderBy("source", "target")).cast("long"))
 
 
@@ -145,15 +177,18 @@ def with_positions(edges: DataFrame) -> DataFrame:
 ABLATIONS: dict[str, tuple[bool, str]] = {"abduction": (False, "none"), "semantic": (True, "none"), "abduction_psl": (False, "psl"), "full": (True, "psl")}
 
 
-def ablation(known: DataFrame, gold: DataFrame, ev: DataFrame, symptoms: DataFrame, gold_roots: DataFrame, alarms: DataFrame, cases: DataFrame, variant: str, mode: str = "relation", ratio: float = 0.4, seed: int = 42, semantic=None) -> DataFrame:
-    """A row of scores per case for one variant and mask; ``graph_only`` uses visible causal edges alone."""
+def ablation(known: DataFrame, gold: DataFrame, ev: DataFrame, symptoms: DataFrame, gold_roots: DataFrame, alarms: DataFrame, cases: DataFrame, variant: str, mode: str = "relation", ratio: float = 0.4, seed: int = 42, semantic=None, picks: DataFrame | None = None) -> DataFrame:
+    """A row of scores per case for one variant and mask; ``graph_only`` uses visible causal edges alone.
+
+    ``mode``: ``relation`` hides labels, ``edge`` removes edges, ``none`` masks nothing.
+    """
     if mode not in ("relation", "edge", "none") or variant not in ("graph_only", *ABLATIONS):
         raise ValueError(f"unknown mode or variant: {mode}, {variant}")
     truth = None
     if mode == "relation":
-        known, truth = masking.causal_mask(known, gold, ratio, seed)
+        known, truth = masking.causal_mask(known, gold, ratio, seed, picks)
     elif mode == "edge":
-        known, _ = masking.removal_mask(known, ratio, seed)
+        known, _ = masking.removal_mask(known, ratio, seed, picks)
     if variant == "graph_only":
         edges, roots = known.filter(F.col("relation") == CAUSAL), incident.graph_only_roots(known, ev, symptoms)
     else:
@@ -174,6 +209,23 @@ def ablation(known: DataFrame, gold: DataFrame, ev: DataFrame, symptoms: DataFra
     return out
 
 
+def pair_diagnostics(truth: DataFrame, predicted: DataFrame, h: DataFrame) -> DataFrame:
+    """Hidden pairs in order, as ``candidate_id``, with their truth, the decision and the hypothesis's scores (null without one).
+
+    Pairs meet by normalised names; of hypotheses with one name the last counts.
+    """
+    norm = [normalize_service("source").alias("source_norm"), normalize_service("target").alias("target_norm")]
+    key = ["case_id", "source_norm", "target_norm"]
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("pos")) - 1
+    t = truth.select("case_id", place.cast("long").alias("candidate_id"), *PAIR, *norm, F.col("relation").alias("truth_relation"), (F.col("relation") == CAUSAL).alias("truth_causal"))
+    p = predicted.select("case_id", *norm).distinct().withColumn("predicted_causal", F.lit(True))
+    scores = ("abductive_score", "temporal_score", "anomaly_score", "semantic_support", "semantic_contradiction", "semantic_neutral", "soft_logic_score", "final_score")
+    last = h.groupBy("case_id", *norm).agg(F.max_by(F.struct(*scores), "pos").alias("s"))
+    j = t.filter(without_loadgen()).join(p, key, "left").join(last, key, "left")
+    margin = F.col("s.semantic_support") - F.col("s.semantic_contradiction")
+    return j.select(*t.columns, F.coalesce("predicted_causal", F.lit(False)).alias("predicted_causal"), *[F.col(f"s.{c}").alias(c) for c in scores], margin.alias("semantic_margin"))
+
+
 def inference_view(known: DataFrame, relation: str = "dependency_propagates_to") -> DataFrame:
     """Edges as a model may see them: every label an observed dependency; gold tables are not part of it."""
     return known.withColumn("relation", F.lit(relation))
@@ -222,11 +274,3 @@ def require_independent(audit: DataFrame, allow_derived: bool = False) -> str:
     if bad and not allow_derived:
         raise ValueError("primary evaluation requires an independent reference: " + "; ".join(f"{r['case_id']}: {', '.join(r['issues'])}" for r in bad))
     return "diagnostic_only" if bad else "primary"
-
-
-def multi_run(run: Callable[[float, int], DataFrame], ratios: list[float], seeds: list[int]) -> DataFrame:
-    """The union of runs over ratios and seeds, as one plan."""
-    parts = [run(r, s).withColumn("mask_ratio", F.lit(r)).withColumn("seed", F.lit(s)) for r in ratios for s in seeds]
-    return reduce(DataFrame.unionByName, parts)
-
-

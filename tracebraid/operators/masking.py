@@ -63,11 +63,14 @@ def _sampled(case_id: str, seed: int, n: int, k: int):
     return sorted(random.Random(case_seed(case_id, seed)).sample(range(n), k)) if k else []
 
 
-def _sample_positions(edges: DataFrame, ratio: float, seed: int) -> DataFrame:
-    n = edges.groupBy("case_id").agg(F.count("*").cast("int").alias("n"))
-    picks = n.select("case_id", F.explode(_sampled("case_id", F.lit(seed), "n", half_even(F.col("n") * F.lit(_checked(ratio))).cast("int"))).alias("place"))
+def _sample_positions(edges: DataFrame, ratio: float, seed: int, picks: DataFrame | None = None) -> DataFrame:
+    """Adds ``picked``: by a seeded sample, or where ``picks`` (case_id and place, from 0 in order of ``pos``) says so."""
+    if picks is None:
+        n = edges.groupBy("case_id").agg(F.count("*").cast("int").alias("n"))
+        picks = n.select("case_id", F.explode(_sampled("case_id", F.lit(seed), "n", half_even(F.col("n") * F.lit(_checked(ratio))).cast("int"))).alias("place"))
     place = (F.row_number().over(Window.partitionBy("case_id").orderBy("pos")) - 1).alias("place")
-    return edges.select("*", place).join(picks.withColumn("picked", F.lit(True)), ["case_id", "place"], "left").withColumn("picked", F.coalesce("picked", F.lit(False))).drop("place")
+    picks = picks.select("case_id", "place").distinct().withColumn("picked", F.lit(True))
+    return edges.select("*", place).join(picks, ["case_id", "place"], "left").withColumn("picked", F.coalesce("picked", F.lit(False))).drop("place")
 
 
 def labelled(known: DataFrame, gold: DataFrame) -> DataFrame:
@@ -78,14 +81,14 @@ def labelled(known: DataFrame, gold: DataFrame) -> DataFrame:
     return k.withColumn("relation", F.when(F.col("is_gold"), CAUSAL).otherwise(NON_CAUSAL)).drop("is_gold")
 
 
-def causal_mask(known: DataFrame, gold: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(edges with hidden labels, truth of the hidden ones); ``known`` has ``pos``."""
-    all_edges = _sample_positions(labelled(known, gold), ratio, seed)
+def causal_mask(known: DataFrame, gold: DataFrame, ratio: float, seed: int = 42, picks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges with hidden labels, truth of the hidden ones); ``known`` has ``pos``, ``picks`` replaces the sample."""
+    all_edges = _sample_positions(labelled(known, gold), ratio, seed, picks)
     visible = all_edges.withColumn("relation", F.when(F.col("picked"), MASKED).otherwise(F.col("relation"))).drop("picked")
     return visible, all_edges.filter("picked").drop("picked")
 
 
-def removal_mask(known: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def removal_mask(known: DataFrame, ratio: float, seed: int = 42, picks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges that stay, edges removed)."""
-    all_edges = _sample_positions(known, ratio, seed)
+    all_edges = _sample_positions(known, ratio, seed, picks)
     return all_edges.filter("NOT picked").drop("picked"), all_edges.filter("picked").drop("picked")

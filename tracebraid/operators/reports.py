@@ -58,30 +58,39 @@ def score_diagnostics(h: DataFrame) -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Two variants' scores of the same pairs (case_id, source, target, score): one row.
+    """Two variants' scores of the same pairs (case_id, source, target, score and, if known, base): one row.
 
-    The correlation is null below two pairs and without variance.
+    Rates and means are null without common pairs, the correlation also below two
+    pairs and without variance.  Shifts are the mean distances of the scores from ``base``.
     """
     key = ["case_id", "source", "target"]
-    a = left.groupBy(*key).agg(F.max("score").alias("a"))
-    b = right.groupBy(*key).agg(F.max("score").alias("b"))
-    j = a.join(b, key, "full_outer")
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        base = F.col("base") if "base" in df.columns else F.lit(None).cast("double")
+        best = df.select(*key, "score", base.alias("base")).groupBy(*key).agg(F.max(F.struct("score", "base")).alias("s"))
+        return best.select(*key, F.col("s.score").alias(name), F.col("s.base").alias(f"{name}_base"))
+
+    j = one(left, "a").join(one(right, "b"), key, "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     up_a, up_b = F.col("a") >= threshold, F.col("b") >= threshold
     x, y = F.when(both, F.col("a")), F.when(both, F.col("b"))
     n = F.count_if(both)
     cov = F.avg(x * y) - F.avg(x) * F.avg(y)
     var = (F.avg(x * x) - F.avg(x) * F.avg(x)) * (F.avg(y * y) - F.avg(y) * F.avg(y))
+    differ = F.count_if(both & (up_a != up_b))
     return j.agg(
         n.alias("n_common"),
         F.count_if(F.col("b").isNull()).alias("n_only_left"),
         F.count_if(F.col("a").isNull()).alias("n_only_right"),
-        F.count_if(both & (up_a != up_b)).alias("n_disagree"),
+        differ.alias("n_disagree"),
         F.count_if(both & up_a & ~up_b).alias("n_left_only_up"),
         F.count_if(both & ~up_a & up_b).alias("n_right_only_up"),
+        F.try_divide(differ, n).alias("disagreement_rate"),
         F.avg(F.abs(x - y)).alias("mean_abs_error"),
         F.when((n >= 2) & (var > 1e-24), cov / F.sqrt(var)).alias("pearson"),
         F.avg((F.abs(x - y) <= 1e-12).cast("double")).alias("equal_rate"),
+        F.avg(F.abs(x - F.col("a_base"))).alias("mean_abs_left_shift"),
+        F.avg(F.abs(y - F.col("b_base"))).alias("mean_abs_right_shift"),
     )
 
 

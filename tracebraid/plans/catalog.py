@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import entity_kind, entity_value
 from ..operators import adjudication, evaluation, evidence, incident, masking, metrics, reports, semantic, structural
 from ..operators.graph import cut
+from ..schemas import MASKED
 from .sample import RATIO, Sample
 
 EDGE = ["case_id", "source", "relation", "target"]
@@ -67,8 +70,20 @@ def _added(s: Sample) -> DataFrame:
 
 
 def _insertion(s: Sample) -> DataFrame:
-    n = s.stage1["rows"].agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    return n.select(F.round(F.coalesce(F.try_divide("fp", F.col("tp") + F.col("fp")), F.lit(0.0)), 6).alias("rate"))
+    return evaluation.insertion_rate(s.stage1["rows"]).select(*r6("rate"))
+
+
+def _counts(rows: DataFrame, by: str) -> DataFrame:
+    return structural.type_counts(rows, by).select("case_id", F.explode("counts").alias(by, "n"))
+
+
+def _variants(s: Sample) -> DataFrame:
+    """Pooled scores of every stage-1 variant; the semantic ones with the deterministic scorer."""
+    out = []
+    for name in evaluation.STAGE1_VARIANTS:
+        run = evaluation.stage1_variant(s.relations, s.observed_normal, s.cases, RATIO, name, semantic=lambda _, h: structural.deterministic_semantics(h))
+        out.append(scores(run["micro"].withColumn("variant", F.lit(name)), "variant"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _shift(s: Sample) -> DataFrame:
@@ -111,10 +126,15 @@ def _diagnostics(s: Sample) -> DataFrame:
 
 
 def _compare(s: Sample) -> DataFrame:
-    h = incident.causal_hypotheses(s.known, s.evidence)
+    """Two variants on two edge masks, so that each has pairs that the other lacks."""
     pair = ["case_id", "source", "target"]
-    c = reports.compare(h.select(*pair, F.col("abductive_score").alias("score")), h.select(*pair, incident.local_score().alias("score")))
-    return c.select(*c.columns[:6], *r6("mean_abs_error", "pearson", "equal_rate"))
+
+    def run(picks: DataFrame, semantic) -> DataFrame:
+        h, _, _ = incident.predict(masking.removal_mask(s.known, RATIO, picks=picks)[0], s.evidence, s.symptoms, semantic=semantic)
+        return h.select(*pair, F.col("final_score").alias("score"), F.col("abductive_score").alias("base"))
+
+    c = reports.compare(run(s.picks(), None), run(s.picks(3, 1), semantic.deterministic_causal))
+    return c.select(*c.columns[:6], *r6(*c.columns[6:]))
 
 
 def _claims(s: Sample) -> DataFrame:
@@ -132,16 +152,21 @@ def _psl(s: Sample) -> DataFrame:
 
 
 def _causal_mask(s: Sample) -> DataFrame:
-    visible, _ = masking.causal_mask(s.known, s.gold_edges, RATIO)
-    return visible.select(*EDGE, "pos")
+    return s.hidden[0].select(*EDGE, "pos")
 
 
 def _removal_mask(s: Sample) -> DataFrame:
-    return masking.removal_mask(s.known, RATIO)[0].select(*EDGE, "pos")
+    return masking.removal_mask(s.known, RATIO, picks=s.picks())[0].select(*EDGE, "pos")
+
+
+def _seeded_masks(s: Sample) -> DataFrame:
+    """Both masks by the seeded sample, with the kind of mask."""
+    masks = (("causal", masking.causal_mask(s.known, s.gold_edges, RATIO)[0]), ("removal", masking.removal_mask(s.known, RATIO)[0]))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("mask"), *EDGE, "pos") for kind, df in masks])
 
 
 def _token_overlap_model():
-    """A stand-in for a language model: the share of a claim's words that its premise has."""
+    """A model of a few rules: the share of a claim's words that its premise has."""
 
     def run(premises: list[str], claims: list[str]) -> list[float]:
         return [len(set(c.split()) & set(p.split())) / max(1, len(set(c.split()))) for p, c in zip(premises, claims, strict=True)]
@@ -154,37 +179,91 @@ def _contrastive(s: Sample) -> DataFrame:
     return h.select(*EDGE, *r6("semantic_support", "semantic_contradiction", "semantic_neutral", "final_score"))
 
 
-def _first_candidates():
-    """A stand-in client: picks the first candidate and the first symptom."""
+def _section(prompt: str, title: str) -> list[str]:
+    return prompt.split(f"\n\n{title}\n", 1)[1].split("\n\n", 1)[0].splitlines()
 
-    def run(prompts: list[str]) -> list[str]:
-        return ['```json\n{"causal_ids": [0, 999], "root_causes": ["svc-0", "nobody"]}\n```' for _ in prompts]
 
-    return run
+def _reading_client():
+    """A client of a few rules that reads its prompt: what the scored run decided, an unknown id and name, a symptom, the first scored root."""
+
+    def answer(prompt: str) -> str:
+        ids = [int(line.split("|", 1)[0]) for line in _section(prompt, "MASKED_CANDIDATES") if "|decision=1|" in line]
+        symptoms, roots = (json.loads("".join(_section(prompt, t))) for t in ("SYMPTOM_SERVICES", "SCORED_ROOTS"))
+        return "```json\n" + json.dumps({"causal_ids": [*ids, 999_999], "root_causes": ["nobody", *symptoms[:1], *roots[:1]]}) + "\n```"
+
+    return lambda prompts: [answer(p) for p in prompts]
 
 
 def _adjudicated(part: int) -> Callable[[Sample], DataFrame]:
     """Of edges, roots and counts the ``part``-th."""
 
     def f(s: Sample) -> DataFrame:
-        known = cut(masking.causal_mask(s.known, s.gold_edges, RATIO)[0])
-        h, _, roots = incident.predict(known, s.evidence, s.symptoms, semantic=semantic.deterministic_causal, logic=incident.soft_logic)
-        roots = cut(roots)
-        answers = adjudication.ask(adjudication.prompts(known, s.evidence, s.symptoms, cut(h), roots=roots), _first_candidates)
-        return adjudication.decide(answers, known, s.evidence, scored_roots=roots)[part]
+        h, _, roots = incident.predict(s.hidden[0], s.evidence, s.symptoms, semantic=semantic.deterministic_causal)
+        h, roots = cut(h), cut(roots)
+        adjudication.require_scored(s.hidden[0], h)
+        answers = adjudication.ask(adjudication.prompts(s.hidden[0], s.evidence, s.symptoms, h, keep_loadgen=False, roots=roots), _reading_client)
+        return adjudication.decide(cut(answers), s.hidden[0], s.evidence, scored_roots=roots)[part]
 
     return f
 
 
-def _ablation(variant: str) -> Callable[[Sample], DataFrame]:
+def _pair_client():
+    """A client of a few rules for direct prompts: hidden pairs in alphabetical order, the last symptom."""
+
+    def answer(prompt: str) -> str:
+        relations, symptoms = (json.loads("".join(_section(prompt, t))) for t in ("RELATIONS", "SYMPTOM_SERVICES"))
+        pairs = [[r["source"], r["target"]] for r in relations if r["relation"] == MASKED and r["source"] < r["target"]]
+        return json.dumps({"causal_pairs": [*pairs, ["alone"], "text"], "root_causes": symptoms[-1:]})
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+def _direct(part: int) -> Callable[[Sample], DataFrame]:
+    """Of edges and roots the ``part``-th."""
+
     def f(s: Sample) -> DataFrame:
-        return evaluation.ablation(s.known, s.gold_edges, s.evidence, s.symptoms, s.gold_roots, s.alarms, s.cases, variant, ratio=RATIO, semantic=semantic.deterministic_causal)
+        answers = adjudication.ask(adjudication.pair_prompts(s.hidden[0], s.evidence, s.symptoms), _pair_client)
+        return adjudication.decide_pairs(cut(answers), s.hidden[0])[part]
 
     return f
 
 
+def _pair_rows(s: Sample) -> DataFrame:
+    known, truth = s.hidden
+    h, edges, _ = incident.predict(known, s.evidence, s.symptoms, semantic=semantic.deterministic_causal)
+    d = evaluation.pair_diagnostics(truth, edges, h)
+    return d.select("case_id", "candidate_id", "source", "target", "truth_relation", "truth_causal", "predicted_causal", *r6("abductive_score", "temporal_score", "anomaly_score", "semantic_margin", "final_score"))
+
+
+def _ablation(variant: str, mode: str = "relation", seeded: bool = False) -> Callable[[Sample], DataFrame]:
+    def f(s: Sample) -> DataFrame:
+        picks = None if seeded else s.picks()
+        rows = evaluation.ablation(s.known, s.gold_edges, s.evidence, s.symptoms, s.gold_roots, s.alarms, s.cases, variant, mode, RATIO, semantic=semantic.deterministic_causal, picks=picks)
+        return rows.select("case_id", *r6(*rows.columns[1:]))
+
+    return f
+
+
+def _rca(s: Sample) -> DataFrame:
+    whole = ["n_predicted_roots", "n_predicted_edges"]
+    return s.rca.select("case_id", "condition", *whole, *r6(*[c for c in s.rca.columns if c not in ("case_id", "condition", *whole)]))
+
+
+def _deltas(s: Sample) -> DataFrame:
+    d = evaluation.condition_deltas(s.rca)
+    return d.select("case_id", *r6(*d.columns[1:]))
+
+
+def _condition_means(s: Sample) -> DataFrame:
+    d = evaluation.condition_summary(s.rca)
+    return d.select("condition", "n", *r6(*d.columns[2:]))
+
+
 def _standard(s: Sample) -> DataFrame:
-    return evaluation.standard_track(s.known, s.evidence, s.symptoms)
+    """Lists as text: roots in order, edges by name."""
+    t = evaluation.standard_track(s.known, s.evidence, s.symptoms)
+    edges = F.array_join(F.transform("propagation", lambda x: F.concat_ws("->", x.source, x.target)), ";")
+    return t.select("case_id", F.array_join("root_causes", ",").alias("root_causes"), edges.alias("propagation"))
 
 
 QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
@@ -192,13 +271,13 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "deployment_observations": observed("service_pod_cooccurrence", "pod_node_cooccurrence"),
     "db_msg_observations": observed("db_client_context", "messaging_context"),
     "system_inventory": observed("system_inventory"),
-    "observation_type_counts": lambda s: s.observed.groupBy("case_id", "evidence_kind").agg(F.count("*").alias("n")),
+    "observation_type_counts": lambda s: _counts(s.observed, "evidence_kind"),
     "abductive_hypotheses": _hypotheses,
     "structural_soft_logic": _logic(structural.soft_logic),
     "structural_psl_closed_form": _logic(structural.psl),
     "structural_semantic_scores": _structural_semantics,
     "propagation_edges": lambda s: s.known.select(*EDGE, "pos"),
-    "relation_type_counts": lambda s: s.relations.groupBy("case_id", "relation").agg(F.count("*").alias("n")),
+    "relation_type_counts": lambda s: _counts(s.relations, "relation"),
     "group_mask_20": _mask(0.2),
     "group_mask_40": _mask(0.4),
     "group_mask_60": _mask(0.6),
@@ -211,7 +290,9 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "stage1_micro": lambda s: scores(s.stage1["micro"]),
     "stage1_per_type": lambda s: scores(s.stage1["per_relation"], "relation"),
     "candidate_ceiling": lambda s: s.stage1["ceiling"].select("case_id", "n_missing", "n_candidates", *r6("ceiling")),
+    "candidate_ceiling_pooled": lambda s: evaluation.pooled_ceiling(s.stage1["ceiling"]).select("n_missing", "n_candidates", *r6("ceiling")),
     "false_insertion_rate": _insertion,
+    "stage1_variants": _variants,
     "service_stats": lambda s: evidence.service_stats(s.t.traces).select("case_id", "win", "service_name", "n", *r6("error_rate", "p95", "p99")),
     "log_error_rate": lambda s: evidence.log_rates(s.t.logs).select("case_id", "win", "service_name", *r6("log_rate")),
     "metric_shift": _shift,
@@ -237,22 +318,31 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "normalize_service": lambda s: s.services(),
     "entity_parts": lambda s: s.observed.select("source").distinct().select("source", entity_kind("source").alias("kind"), entity_value("source").alias("value")),
     "claims": _claims,
-    # Without SQL: fixpoints, solvers, seeded samples, models.
     "incident_soft_logic": _soft_logic,
-    "incident_psl": _psl,
     "causal_mask": _causal_mask,
     "removal_mask": _removal_mask,
     "contrastive_scores": _contrastive,
     "adjudication": _adjudicated(2),
     "adjudication_edges": _adjudicated(0),
     "adjudication_roots": _adjudicated(1),
-    "topology_condition_rows": lambda s: s.rca,
-    "topology_condition_deltas": lambda s: evaluation.condition_deltas(s.rca),
-    "topology_condition_summary": lambda s: evaluation.condition_summary(s.rca),
+    "direct_pairs_edges": _direct(0),
+    "direct_pairs_roots": _direct(1),
+    "pair_diagnostics": _pair_rows,
+    "topology_condition_rows": _rca,
+    "topology_condition_deltas": _deltas,
+    "topology_condition_summary": _condition_means,
     "ablation_graph_only": _ablation("graph_only"),
     "ablation_abduction": _ablation("abduction"),
-    "ablation_full": _ablation("full"),
+    "ablation_semantic": _ablation("semantic"),
+    "ablation_edge_mask": _ablation("abduction", "edge"),
+    "ablation_no_mask": _ablation("abduction", "none"),
     "standard_track": _standard,
+    # Without SQL: the joint solver and samples by a seed.
+    "incident_psl": _psl,
+    "ablation_abduction_psl": _ablation("abduction_psl"),
+    "ablation_full": _ablation("full"),
+    "seeded_masks": _seeded_masks,
+    "ablation_seeded": _ablation("abduction", seeded=True),
 }
 
 

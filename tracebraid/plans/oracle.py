@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..schemas import GENERIC_PRIOR, PHRASES, PRIORS, RELATION_BY_KINDS
+import re
+
 from ..sources.telemetry import CASES, EVENT_CUT, EVENT_SERVICES, LINE_CUT, SERVICES, START
 from .sample import GROUPS, RATIO
 
@@ -23,8 +24,18 @@ def clamp(x: str) -> str:
     return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))"
 
 
-SCHEMA = ", ".join(f"('{a}', '{b}', '{r}')" for (a, b), r in RELATION_BY_KINDS.items())
-PRIOR = ", ".join(f"('{k}', '{r}', {p}::DOUBLE)" for (k, r), p in PRIORS.items())
+def moved(x: str) -> str:
+    """A score moved by a quarter of the deterministic scorer's margin."""
+    return clamp(f"{x} + 0.25::DOUBLE * (2 * {clamp(x)} - 1)")
+
+
+# Fixed values, stated here again and not taken from the library.
+SCHEMA = """('service', 'service', 'calls'), ('service', 'pod', 'deployed_on'), ('pod', 'node', 'runs_on'), ('service', 'database', 'uses_database'),
+      ('service', 'messaging', 'uses_messaging'), ('system', 'service', 'has_service')"""
+PRIOR = """('trace_parent_child', 'calls', 0.98::DOUBLE), ('service_pod_cooccurrence', 'deployed_on', 0.98), ('pod_node_cooccurrence', 'runs_on', 0.98),
+      ('db_client_context', 'uses_database', 0.95), ('messaging_context', 'uses_messaging', 0.95), ('system_inventory', 'has_service', 1.0)"""
+PHRASE = """('calls', 'calls'), ('deployed_on', 'is deployed on'), ('runs_on', 'runs on'), ('uses_database', 'uses the database'),
+      ('uses_messaging', 'uses the messaging target'), ('has_service', 'contains the service')"""
 
 _RAW = """
   SELECT DISTINCT case_id, 'service:' || service_name AS source, 'pod:' || pod AS target, 'service_pod_cooccurrence' AS evidence_kind, 0.98::DOUBLE AS confidence,
@@ -48,7 +59,7 @@ _OBS = """
 _HYP = f"""
   SELECT case_id, source, relation, target, 1 - product(1 - score) AS support,
     array_to_string(list_sort(list(observation_id)), ',') AS observation_ids, count(DISTINCT evidence_kind) AS n_kinds
-  FROM (SELECT o.*, s.relation, {clamp(f'confidence * coalesce(p.prior, {GENERIC_PRIOR})')} AS score
+  FROM (SELECT o.*, s.relation, {clamp(f'confidence * coalesce(p.prior, 0.35)')} AS score
     FROM (SELECT *, {kind('source')} AS sk, {kind('target')} AS tk FROM {{obs}}) o
     JOIN (VALUES {SCHEMA}) s(sk, tk, relation) ON o.sk = s.sk AND o.tk = s.tk
     LEFT JOIN (VALUES {PRIOR}) p(evidence_kind, relation, prior) ON p.evidence_kind = o.evidence_kind AND p.relation = s.relation)
@@ -73,7 +84,6 @@ def _scores(n: str, empty_recall: str = "0.0") -> str:
 
 
 _PSL_C = "(0.2 + 2.0 * conflict)"
-_TYPES = ", ".join(f"'{r}'" for r in RELATION_BY_KINDS.values())
 
 CTES: list[tuple[str, str]] = [
     ("cases", f"SELECT 'case-' || i AS case_id, 'sys-' || (i % {GROUPS}) AS group_id, {START}::DOUBLE AS start_s FROM range({CASES}) r(i)"),
@@ -174,8 +184,139 @@ CTES: list[tuple[str, str]] = [
 ]
 
 
-def sql(final: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in CTES) + "\n" + final
+#: Tables of a run that depend on the known edges, in order; ``run`` builds them anew for other ones.
+_RUN = "ends cand root_scores roots1 ev_nodes ev_scores ev_roots roots pred_pairs gold_pairs pred_roots true_roots true_alarms edge_rows pred_nodes gold_nodes node_rows root_rows reach".split()
+_GIVEN = "cases known evid node_an symptoms gold_spans gold_roots alarms chosen chyp".split()
+
+
+def run(x: str, known: str, score: str = "abd", spread: str | None = None) -> list[tuple[str, str]]:
+    """The incident run over other known edges (case_id, source, relation, target, pos), as tables named with ``_x``.
+
+    Hidden and observed pairs are scored, visible causal ones count as 1.
+    ``spread`` is a table of names that go into the case ids, for several topologies at once.
+    """
+    own = lambda q: re.sub(rf"\b({'|'.join([*_RUN, *_GIVEN])})\b(?!\s*\()", rf"\1_{x}", q)
+    source = lambda t: f"SELECT * FROM {t}" if spread is None else f"SELECT * REPLACE (case_id || '|' || name AS case_id) EXCLUDE (name) FROM (SELECT t.*, name FROM {t} t, {spread})"
+    tables = [(f"{t}_{x}", source(t).replace("SELECT * REPLACE (case_id || '|' || name AS case_id) EXCLUDE (name)", "SELECT * EXCLUDE (name) REPLACE (case_id || '|' || name AS case_id)")) for t in ("cases", "evid", "node_an", "symptoms", "gold_spans", "gold_roots", "alarms")]
+    base = dict(CTES)
+    tables += [
+        (f"known_{x}", known),
+        (f"pairs_{x}", f"SELECT case_id, source, target, min(pos) AS pos FROM known_{x} WHERE relation IN ('__MASKED_RELATION__', 'dependency_propagates_to') GROUP BY ALL"),
+        (f"hard_{x}", f"SELECT DISTINCT case_id, source, target FROM known_{x} WHERE relation = 'causal_propagates_to'"),
+        (f"chyp_{x}", re.sub(r"\bknown\b", f"pairs_{x}", re.sub(r"\bnode_an\b", f"node_an_{x}", base["chyp"]))),
+        (f"final_{x}", f"SELECT *, {score} AS score FROM chyp_{x}"),
+        (f"chosen_{x}", f"SELECT case_id, source, target, score FROM final_{x} WHERE {clamp('score')} >= 0.5 UNION ALL SELECT case_id, source, target, 1.0 FROM hard_{x}"),
+    ]
+    return tables + [(f"{t}_{x}", own(base[t])) for t in _RUN]
+
+
+def scores_of(x: str, extra: str = "") -> str:
+    """A row of scores per case of a run: edges, nodes, roots, hits, reachability."""
+    hits = f"""SELECT case_id, (SELECT count(DISTINCT p.node) FROM pred_roots_{x} p JOIN true_roots_{x} t USING (case_id, node) WHERE p.case_id = c.case_id) AS right_n,
+      (SELECT count(DISTINCT node) FROM true_roots_{x} t WHERE t.case_id = c.case_id) AS g, (SELECT count(DISTINCT node) FROM pred_roots_{x} t WHERE t.case_id = c.case_id) AS p,
+      (SELECT count(*) FROM pred_roots_{x} p JOIN true_roots_{x} t USING (case_id, node) WHERE p.case_id = c.case_id AND p.rank = 1) AS one FROM cases_{x} c"""
+    path = f"SELECT case_id, (count(a.node) > 0)::INT::DOUBLE AS path_reachability FROM cases_{x} LEFT JOIN reach_{x} USING (case_id) LEFT JOIN true_alarms_{x} a USING (case_id, node) GROUP BY case_id"
+    return f"""SELECT case_id, (right_n > 0)::INT::DOUBLE AS any_hit, (g > 0 AND right_n = g)::INT::DOUBLE AS all_hit, (right_n = g AND p = g)::INT::DOUBLE AS exact,
+      (one > 0)::INT::DOUBLE AS hit_1, (right_n > 0)::INT::DOUBLE AS hit_3, path_reachability,
+      e.precision AS edge_precision, e.recall AS edge_recall, e.f1 AS edge_f1, n.precision AS node_precision, n.recall AS node_recall, n.f1 AS node_f1,
+      r.precision AS root_precision, r.recall AS root_recall, r.f1 AS root_f1{extra}
+      FROM ({hits}) JOIN ({path}) USING (case_id) JOIN edge_rows_{x} e USING (case_id) JOIN node_rows_{x} n USING (case_id) JOIN root_rows_{x} r USING (case_id)"""
+
+
+def sql(final: str, more: list[tuple[str, str]] = ()) -> str:
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in [*CTES, *more]) + "\n" + final
+
+
+#: Known edges with labels, two of every five hidden; and with those edges removed.
+_IS_GOLD = f"EXISTS (SELECT 1 FROM gold_pairs g WHERE g.case_id = k.case_id AND g.source = {norm('k.source')} AND g.target = {norm('k.target')})"
+_LABEL = f"CASE WHEN {_IS_GOLD} THEN 'causal_propagates_to' ELSE 'non_causal_dependency' END"
+_LABELLED = f"SELECT case_id, source, target, pos, {_LABEL} AS truth, (pos - 1) % 5 < 2 AS picked FROM known k"
+_HIDDEN = f"SELECT case_id, source, CASE WHEN picked THEN '__MASKED_RELATION__' ELSE truth END AS relation, target, pos FROM ({_LABELLED})"
+_REMOVED = "SELECT case_id, source, relation, target, pos FROM known WHERE (pos - 1) % 5 >= 2"
+
+
+def _topology(edges: str, name: str) -> str:
+    return f"""SELECT DISTINCT case_id || '|{name}' AS case_id, {value('target')} AS source, {value('source')} AS target FROM ({edges})
+      WHERE relation = 'calls' AND {kind('source')} = 'service' AND {kind('target')} = 'service' AND source <> target"""
+
+
+_ADDED_TOO = "SELECT case_id, source, relation, target FROM visible UNION SELECT case_id, source, relation, target FROM added"
+_CONDITIONS = [
+    ("condition_names", "SELECT * FROM (VALUES ('incomplete'), ('recovered'), ('complete')) v(name)"),
+    *run(
+        "t",
+        f"""SELECT *, 'dependency_propagates_to' AS relation, row_number() OVER (PARTITION BY case_id ORDER BY source, target) AS pos FROM (
+          {_topology('SELECT * FROM visible', 'incomplete')} UNION ALL {_topology(_ADDED_TOO, 'recovered')} UNION ALL {_topology('SELECT * FROM rel', 'complete')})""",
+        spread="condition_names",
+    ),
+    (
+        "t_rows",
+        "SELECT * REPLACE (split_part(case_id, '|', 1) AS case_id), split_part(case_id, '|', 2) AS condition FROM ("
+        + scores_of("t", ", (SELECT count(*) FROM pred_roots_t p WHERE p.case_id = e.case_id) AS n_predicted_roots, (SELECT count(*) FROM (SELECT DISTINCT case_id, source, target FROM chosen_t) p WHERE p.case_id = e.case_id) AS n_predicted_edges")
+        + ")",
+    ),
+]
+_ALL_SCORES = [f"{k}_{c}" for k in ("edge", "node", "root") for c in ("precision", "recall", "f1")] + ["any_hit", "all_hit", "exact", "hit_1", "hit_3", "path_reachability"]
+_DELTAS = ("edge_f1", "node_f1", "root_f1", "any_hit", "exact", "path_reachability")
+
+
+def _ablation(known: str, score: str = "abd", truth: bool = True, graph_only: bool = False) -> str:
+    """Scores of an ablation row over known edges; ``truth``: with those of the hidden pairs."""
+    tables = run("a", known, score)
+    if graph_only:
+        at = dict(tables)
+        at["chosen_a"] = "SELECT case_id, source, target, 1.0 AS score FROM hard_a"
+        at["roots_a"] = """SELECT * FROM (SELECT case_id, node, coalesce(anomaly, 0) AS score, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(anomaly, 0) DESC, first_s NULLS LAST, node) AS rank
+          FROM (SELECT case_id, source AS node FROM hard_a UNION SELECT case_id, target FROM hard_a) LEFT JOIN node_an USING (case_id, node) WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)) WHERE rank <= 3"""
+        tables = list(at.items())
+    columns = ["edge_precision", "edge_recall", "edge_f1", "node_f1", "root_f1", "any_hit", "all_hit", "exact", "hit_1", "hit_3", "path_reachability"]
+    if not truth:
+        return sql(f"SELECT case_id, {', '.join(f'round({c}, 6) AS {c}' for c in columns)} FROM ({scores_of('a')})", tables)
+    tables.append(
+        (
+            "hidden_rows",
+            f"""SELECT case_id, count(*) AS n, count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn FROM (
+              SELECT l.case_id, truth = 'causal_propagates_to' AS y, EXISTS (SELECT 1 FROM pred_pairs_a p WHERE p.case_id = l.case_id AND p.source = {norm('l.source')} AND p.target = {norm('l.target')}) AS p
+              FROM ({_LABELLED}) l WHERE picked) GROUP BY case_id""",
+        )
+    )
+    more = """round((n - fp - fn) / n, 6) AS relation_accuracy, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END, 6) AS relation_f1"""
+    return sql(f"SELECT case_id, {', '.join(f'round({c}, 6) AS {c}' for c in columns)}, {more} FROM ({scores_of('a')}) LEFT JOIN hidden_rows USING (case_id)", tables)
+
+
+_SEM = run("m", _HIDDEN, moved("abd"))
+_DECIDED = "SELECT f.case_id, f.source, f.target FROM final_m f JOIN known_m k USING (case_id, source, target) WHERE k.relation = '__MASKED_RELATION__' AND score >= 0.5"
+_WORDS = lambda x: f"list_distinct(string_split({x}, ' '))"
+_SHARE = lambda c: f"(len(list_intersect({_WORDS(c)}, {_WORDS('premise')})) / len({_WORDS(c)}))"
+#: Reach of symptoms over scored edges, by as many rounds as a path of services may have edges.
+_SOFT = [
+    ("soft_edges", "SELECT case_id, source, target, w FROM local UNION ALL SELECT DISTINCT case_id, node, node, 1.0::DOUBLE FROM (SELECT case_id, source AS node FROM local UNION SELECT case_id, target FROM local UNION SELECT case_id, node FROM symptoms)"),
+    ("soft_best", "SELECT case_id, source, target, max(w) AS w FROM soft_edges GROUP BY ALL"),
+    ("soft_rounds", f"SELECT DISTINCT 0 AS round, case_id, node, 1.0::DOUBLE AS value FROM symptoms UNION ALL SELECT r.round + 1, e.case_id, e.source, max(e.w * r.value) FROM soft_rounds r JOIN soft_best e ON e.case_id = r.case_id AND e.target = r.node WHERE r.round < {SERVICES} GROUP BY r.round, e.case_id, e.source"),
+    ("soft_reach", f"SELECT case_id, node, value FROM soft_rounds WHERE round = {SERVICES}"),
+]
+
+
+def _variant(name: str, score: str | None) -> str:
+    """Pooled counts of a stage-1 variant."""
+    if score is None:
+        return f"SELECT '{name}' AS variant, 0 AS tp, 0 AS fp, count(*) AS fn FROM (SELECT DISTINCT case_id, source, relation, target FROM missing)"
+    added = f"""SELECT DISTINCT c.case_id, c.source, c.relation, c.target FROM conflicts c ANTI JOIN visible USING (case_id, source, relation, target) WHERE {score} >= 0.5"""
+    return f"""SELECT '{name}' AS variant, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND g IS NULL) AS fp, count(*) FILTER (p IS NULL AND g) AS fn
+      FROM (SELECT *, true AS p FROM ({added})) FULL JOIN (SELECT DISTINCT case_id, source, relation, target, true AS g FROM missing) USING (case_id, source, relation, target)"""
+
+
+_VARIANTS = " UNION ALL ".join(
+    _variant(n, q)
+    for n, q in (
+        ("topology_only", None),
+        ("abduction", clamp("support")),
+        ("abduction_semantic", moved("support")),
+        ("abduction_psl", f"1.4::DOUBLE * support / (1.4::DOUBLE + {_PSL_C})"),
+        # Support and semantic support are equal here, so both hinges pull to the same side.
+        ("abduction_semantic_psl", f"2.5::DOUBLE * {clamp('support')} / (2.5::DOUBLE + {_PSL_C})"),
+    )
+)
 
 
 _EDGE = "case_id, source, relation, target"
@@ -197,7 +338,7 @@ ORACLES: dict[str, str] = {
     "abductive_hypotheses": sql(f"SELECT {_EDGE}, {_R('support')}, observation_ids, n_kinds FROM hyp"),
     "structural_soft_logic": sql(f"SELECT {_EDGE}, conflict::INT AS conflict, round({clamp(clamp('0.7::DOUBLE * support + 0.3::DOUBLE * support') + ' - 0.65::DOUBLE * conflict')}, 6) AS score FROM conflicts"),
     "structural_psl_closed_form": sql(f"SELECT {_EDGE}, conflict::INT AS conflict, {_R('score')} FROM psl_n"),
-    "structural_semantic_scores": sql(f"SELECT {_EDGE}, round({clamp('support')}, 6) AS support, round(1 - {clamp('support')}, 6) AS contradiction, round({clamp(f'support + 0.25::DOUBLE * (2 * {clamp(chr(115)+chr(117)+chr(112)+chr(112)+chr(111)+chr(114)+chr(116))} - 1)')}, 6) AS final_score FROM hyp"),
+    "structural_semantic_scores": sql(f"SELECT {_EDGE}, round({clamp('support')}, 6) AS support, round(1 - {clamp('support')}, 6) AS contradiction, round({moved('support')}, 6) AS final_score FROM hyp"),
     "propagation_edges": sql("SELECT case_id, source, relation, target, pos FROM known"),
     "relation_type_counts": sql("SELECT case_id, relation, count(*) AS n FROM rel GROUP BY ALL"),
     **{
@@ -258,16 +399,73 @@ ORACLES: dict[str, str] = {
     ),
     "score_diagnostics": sql(
         f"SELECT count(*) AS n, round(avg(abd), 6) AS mean_abductive, round(avg(abs(2 * {clamp('abd')} - 1)), 6) AS mean_abs_margin, round(avg(fin), 6) AS mean_final, round(avg(abs(fin - abd)), 6) AS mean_abs_shift, "
-        f"round(avg((abd >= 0.5)::INT), 6) AS abductive_positive_rate, round(avg((fin >= 0.5)::INT), 6) AS final_positive_rate FROM (SELECT *, {clamp(f'abd + 0.25::DOUBLE * (2 * {clamp(chr(97)+chr(98)+chr(100))} - 1)')} AS fin FROM chyp)"
+        f"round(avg((abd >= 0.5)::INT), 6) AS abductive_positive_rate, round(avg((fin >= 0.5)::INT), 6) AS final_positive_rate FROM (SELECT *, {moved('abd')} AS fin FROM chyp)"
     ),
     "a2_a3_compare": sql(
-        "SELECT count(*) AS n_common, 0::BIGINT AS n_only_left, 0::BIGINT AS n_only_right, count(*) FILTER ((abd >= 0.5) <> (w >= 0.5)) AS n_disagree, count(*) FILTER (abd >= 0.5 AND w < 0.5) AS n_left_only_up, count(*) FILTER (abd < 0.5 AND w >= 0.5) AS n_right_only_up, "
-        "round(avg(abs(abd - w)), 6) AS mean_abs_error, round(corr(abd, w), 6) AS pearson, round(avg((abs(abd - w) <= 1e-12)::INT), 6) AS equal_rate FROM local"
+        "SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_common, count(*) FILTER (b IS NULL) AS n_only_left, count(*) FILTER (a IS NULL) AS n_only_right, count(*) FILTER ((a >= 0.5) <> (b >= 0.5)) AS n_disagree, "
+        "count(*) FILTER (a >= 0.5 AND b < 0.5) AS n_left_only_up, count(*) FILTER (a < 0.5 AND b >= 0.5) AS n_right_only_up, round(avg(((a >= 0.5) <> (b >= 0.5))::INT), 6) AS disagreement_rate, "
+        "round(avg(abs(a - b)), 6) AS mean_abs_error, round(corr(a, b), 6) AS pearson, round(avg((abs(a - b) <= 1e-12)::INT), 6) AS equal_rate, "
+        "round(avg(abs(a - abd)) FILTER (b IS NOT NULL), 6) AS mean_abs_left_shift, round(avg(abs(b - abd)) FILTER (a IS NOT NULL), 6) AS mean_abs_right_shift "
+        f"FROM (SELECT abd, CASE WHEN (pos - 1) % 5 >= 2 THEN {clamp('abd')} END AS a, CASE WHEN (pos - 1) % 3 >= 1 THEN {moved('abd')} END AS b FROM chyp) WHERE a IS NOT NULL OR b IS NOT NULL"
     ),
     "normalize_service": sql(f"SELECT DISTINCT service_name, {norm('service_name')} AS normalized FROM traces"),
     "entity_parts": sql(f"SELECT DISTINCT source, {kind('source')} AS kind, {value('source')} AS value FROM obs"),
     "claims": sql(
         "SELECT case_id, source, relation, target, source || ' ' || phrase || ' ' || target || '.' AS positive, 'The telemetry does not support that ' || source || ' ' || phrase || ' ' || target || '; the endpoints are only co-observed.' AS negative FROM hyp JOIN "
-        f"(VALUES {', '.join(f'({k!r}, {v!r})' for k, v in PHRASES.items())}) p(relation, phrase) USING (relation)"
+        f"(VALUES {PHRASE}) p(relation, phrase) USING (relation)"
+    ),
+    "candidate_ceiling_pooled": sql("SELECT count(*) AS n_missing, count(h.case_id) AS n_candidates, round(count(h.case_id) / count(*), 6) AS ceiling FROM missing m LEFT JOIN hyp_n h USING (case_id, source, relation, target)"),
+    "stage1_variants": sql(f"SELECT variant, {_SCORES} FROM ({_scores(_VARIANTS, '1.0')})"),
+    "incident_soft_logic": sql(
+        f"SELECT l.case_id, l.source, l.target, round(w, 6) AS local, round({clamp('0.82::DOUBLE * w + 0.18::DOUBLE * least(w, coalesce(value, 0.0))')}, 6) AS soft_logic_score FROM local l LEFT JOIN soft_reach r ON r.case_id = l.case_id AND r.node = l.target",
+        _SOFT,
+    ),
+    "causal_mask": sql(_HIDDEN),
+    "removal_mask": sql(_REMOVED),
+    "contrastive_scores": sql(
+        f"SELECT {_EDGE}, round(0.5 + 0.5 * margin, 6) AS semantic_support, round(0.5 - 0.5 * margin, 6) AS semantic_contradiction, round(1 - relevance, 6) AS semantic_neutral, round({clamp('support + 0.25::DOUBLE * margin')}, 6) AS final_score FROM ("
+        f"SELECT *, {clamp('(pos + neg) / 0.5')} AS relevance, CASE WHEN pos + neg > 1e-12 THEN (pos - neg) / (pos + neg) ELSE 0.0 END * {clamp('(pos + neg) / 0.5')} AS margin FROM ("
+        f"SELECT *, {_SHARE('positive')} AS pos, {_SHARE('negative')} AS neg FROM ("
+        "SELECT h.*, 'Operational telemetry observations for a possible structural relation: ' || coalesce(said, 'No direct relation evidence was retained.') AS premise, h.source || ' ' || phrase || ' ' || h.target || '.' AS positive, "
+        "'The telemetry does not support that ' || h.source || ' ' || phrase || ' ' || h.target || '; the endpoints are only co-observed.' AS negative "
+        f"FROM hyp h JOIN (VALUES {PHRASE}) p(relation, phrase) USING (relation) LEFT JOIN ("
+        "SELECT case_id, source, target, string_agg('[' || source || ' -> ' || target || '] ' || trim(text) || ' evidence_kind=' || evidence_kind || '; confidence=' || printf('%.3f', confidence) || '; count=' || observation_count || '.', ' ' ORDER BY observation_id) AS said "
+        "FROM obs GROUP BY ALL) USING (case_id, source, target))))"
+    ),
+    "adjudication": sql(
+        "SELECT case_id, 'json' AS mode, n + 1 AS n_ids, n AS n_valid_ids, 1::BIGINT AS n_invalid_roots, 1::BIGINT AS n_invalid_ids FROM (SELECT c.case_id, count(d.case_id) AS n FROM (SELECT DISTINCT case_id FROM known) c LEFT JOIN "
+        f"({_DECIDED}) d USING (case_id) GROUP BY ALL)",
+        _SEM,
+    ),
+    "adjudication_edges": sql(f"SELECT case_id, source, 'causal_propagates_to' AS relation, target FROM ({_DECIDED} UNION SELECT case_id, source, target FROM hard_m)", _SEM),
+    "adjudication_roots": sql(
+        "SELECT case_id, node, row_number() OVER (PARTITION BY case_id ORDER BY least) AS rank FROM (SELECT case_id, node, min(o) AS least FROM ("
+        "SELECT case_id, min(node) AS node, 1 AS o FROM symptoms GROUP BY case_id UNION ALL SELECT case_id, node, 2 FROM roots_m WHERE rank = 1) GROUP BY ALL)",
+        _SEM,
+    ),
+    "direct_pairs_edges": sql(f"SELECT DISTINCT case_id, source, 'causal_propagates_to' AS relation, target FROM ({_HIDDEN}) WHERE relation = 'causal_propagates_to' OR (relation = '__MASKED_RELATION__' AND source < target)"),
+    "direct_pairs_roots": sql("SELECT case_id, max(node) AS node, 1::BIGINT AS rank FROM symptoms WHERE case_id IN (SELECT case_id FROM known) GROUP BY case_id"),
+    "pair_diagnostics": sql(
+        "SELECT l.case_id, row_number() OVER (PARTITION BY l.case_id ORDER BY l.pos) - 1 AS candidate_id, l.source, l.target, truth AS truth_relation, truth = 'causal_propagates_to' AS truth_causal, "
+        "c.case_id IS NOT NULL AS predicted_causal, round(abd, 6) AS abductive_score, round(t, 6) AS temporal_score, round(a, 6) AS anomaly_score, "
+        f"round(2 * {clamp('abd')} - 1, 6) AS semantic_margin, round(score, 6) AS final_score FROM ({_LABELLED}) l LEFT JOIN final_m f USING (case_id, source, target) "
+        "LEFT JOIN (SELECT DISTINCT case_id, source, target FROM chosen_m) c USING (case_id, source, target) WHERE picked",
+        _SEM,
+    ),
+    "topology_condition_rows": sql(f"SELECT case_id, condition, n_predicted_roots, n_predicted_edges, {_R(*_ALL_SCORES)} FROM t_rows", _CONDITIONS),
+    "topology_condition_deltas": sql(
+        "SELECT r.case_id, " + ", ".join(f"round(r.{c} - i.{c}, 6) AS delta_{c}, round(c.{c} - r.{c}, 6) AS gap_{c}" for c in _DELTAS) + " FROM (SELECT * FROM t_rows WHERE condition = 'recovered') r "
+        "JOIN (SELECT * FROM t_rows WHERE condition = 'incomplete') i USING (case_id) JOIN (SELECT * FROM t_rows WHERE condition = 'complete') c USING (case_id)",
+        _CONDITIONS,
+    ),
+    "topology_condition_summary": sql("SELECT condition, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _ALL_SCORES) + " FROM t_rows GROUP BY condition", _CONDITIONS),
+    "ablation_graph_only": _ablation(_HIDDEN, graph_only=True),
+    "ablation_abduction": _ablation(_HIDDEN),
+    "ablation_semantic": _ablation(_HIDDEN, moved("abd")),
+    "ablation_edge_mask": _ablation(_REMOVED, truth=False),
+    "ablation_no_mask": _ablation("SELECT * FROM known", truth=False),
+    "standard_track": sql(
+        "SELECT case_id, root_causes, coalesce(propagation, '') AS propagation FROM (SELECT case_id, string_agg(node, ',' ORDER BY rank) AS root_causes FROM roots GROUP BY case_id) LEFT JOIN "
+        "(SELECT case_id, string_agg(source || '->' || target, ';' ORDER BY source, target) AS propagation FROM (SELECT DISTINCT case_id, source, target FROM chosen) GROUP BY case_id) USING (case_id)"
     ),
 }
