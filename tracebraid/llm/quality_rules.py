@@ -118,21 +118,28 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def learn_rules(labelled: DataFrame) -> list[Rule]:
-    """Learn from rows with the counts, ``bad`` (boolean) and ``fold`` (0 to 2; 0 is held back)."""
+def thresholds(values: DataFrame) -> dict[str, list[float]]:
+    """Candidate thresholds by statistic, ascending: quantiles of all rows and of the bad ones, and the middles between them."""
     names = list(STATISTICS)
-    values = labelled.select("bad", "fold", *[F.expr(STATISTICS[s]).alias(s) for s in names])
-    shares = [i / BINS for i in range(1, BINS)]
-    # Thresholds in the tails and among the bad rows as well as in the middle.
-    tails = [0.001, 0.005, 0.01, 0.02, 0.98, 0.99, 0.995, 0.999]
-    got = values.agg(*[F.percentile_approx(x, sorted(shares + tails), 2000).alias(n) for s in names for n, x in ((s, s), (f"bad_{s}", F.when(F.col("bad"), F.col(s))))]).first()
+    # Some lie in the tails.
+    shares = sorted([i / BINS for i in range(1, BINS)] + [0.001, 0.005, 0.01, 0.02, 0.98, 0.99, 0.995, 0.999])
+    got = values.agg(*[F.percentile_approx(x, shares, 2000).alias(n) for s in names for n, x in ((s, s), (f"bad_{s}", F.when(F.col("bad"), F.col(s))))]).first()
     cuts = {s: sorted({*(got[s] or ()), *(got[f"bad_{s}"] or ())}) for s in names}
+    return {s: sorted({*t, *((a + b) / 2 for a, b in zip(t, t[1:], strict=False))}) for s, t in cuts.items()}
+
+
+def _bin(statistic: str, cuts: list[float]) -> Column:
+    """How many thresholds are below the value; one expression over a constant array, whatever their number."""
+    return F.size(F.filter(F.array(*[F.lit(t) for t in cuts]), lambda c: c < F.col(statistic))).cast("byte").alias(statistic)
+
+
+def learn_rules(labelled: DataFrame) -> list[Rule]:
+    """Learn from rows with the counts, ``bad`` (boolean) and ``fold`` (0 to 2; 0 is held back)."""
+    values = labelled.select("bad", "fold", *[F.expr(STATISTICS[s]).alias(s) for s in STATISTICS])
+    cuts = thresholds(values)
     if not any(cuts.values()):
         return []
-    # Midpoints too, so that a threshold can keep its distance from both classes.
-    cuts = {s: sorted({*t, *((a + b) / 2 for a, b in zip(t, t[1:], strict=False))}) for s, t in cuts.items()}
-    number = lambda s: sum(((F.col(s) > t).cast("int") for t in cuts[s]), F.lit(0))
-    binned = written(values.select("bad", "fold", *[number(s).cast("byte").alias(s) for s in names]), "rule-bins")
+    binned = written(values.select("bad", "fold", *[_bin(s, cuts[s]) for s in STATISTICS]), "rule-bins")
     rules, rest = [], F.lit(True)
     while len(rules) < MOST_RULES and (rule := _grow(binned.filter(rest), cuts)):
         rule = _prune(binned.filter(rest), rule, cuts)
