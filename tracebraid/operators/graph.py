@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-_own: list[str] = []
+from ..sources.shared import spent, written
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write and re-read: ends the lineage of a loop in the folder all executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-        base = _own[0]
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "cut")
 
 
 def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -34,8 +23,9 @@ def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> D
     front = seen
     for _ in range(most_rounds):
         new = front.join(e, ["case_id", "node"]).select("case_id", "root", F.col("following").alias("node")).distinct()
-        front = cut(new.join(seen, ["case_id", "root", "node"], "left_anti"))
+        before, front = (front, seen), cut(new.join(seen, ["case_id", "root", "node"], "left_anti"))
         if front.isEmpty():
             return seen
         seen = cut(seen.unionByName(front))
+        spent(*before)
     raise RuntimeError(f"reachability did not end in {most_rounds} rounds")

@@ -65,16 +65,18 @@ def soft_logic(h: DataFrame, known: DataFrame, symptoms: DataFrame, rounds: int
     hard = known.filter(F.col("relation") == CAUSAL).select("case_id", *PAIR, F.lit(1.0).alias("w"))
     edges = cut(edges.unionByName(hard).groupBy("case_id", *PAIR).agg(F.max("w").alias("w")))
     reach = cut(symptoms.select("case_id", "node").distinct().withColumn("reach", F.lit(1.0)))
-    total = None
     # A gain takes as many rounds as its path has edges, and two more show that there is none.
     longest = edges.select("case_id", F.explode(F.array("source", "target")).alias("node")).groupBy("case_id").agg(F.countDistinct("node").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     for _ in range(max(rounds * 8, longest + 2)):
         new = edges.join(reach.withColumnRenamed("node", "target"), ["case_id", "target"]).select("case_id", F.col("source").alias("node"), (F.col("w") * F.col("reach")).alias("reach"))
-        reach = cut(reach.unionByName(new).groupBy("case_id", "node").agg(F.max("reach").alias("reach")))
-        now = reach.agg(F.round(F.sum("reach"), 6), F.count("*")).first()
-        if now == total:
+        # The largest gain of a single node, a new one's whole value, decides.
+        better = reach.unionByName(new.select("case_id", "node", "reach")).groupBy("case_id", "node").agg(F.max("reach").alias("reach"))
+        old = reach.select("case_id", "node", F.col("reach").alias("was"))
+        reach = cut(better.join(old, ["case_id", "node"], "left").withColumn("gain", F.col("reach") - F.coalesce("was", F.lit(0.0))).drop("was"))
+        gain = reach.agg(F.max("gain")).first()[0]
+        reach = reach.drop("gain")
+        if gain is None or gain < 1e-6:
             break
-        total = now
     else:
         raise RuntimeError("reach over causes did not settle")
     down = reach.select("case_id", F.col("node").alias("target"), "reach")

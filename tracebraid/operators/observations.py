@@ -13,20 +13,31 @@ RAW = ("case_id", "source", "target", "evidence_kind", "confidence", "text")
 
 
 def _observed(df: DataFrame, source: Column, target: Column, kind: str, confidence: float, text: Column) -> DataFrame:
-    return df.select("case_id", source.alias("source"), target.alias("target"), F.lit(kind).alias("evidence_kind"), F.lit(confidence).alias("confidence"), text.alias("text"))
+    times = [F.col("times")] if "times" in df.columns else []
+    return df.select("case_id", *times, source.alias("source"), target.alias("target"), F.lit(kind).alias("evidence_kind"), F.lit(confidence).alias("confidence"), text.alias("text"))
 
 
-def span_calls(traces: DataFrame) -> DataFrame:
-    """Parent and child spans of different services; every joined pair is a row."""
+def _calls(traces: DataFrame) -> DataFrame | None:
+    """case_id, caller and callee of every parent and child span of different services; none without the columns."""
     need = ("trace_id", "span_id", "parent_span_id", "service_name")
     if any(c not in traces.columns for c in need):
-        return _none(traces)
+        return None
     s = traces.select("case_id", *[clean(c).alias(c) for c in need])
     parent = s.filter("trace_id IS NOT NULL AND span_id IS NOT NULL").select("case_id", "trace_id", F.col("span_id").alias("parent_span_id"), F.col("service_name").alias("caller"))
     child = s.filter("trace_id IS NOT NULL AND parent_span_id IS NOT NULL").select("case_id", "trace_id", "parent_span_id", F.col("service_name").alias("callee"))
     j = child.join(parent, ["case_id", "trace_id", "parent_span_id"]).filter("caller IS NOT NULL AND callee IS NOT NULL AND caller <> callee")
+    return j.select("case_id", "caller", "callee")
+
+
+def _call_rows(calls: DataFrame) -> DataFrame:
     text = F.concat(F.lit("A parent span from "), "caller", F.lit(" has a child span executed by "), "callee", F.lit("."))
-    return _observed(j, entity("service", "caller"), entity("service", "callee"), "trace_parent_child", 0.98, text)
+    return _observed(calls, entity("service", "caller"), entity("service", "callee"), "trace_parent_child", 0.98, text)
+
+
+def span_calls(traces: DataFrame) -> DataFrame:
+    """Parent and child spans of different services; every joined pair is a row."""
+    calls = _calls(traces)
+    return _none(traces) if calls is None else _call_rows(calls)
 
 
 def deployments(frames: list[DataFrame]) -> DataFrame:
@@ -78,19 +89,25 @@ def inventory(frames: list[DataFrame], system: Column) -> DataFrame:
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
-    """One observation per (case, source, target, kind): count, largest confidence, first text."""
+    """One observation per (case, source, target, kind): count, largest confidence, first text.
+
+    A row counts ``times`` times where there is such a column and it is not null.
+    """
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
-    g = rows.groupBy("case_id", "source", "target", "evidence_kind").agg(F.count("*").alias("observation_count"), F.max(c).alias("confidence"), F.min("text").alias("text"))
+    n = F.sum(F.coalesce("times", F.lit(1))) if "times" in rows.columns else F.count("*")
+    g = rows.groupBy("case_id", "source", "target", "evidence_kind").agg(n.alias("observation_count"), F.max(c).alias("confidence"), F.min("text").alias("text"))
     return g.withColumn("observation_id", observation_id("evidence_kind", "source", "target"))
 
 
 def collect(traces: DataFrame, metrics: DataFrame | None = None, logs: DataFrame | None = None, system: Column | None = None) -> DataFrame:
-    """All collectors, deduplicated."""
+    """All collectors, deduplicated.  Calls are counted by pair before any sentence is made of them."""
     frames = [f for f in (traces, metrics, logs) if f is not None]
-    parts = [span_calls(traces), deployments(frames), databases(traces), messaging(traces)]
+    calls = _calls(traces)
+    counted = _none(traces) if calls is None else _call_rows(calls.groupBy("case_id", "caller", "callee").agg(F.count("*").alias("times")))
+    parts = [counted, deployments(frames), databases(traces), messaging(traces)]
     if system is not None:
         parts.append(inventory(frames, system))
-    return dedupe(reduce(DataFrame.unionByName, parts))
+    return dedupe(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
 def _none(df: DataFrame) -> DataFrame:

@@ -31,11 +31,21 @@ def hypotheses(observations: DataFrame, schema: dict[tuple[str, str], str | tupl
     o = observations.withColumn("sk", entity_kind("source")).withColumn("tk", entity_kind("target"))
     o = o.join(ontology, ["sk", "tk"]).join(priors, ["evidence_kind", "relation"], "left")
     score = clip01(F.col("confidence") * F.coalesce("prior", F.lit(generic_prior)))
-    best = o.groupBy("case_id", *EDGE, "evidence_kind").agg(F.max(score).alias("score"), F.collect_set("observation_id").alias("ids"))
-    return best.groupBy("case_id", *EDGE).agg(
-        (1 - F.product(1 - F.col("score"))).alias("abductive_support"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("observation_ids"),
-        F.array_sort(F.collect_set("evidence_kind")).alias("evidence_kinds"),
+    o = o.select("case_id", *EDGE, F.struct("evidence_kind", score.alias("score"), "observation_id").alias("seen"))
+    # One grouping: a pair's observations are a few, one for each kind of evidence, and mostly one in all.
+    g = o.groupBy("case_id", *EDGE).agg(F.collect_list("seen").alias("seen"))
+    first, single = F.get("seen", F.lit(0)), F.size("seen") == 1
+    kinds = F.array_sort(F.array_distinct(F.transform("seen", lambda x: x.evidence_kind)))
+    g = g.withColumn("evidence_kinds", F.when(single, F.array(first.evidence_kind)).otherwise(kinds))
+    strongest = lambda k: F.array_max(F.transform(F.filter("seen", lambda x: x.evidence_kind == k), lambda x: x.score))
+    unexplained = F.aggregate("evidence_kinds", F.lit(1.0), lambda left, k: left * (1 - strongest(k)))
+    ids = F.array_sort(F.array_distinct(F.transform("seen", lambda x: x.observation_id)))
+    return g.select(
+        "case_id",
+        *EDGE,
+        (1 - F.when(single, 1 - first.score).otherwise(unexplained)).alias("abductive_support"),
+        F.when(single, F.array(first.observation_id)).otherwise(ids).alias("observation_ids"),
+        "evidence_kinds",
     )
 
 
