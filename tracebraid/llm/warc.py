@@ -2,10 +2,11 @@
 
 ``spark.read.format("warc").load(folder)`` gives one row per record.  Every file
 is one partition or, where it is large, several byte ranges of whole members
-given by the writer's index.  Equality filters on ``record_type`` and on the
-header columns are taken over by the reader: a record's headers are parsed
-first, and when they fail the filters, or when the payload columns are not asked
-for, its block is skipped without being decoded.
+given by the writer's index; a second file tells where each record begins.
+Equality filters on ``record_type`` and on the header columns are taken over by
+the reader: a record's first bytes are inflated for its headers, and when these
+fail the filters, or when the payload is not asked for, the reader goes on at the
+next record's place.  The rest of the block is neither read nor decoded.
 
 Cases: a null html is an empty payload; a null url is an empty target; equal
 payloads of any number share one response record; a null page_id is kept as it
@@ -19,21 +20,25 @@ import base64
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .store import shared_dir
+from .store import BROADCAST_ROWS, shared_dir, written
 
 #: Payloads from this many bytes on are stored once.
 SHARED_FROM = 1000
 #: Bytes of one partition of a scan.
 SPLIT_BYTES = 64 << 20
+#: Bytes read at once: for a record's headers, and where all payloads are wanted.
+HEAD_BYTES, READ_BYTES = 4 << 10, 1 << 20
 #: Every record: fixed values of the format.
 VERSION, HTTP_HEAD = "WARC/1.1", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -79,6 +84,10 @@ def encode_record(row: dict) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+#: An archive's files; the index, which makes it visible, comes last.
+FILES = ("records", "warc.gz", "index")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     parts: list[tuple[str, str]]
@@ -92,40 +101,46 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator) -> Written:
         name, out, fs = f"{uuid.uuid4().hex}", None, None
-        index: list[int] = []
-        at = 0
+        places, cuts, at = array("q"), [], 0
         for row in (r for batch in iterator for i in range(0, batch.num_rows, 256) for r in batch.slice(i, 256).to_pylist()):
             if out is None:
                 fs, folder = pafs.FileSystem.from_uri(self.path)
                 fs.create_dir(folder, recursive=True)
                 out = fs.open_output_stream(f"{folder}/.{name}.warc.gz", compression=None)
             data = encode_record(row)
-            if not index or at - index[-1] >= SPLIT_BYTES:
-                index.append(at)
+            if not cuts or at - cuts[-1][1] >= SPLIT_BYTES:
+                cuts.append((len(places), at))
+            places.append(at)
             out.write(data)
             at += len(data)
         if out is None:
             return Written([])
         out.close()
+        cuts.append((len(places), at))
+        places.append(at)
+        with fs.open_output_stream(f"{folder}/.{name}.records", compression=None) as f:
+            f.write(np.array(places, "<i8").tobytes())
         with fs.open_output_stream(f"{folder}/.{name}.index") as f:
-            f.write(" ".join(map(str, [*index, at])).encode())
+            f.write(" ".join(str(first) for first, _ in cuts).encode())
         return Written([(folder, name)])
 
     def commit(self, messages: list[Written | None]) -> None:
         for folder, name in [p for m in messages if m for p in m.parts]:
             fs, _ = pafs.FileSystem.from_uri(self.path)
-            for kind in ("index", "warc.gz"):
+            for kind in FILES:
                 fs.move(f"{folder}/.{name}.{kind}", f"{folder}/{name}.{kind}")
 
     def abort(self, messages: list[Written | None]) -> None:
         for folder, name in [p for m in messages if m for p in m.parts]:
             fs, _ = pafs.FileSystem.from_uri(self.path)
-            for kind in ("index", "warc.gz"):
+            for kind in FILES:
                 fs.delete_file(f"{folder}/.{name}.{kind}")
 
 
 @dataclass
-class ByteRange(InputPartition):
+class RecordRange(InputPartition):
+    """The records ``begin`` to ``end`` (exclusive) of an archive."""
+
     path: str
     begin: int
     end: int
@@ -145,23 +160,25 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[RecordRange]:
         fs, folder = pafs.FileSystem.from_uri(self.path)
         found = [x.path for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))]
         parts = []
         for path in sorted(x for x in found if x.endswith(".index") and not x.rsplit("/", 1)[1].startswith(".")):
             with fs.open_input_stream(path) as f:
                 cuts = [int(x) for x in f.read().split()]
-            parts += [ByteRange(path.removesuffix("index") + "warc.gz", a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return parts or [ByteRange("", 0, 0)]
+            parts += [RecordRange(path.removesuffix("index"), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return parts or [RecordRange("", 0, 0)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         fs, _ = pafs.FileSystem.from_uri(self.path)
+        with fs.open_input_file(partition.path + "records") as f:
+            places = np.frombuffer(f.read_at(8 * (partition.end - partition.begin + 1), 8 * partition.begin), "<i8")
         rows, size = [], 0
-        with fs.open_input_file(partition.path) as f:
-            for row in read_records(f, partition.begin, partition.end, self.wanted, "payload" in self.columns or self.verify):
+        with fs.open_input_file(partition.path + "warc.gz") as f:
+            for row in read_records(f, places.tolist(), self.wanted, "payload" in self.columns or self.verify):
                 rows.append([row[c] for c in self.columns])
                 size += len(row["payload"] or b"") * ("payload" in self.columns)
                 if len(rows) == 2000 or size > 4 << 20:
@@ -175,39 +192,45 @@ class WarcReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(c, pa.string())) for c, x in zip(self.columns, zip(*rows, strict=True), strict=True)], self.columns)
 
 
-def read_records(f, begin: int, end: int, wanted: list[tuple[str, set]] = (), payload: bool = True) -> Iterator[dict]:
-    """The records of a byte range; the blocks of unwanted ones are inflated past, not kept."""
-    f.seek(begin)
-    left, data = end - begin, b""
-    while left or data:
-        z, head, rest = zlib.decompressobj(31), b"", b""
-        row: dict | None = None
-        block, kept, digest = [], True, hashlib.sha1()
-        while not z.eof:
-            if not data:
-                data = f.read(min(left, 1 << 16))
-                left -= len(data)
-                if not data:
-                    raise ValueError("a WARC record is cut short")
-            rest = z.decompress(data)
-            data = z.unused_data if z.eof else b""
-            if row is None:
-                head += rest
-                if (at := head.find(b"\r\n\r\n")) < 0:
-                    continue
-                row, rest = parse_head(head[:at]), head[at + 4 :]
-                kept = all(row[c] in values for c, values in wanted)
-            if kept and payload:
-                block.append(rest)
-        if row is None:
-            raise ValueError("a WARC record has no head")
-        if not kept:
+class _Window:
+    """Bytes of a file by place; what was read last is kept."""
+
+    def __init__(self, f):
+        self.f, self.at, self.data = f, 0, b""
+
+    def get(self, at: int, n: int, ahead: int) -> bytes:
+        """The ``n`` bytes at a place; when they are not there yet, at least ``ahead`` are read."""
+        if not self.at <= at <= at + n <= self.at + len(self.data):
+            self.at, self.data = at, self.f.read_at(max(n, ahead), at)
+        return self.data[at - self.at : at - self.at + n]
+
+
+def read_records(f, places: list[int], wanted: list[tuple[str, set]] = (), payload: bool = True) -> Iterator[dict]:
+    """The records that begin at ``places`` (the last place ends the last record); of unwanted ones only the heads are inflated."""
+    window, ahead = _Window(f), READ_BYTES if payload and not wanted else HEAD_BYTES
+    for begin, end in zip(places, places[1:], strict=False):
+        z, data, at, row = zlib.decompressobj(31), b"", begin, None
+        while row is None:
+            if at == end or z.eof:
+                raise ValueError("a WARC record has no head")
+            part = window.get(at, min(HEAD_BYTES, end - at), ahead)
+            if not part:
+                raise ValueError("a WARC record is cut short")
+            at += len(part)
+            data += z.decompress(part, HEAD_BYTES)
+            while (cut := data.find(b"\r\n\r\n")) < 0 and z.unconsumed_tail:
+                data += z.decompress(z.unconsumed_tail, HEAD_BYTES)
+            if cut >= 0:
+                row = parse_head(data[:cut])
+        if not all(row[c] in values for c, values in wanted):
             continue
         if payload and row["record_type"] == "response":
-            body = b"".join(block)[: row["content_length"]]
+            data += z.decompress(z.unconsumed_tail + window.get(at, end - at, 0))
+            if not z.eof:
+                raise ValueError("a WARC record is cut short")
+            body = data[cut + 4 :][: row["content_length"]]
             row["payload"] = body[body.index(b"\r\n\r\n") + 4 :]
-            digest.update(row["payload"])
-            if digest.hexdigest() != row["payload_digest"] or len(row["payload"]) != row["payload_bytes"]:
+            if hashlib.sha1(row["payload"]).hexdigest() != row["payload_digest"] or len(row["payload"]) != row["payload_bytes"]:
                 raise ValueError(f"the payload of {row['record_id']} is damaged")
         yield row
 
@@ -255,18 +278,25 @@ def register(spark: SparkSession) -> None:
 def plan_records(pages: DataFrame, shared_from: int = SHARED_FROM) -> DataFrame:
     """Pages as records: of equal payloads, the one with the largest page_id is the response.
 
-    Only digests and ids are grouped and joined; html stays in its row.
+    Digests and ids alone are grouped.  The repeated digests are broadcast, so
+    no payload moves, whatever the number of copies of one page.  Only if there are
+    more than ``BROADCAST_ROWS`` of them, pages meet the ids of the revisits in a join
+    by page_id, whose groups are single pages.
     """
     text = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("target_uri"), text.alias("payload"))
     p = p.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    first = (
-        p.filter((F.col("payload_bytes") >= shared_from) & F.col("page_id").isNotNull())
-        .groupBy(F.col("payload_digest").alias("digest"))
-        .agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
-        .filter("n > 1")
-    )
-    joined = p.join(first, (p.payload_digest == first.digest) & (p.payload_bytes >= shared_from), "left")
+    large = p.filter(F.col("payload_bytes") >= shared_from).select("page_id", F.col("payload_digest").alias("digest"))
+    first = large.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
+    first = first.filter("n > 1 AND largest IS NOT NULL").select("digest", "largest")
+    first = written(first, "repeated-payloads")
+    if first.count() <= BROADCAST_ROWS:
+        joined = p.join(F.broadcast(first), (p.payload_digest == first.digest) & (p.payload_bytes >= shared_from), "left")
+    else:
+        # Pages of one digest are many, but few bytes without their payloads.
+        revisits = large.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("largest"))).distinct()
+        revisits = revisits.withColumnRenamed("page_id", "again_id")
+        joined = p.join(revisits, p.page_id.eqNullSafe(revisits.again_id) & (p.payload_digest == revisits.digest), "left")
     again = F.col("largest").isNotNull() & ~F.col("largest").eqNullSafe(F.col("page_id"))
     return joined.select(
         "page_id",
@@ -291,7 +321,8 @@ def op10_warc(pages: DataFrame) -> DataFrame:
     path = shared_dir(spark, "warc")
     write_archives(pages, path)
     columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to string"
-    back = spark.read.format("warc").schema(columns).option("verify", "true").load(path)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", r"page:(-?\d+)", 1).alias("to")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(nullif(to, '') AS BIGINT)").alias("refers_to")
-    )
+    back = lambda verify: spark.read.format("warc").schema(columns).option("verify", verify).load(path)
+    # Every stored payload is held against its digest; of revisits the heads tell all.
+    back = back("true").filter("record_type = 'response'").unionByName(back("false").filter("record_type = 'revisit'"))
+    to = F.expr("try_cast(nullif(regexp_extract(refers_to, 'page:(-?[0-9]+)', 1), '') AS BIGINT)")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", to.alias("refers_to"))
