@@ -88,6 +88,26 @@ def test_keep_one_keeps_columns_and_one_of_each(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def test_hashes_of_many_texts_against_brute_force(spark, monkeypatch):
+    """Their owners stay with the chunk."""
+    monkeypatch.setattr(j, "PACKED_OWNERS", 2)
+    check(spark, sample(11, 6, 30))
+    monkeypatch.setattr(j, "BLOCK_HASHES", 150)
+    monkeypatch.setattr(j, "CHUNK_HASHES", 900)
+    check(spark, sample(12, 4, 60))
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    text, other = " ".join(f"t{i}" for i in range(30)), " ".join(f"u{i}" for i in range(40))
+    rows = [(7, text), (7, other), (8, other + " v"), (9, text), (None, "n1 n2"), (None, "n3"), (None, "n3"), (None, None), (None, ""), (5, "n3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row_id", "2 AS gone_id", "3 AS again_id", "4 AS rid", "5 AS n", "6 AS row", "map(1, 2) AS kept")
+    kept = j.keep_one(df.repartition(3))
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(7, text), (7, other), (None, "n1 n2"), (5, "n3"), (None, None), (None, "")], key=repr)
+    parts = sorted(((r["doc_id"], r["component_id"]) for r in j.op3_jaccard_join(df).collect()), key=repr)
+    assert parts == sorted([(7, 7), (7, 7), (8, 7), (9, 7), (None, None), (None, 5), (None, 5), (None, None), (None, None), (5, 5)], key=repr)
+
+
 def test_empty_table(spark):
     assert j.op3_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -71,16 +71,16 @@ WITH RECURSIVE docs AS (
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM docs),
-sizes AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), chr(10))) END AS class FROM sets),
-reps AS (SELECT class, min(doc_id) AS rep, min(n) AS n, count(*) AS class_size FROM sizes WHERE class IS NOT NULL GROUP BY class),
-shingles AS (SELECT rep, n, unnest(s) AS x FROM sets JOIN reps ON sets.doc_id = reps.rep),
+sizes AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), chr(10))) END AS class FROM sets),
+reps AS (SELECT class AS rep, min(doc_id) AS least, min(n) AS n, count(*) AS class_size, any_value(s) AS s FROM sizes WHERE class IS NOT NULL GROUP BY class),
+shingles AS (SELECT rep, n, unnest(s) AS x FROM reps),
 links AS (
   SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.rep <> b.rep
   GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
 reach AS (SELECT rep AS node, rep AS other FROM reps UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
-parts AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
-SELECT s.doc_id, s.n::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id, coalesce(class_size, 1)::BIGINT AS class_size
-FROM sizes s LEFT JOIN reps r ON s.class = r.class LEFT JOIN parts p ON p.node = r.rep
+parts AS (SELECT node, min(least) AS component FROM reach JOIN reps ON other = rep GROUP BY node)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, CASE WHEN s.class IS NULL THEN s.doc_id ELSE component END AS component_id, coalesce(class_size, 1)::BIGINT AS class_size
+FROM sizes s LEFT JOIN reps r ON s.class = r.rep LEFT JOIN parts p ON p.node = r.rep
 """
 
 OP10_SQL = """
@@ -88,8 +88,8 @@ WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
 largest AS (SELECT digest, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY digest)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
-  CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to
+  CASE WHEN n >= 1000 AND last IS DISTINCT FROM page_id AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND last IS DISTINCT FROM page_id THEN last END AS refers_to
 FROM p LEFT JOIN largest USING (digest)
 """
 

@@ -1,38 +1,12 @@
-"""Intermediate tables and files in the folder that all executors share."""
+"""Intermediate tables and files in the folder that all executors share, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-_own_base: list[str] = []
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new, unused path under ``spark.checkpoint.dir``.
-
-    The setting is read from the session.  Only where it is unset (tests on
-    one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own_base:
-            _own_base.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-        base = _own_base[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import shared_dir, spent, written
 
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "shared_dir", "spent", "written"]
 
 #: Rows of a table that may be broadcast; its rows must be of a few fixed columns.
 BROADCAST_ROWS = 500_000
