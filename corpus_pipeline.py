@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of similar ones."""
+    """One document, that of the smallest doc_id, of each component of similar ones; rows with one id are told apart by their texts."""
     return jaccard_join.keep_one(docs)
 
 
@@ -51,7 +51,7 @@ STAGES = [
     ("token-ID / binary output", tokens),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; the tests hold run() against brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests hold every stage, and run() as a whole, against brute force.
 ORACLE_SQL = None
 
 
