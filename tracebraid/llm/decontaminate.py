@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -120,10 +121,11 @@ def scan_documents(
     share: int = SHARE,
     block_words: int = BLOCK_WORDS,
     keep_text: bool = True,
+    scan_col: str = "scan",
 ) -> DataFrame:
-    """The documents with one struct column ``scan``; without their texts if ``keep_text`` is off.
+    """The documents with one struct column ``scan_col``; without their texts if ``keep_text`` is off.
 
-    ``scan`` holds ``n_words``, ``n_hit``, ``items`` (sorted item ids),
+    It holds ``n_words``, ``n_hit``, ``items`` (sorted item ids),
     ``spans`` (hit word ranges, end exclusive) and ``contaminated``.
     """
     spark = documents.sparkSession
@@ -152,7 +154,7 @@ def scan_documents(
         block = after
     n, hit = F.col("scan.n_words"), F.col("scan.n_hit")
     columns = [F.col("text").cast("string").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in documents.columns if keep_text or c != text_col]
-    return df.select(*columns, F.col("scan").withField("contaminated", (hit > 0) & (share * hit >= n)).alias("scan"))
+    return df.select(*columns, F.col("scan").withField("contaminated", (hit > 0) & (share * hit >= n)).alias(scan_col))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], windows: WindowSet, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -193,34 +195,43 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _own(documents: DataFrame) -> str:
+    """A name for the scan that no column has."""
+    name, taken = "scan", {c.lower() for c in documents.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remove_documents(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    scanned = scan_documents(documents, benchmark, **options)
-    return scanned.filter(~F.col("scan.contaminated")).drop("scan")
+    scan = _own(documents)
+    scanned = scan_documents(documents, benchmark, scan_col=scan, **options)
+    return scanned.filter(~F.col(f"{scan}.contaminated")).drop(scan)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """All documents, hit words cut from their texts (from a span's first word to its last)."""
-
-    @F.udf("string")
-    def cut(text, spans):
-        if text is None or not spans:
-            return text
-        data = text.encode()
-        plain = data.translate(ALNUM_TABLE)
-        at, places = 0, []
-        for w in plain.split():
-            at = plain.index(w, at)
-            places.append((at, at + len(w)))
-            at += len(w)
-        out, last = [], 0
-        for s in spans:
-            out.append(data[last : places[s["begin"]][0]])
-            last = places[s["end"] - 1][1]
-        return b"".join([*out, data[last:]]).decode()
-
-    scanned = scan_documents(documents, benchmark, text_col=text_col, **options)
-    return scanned.withColumn(text_col, cut(F.col(text_col), F.col("scan.spans"))).drop("scan")
+    scan = _own(documents)
+    scanned = scan_documents(documents, benchmark, text_col=text_col, scan_col=scan, **options)
+    spans, text = F.col(f"{scan}.spans"), F.col(f"`{text_col}`")
+    hit = F.size(spans) > 0
+    # Clean texts do not travel to Python.
+    left = _without(F.when(hit, text.cast("binary")), F.when(hit, F.transform(spans, lambda x: x.begin)), F.when(hit, F.transform(spans, lambda x: x.end)))
+    return scanned.withColumn(text_col, F.when(hit, left.cast("string")).otherwise(text)).drop(scan)
+
+
+@F.pandas_udf(T.BinaryType())
+def _without(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else cut_words(t, b, e) for t, b, e in zip(texts, begins, ends, strict=True)], dtype=object)
+
+
+def cut_words(text: bytes, begins: np.ndarray, ends: np.ndarray) -> bytes:
+    """The text without the word ranges (begin, end), each from its first word's first byte to its last word's last."""
+    edge = np.diff(np.frombuffer(text.translate(ALNUM_TABLE), np.uint8) != 0x20, prepend=False, append=False)
+    places = np.flatnonzero(edge).reshape(-1, 2)
+    first, last = places[np.asarray(begins, int), 0], places[np.asarray(ends, int) - 1, 1]
+    return b"".join([text[a:b] for a, b in zip([0, *last.tolist()], [*first.tolist(), len(text)], strict=True)])
 
 
 def op2_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
