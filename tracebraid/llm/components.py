@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from .store import spent, written
 
 #: Edges that a task contracts together.
-RUN_EDGES = 1_000_000
+RUN_EDGES = 250_000
 
 
 def smallest_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

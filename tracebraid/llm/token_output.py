@@ -41,9 +41,9 @@ FILE_BYTES = 32 << 20
 #: The id that ends each document.
 END_ID = 0
 #: Text bytes that are encoded together.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Pieces whose ids a worker remembers; when it has so many, further ones are encoded anew in every run.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 #: Kinds of bytes: the space, the line end, other white space (and what some take for it), ASCII letters, other ASCII.
 SPACE, LINE, BLANK, LETTER, SIGN, FAR = range(1, 7)
