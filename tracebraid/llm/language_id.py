@@ -8,13 +8,17 @@ that switch between documents of different languages.  Forward-backward over
 the whole text gives each word's language probabilities; a document's language
 is the one with the largest sum, its score the mean probability.
 
-Training reads about ``LEARNED_DOCS`` documents of all languages together,
-chosen by a hash within each language in the learning folds.
+Training reads at most ``LEARNED_DOCS`` documents of all languages together (but
+one of each language at least) and ``LEARNED_PER_LANGUAGE`` of one, the first by a
+hash within each language in the learning folds.  A text above ``LEARNED_BYTES`` is
+only learned from where its language has no other.  One task trains on them.
 
 Cases: a null text and one without a letter is ``und`` with score 0; texts of any
-length are one chain; a null lang teaches nothing; if no language is known,
-every text is ``und``; repeated rows get equal results; other columns are
-ignored.
+length are one chain; a null lang teaches nothing, and neither does a row with a
+null doc_id, which is not held out; if no language is known, every text is
+``und``; of languages that do equally well the first by name is taken; repeated rows
+get equal results; other columns are ignored by the query and carried along by
+``tag_documents``, where ``lang_pred`` and ``score`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .quality_classifier import HELD_OUT, fold
+from .store import bounded_broadcast, written
 from .text import CHUNK_BYTES, Words, mix
 
 BITS = 16
-#: Documents that training reads, about, and at most per language.
-LEARNED_DOCS, LEARNED_PER_LANGUAGE = 2_400, 400
+#: Documents that training reads at most, of all languages and of one, and the bytes of one.
+LEARNED_DOCS, LEARNED_PER_LANGUAGE, LEARNED_BYTES = 2_400, 400, 1 << 17
 #: Sequences per step, their words, steps, step size.
 BATCH, LENGTH, STEPS, RATE = 64, 40, 300, 0.3
 #: Probability that a training sequence switches its language at a word.
@@ -64,11 +70,11 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order], np.searchsorted(owner[order], each)
 
 
-def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Label probabilities of every word; chain ``i`` is ``emission[first[i]:first[i + 1]]``.
+def messages(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: its emission factors, and the forward and backward messages, each row scaled to sum to 1.
 
-    All chains move one word a step; they are ordered by length, so that those
-    still running are the first ones.
+    Chain ``i`` is ``emission[first[i]:first[i + 1]]``.  All chains move one word a
+    step; they are ordered by length, so that those still running are the first ones.
     """
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
@@ -88,10 +94,31 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, s
         after = begin[:k] + t + 1
         state = (e[after] * beta[after]) @ move.T
         beta[after - 1] = state / state.sum(axis=1, keepdims=True)
+    return e, alpha, beta
+
+
+def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Label probabilities of every word."""
+    _, alpha, beta = messages(emission, first, transition, start)
     out = alpha * beta
     return out / out.sum(axis=1, keepdims=True)
 
 
+def gradients(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the log-likelihood of ``labels``, by emission, transition and start."""
+    e, alpha, beta = messages(emission, first, transition, start)
+    p = alpha * beta
+    by_word = -p / p.sum(axis=1, keepdims=True)
+    by_word[np.arange(len(labels)), labels] += 1
+    # A word with its predecessor in the same chain.
+    begins = first[:-1][np.diff(first) > 0]
+    inner = np.delete(np.arange(len(labels)), begins)
+    pair = alpha[inner - 1][:, :, None] * np.exp(transition)[None] * (e[inner] * beta[inner])[:, None, :]
+    by_move = -(pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    np.add.at(by_move, (labels[inner - 1], labels[inner]), 1)
+    return by_word, by_move, by_word[begins].sum(axis=0)
+
+
 class Tagger:
     """The trained field: languages, emission weights, transitions."""
 
@@ -136,23 +163,12 @@ class Tagger:
             found, first = word_features(words)
             emission = np.add.reduceat(self.weights[found], first, axis=0).astype(np.float64)
             chains = np.arange(0, len(words) + 1, LENGTH)
-            p = marginals(emission, chains, self.transition, self.start)
-            gradient = -p
-            gradient[np.arange(len(y)), y] += 1
+            gradient, moves, starts = gradients(emission, chains, self.transition, self.start, y)
             each = np.repeat(np.arange(len(words)), np.diff(np.append(first, len(found))))
             add = np.stack([np.bincount(found, gradient[each, c], 1 << BITS) for c in range(k)], 1).astype(np.float32)
             squares += add * add
             self.weights += RATE * add / np.sqrt(squares)
-            inner = np.flatnonzero(np.arange(len(y)) % LENGTH)
-            # Expected transitions from the pairwise marginals.
-            e = np.exp(emission - emission.max(axis=1, keepdims=True))
-            seen, expected = np.zeros((k, k)), np.zeros((k, k))
-            np.add.at(seen, (y[inner - 1], y[inner]), 1)
-            move = np.exp(self.transition)
-            pair = p[inner - 1][:, :, None] * move[None] * (e[inner] * 1.0)[:, None, :]
-            pair *= (p[inner] / np.maximum(pair.sum(axis=1), 1e-300))[:, None, :]
-            expected = pair.sum(axis=0)
-            for value, step, total in ((self.transition, seen - expected, grown[0]), (self.start, gradient[chains[:-1]].sum(axis=0), grown[1])):
+            for value, step, total in ((self.transition, moves, grown[0]), (self.start, starts, grown[1])):
                 total += step * step
                 value += 0.1 * step / np.sqrt(total)
 
@@ -165,28 +181,48 @@ class Tagger:
 
     def label_words(self, text: str) -> list[tuple[str, str, float]]:
         """Every word of one (code-switched) text with its language and probability."""
-        words = Words([text.lower().encode()])
+        own, words = Words([text.encode()]), Words([text.lower().encode()])
         p = marginals(self.emissions(words), words.first, self.transition, self.start)
-        return [(w, self.languages[int(x.argmax())], float(x.max())) for w, x in zip(text.split(), p, strict=True)]
+        spelled = [own.data[a:b].decode() for a, b in zip(own.starts.tolist(), own.ends.tolist(), strict=True)]
+        return [(w, self.languages[int(x.argmax())], float(x.max())) for w, x in zip(spelled, p, strict=True)]
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the languages, and the field that their documents (lang, text) give."""
+    docs = [(r["lang"], r["text"]) for batch in batches for r in batch.to_pylist()]
+    if docs:
+        tagger = Tagger(sorted({lang for lang, _ in docs}))
+        tagger.train(docs)
+        yield pa.RecordBatch.from_pydict({"languages": [tagger.languages], "weights": [tagger.weights.tobytes()], "moves": [np.vstack((tagger.transition, tagger.start)).tobytes()]})
 
 
-def train(documents: DataFrame, docs: int = LEARNED_DOCS, most: int = LEARNED_PER_LANGUAGE) -> Tagger:
+def train(documents: DataFrame, docs: int = LEARNED_DOCS, most: int = LEARNED_PER_LANGUAGE, most_bytes: int = LEARNED_BYTES) -> Tagger:
     """A tagger learned from documents with a language outside the held-out fold."""
     known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    languages = counts.count()
-    share = F.least(F.lit(most), F.lit(docs / max(1, languages))) / F.col("n")
-    place = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(F.broadcast(counts.withColumn("share", share)), "lang").filter(place < F.col("share"))
-    rows = chosen.select("lang", F.lower("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h")).limit(2 * docs).collect()
-    rows.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
-    tagger = Tagger(sorted({r["lang"] for r in rows}))
-    tagger.train([(r["lang"], bytes(r["text"])) for r in rows])
+    known = known.select("lang", F.lower("text").cast("binary").alias("text"), F.xxhash64("doc_id", F.lit("lang")).alias("h"))
+    long = F.octet_length("text") > most_bytes
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~long).alias("short")), "languages")
+    share = max(1, min(most, docs // max(1, counts.count())))
+    # By the hash about twice as many as are wanted come first, so that no language has many rows in one place.
+    enough = F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n"))
+    known = known.join(bounded_broadcast(counts.withColumnRenamed("lang", "of")), F.col("lang") == F.col("of"))
+    known = known.filter(~long | (F.col("short") == 0)).filter(F.pmod("h", F.lit(1 << 40)) * enough < float(1 << 40) * (2 * share + 40))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = known.withColumn("place", place).filter((F.col("place") <= share) & (~long | (F.col("place") == 1)))
+    one = chosen.select("h", "lang", "text").repartition(1).sortWithinPartitions("h", "lang", "text").select("lang", "text")
+    got = one.mapInArrow(_trained, "languages array<string>, weights binary, moves binary").first()
+    if got is None:
+        return Tagger([])
+    tagger = Tagger(got["languages"])
+    k = len(tagger.languages)
+    tagger.weights = np.frombuffer(got["weights"], np.float32).reshape(-1, k)
+    moves = np.frombuffer(got["moves"]).reshape(k + 1, k)
+    tagger.transition, tagger.start = moves[:k], moves[k]
     return tagger
 
 
 def tag_documents(documents: DataFrame, tagger: Tagger) -> DataFrame:
-    """The documents with ``lang_pred`` and ``score``."""
+    """The documents with ``lang_pred`` and ``score``, which replace columns of these names."""
     held = documents.sparkSession.sparkContext.broadcast(tagger)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -204,12 +240,12 @@ def tag_documents(documents: DataFrame, tagger: Tagger) -> DataFrame:
                 rows, size = [], 0
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("lang_pred", "score")]
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     und = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    if not tagger.languages:
-        return documents.withColumn("tag", und).select("*", "tag.*").drop("tag")
-    got = tagged(F.when(letters, F.lower("text").cast("binary")))
-    return documents.withColumn("tag", F.when(letters, got).otherwise(und)).select("*", "tag.*").drop("tag")
+    got = F.when(letters, tagged(F.when(letters, F.lower("text").cast("binary")))).otherwise(und) if tagger.languages else und
+    tag = documents.select(F.struct(*kept, F.lit(0).alias("_")).alias("row"), got.alias("tag"))
+    return tag.select(*[F.col(f"row.`{c}`") for c in documents.columns if c not in ("lang_pred", "score")], "tag.lang_pred", "tag.score")
 
 
 def op7_language_id(documents: DataFrame) -> DataFrame:
