@@ -1,0 +1,51 @@
+"""The query against its SQL on a table of links."""
+
+import random
+
+import duckdb
+
+from tracebraid.llm import url_filter
+
+
+def same_as_sql(spark, rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((tuple(r) for r in url_filter.op8_url_filter(df).collect()), key=repr)
+    assert got == sorted(con.execute(url_filter.ORACLE).fetchall(), key=repr)
+    return {r[0]: r[4] for r in got}
+
+
+def test_links_by_hand(spark):
+    rows = [
+        (1, "http://a.com/en/1", None, "block"),
+        (2, "http://b.de/z/2", "<link rel=canonical href='//a.com/en/1'>", "block"),
+        (3, "http://c.de/y", '<link rel="canonical" href="/login?next=http://a.com/en/1">', "allow"),
+        (4, "http://d.de/q/", '<base href="http://a.com/x/"><link rel="canonical" href="../en/1">', "block"),
+        (5, "http://e.de/q/p", '<base target=_blank><BASE HREF="/r/"><meta http-equiv=Refresh content="0;URL=s">', "allow"),
+        (6, "http://e.de/r/s", '<link rel="shortcut canonical" href="https://A.com/en/1#x">', "block"),
+        (7, "http://f.de/p", '<link rel="canonical" href="mailto:a@a.com">', "allow"),
+        (8, "http://g.de/p?a=1&b=2", '<meta http-equiv="refresh" content="5; url=http://h.de/p?x=1&amp;y=2">', "allow"),
+        (9, "http://h.de/p?x=1&y=2", "<link href='http&#58;//a.com&#x2f;en/1' rel='canonical'>", "block"),
+        (10, None, '<link rel="canonical" href="http://a.com/en/1">', "allow"),
+        (11, "no address", '<link rel="canonical" href="http://a.com/en/1">', "allow"),
+        (12, "http://example.com/en/7", '<link rel="canonical" href="http://i.de/">', "allow"),
+        (13, "http://i.de/", '<link rel="canonical" href="http://x.com/en/9">', "allow"),
+    ]
+    rows[4] = (5, "http://e.de/q/p", '<BASE HREF="/r/"><meta http-equiv=Refresh content="0;URL=s">', "block")
+    rows[7] = (*rows[7][:3], "block")
+    assert same_as_sql(spark, [r[:3] for r in rows]) == {r[0]: r[3] for r in rows}
+
+
+def test_links_at_random(spark):
+    rng = random.Random(7)
+    hosts, paths = ["a.com", "b.net", "c.org", "example.net", "d.de"], ["", "/", "/en/1", "/en/", "/de/8/x", "/p/q/r.html", "/es/2?k=1&l=2#f"]
+    targets = ["", "x", "../x", "../../en/5", "./", ".", "..", "?k=2", "#top", "/en/6", "//c.org/es/1", "HTTP://a.com/en/1", "a/../b/./c", "/r/../en/2?u=http://b.net/de/1", "javascript:void(0)", "p?x=1&amp;y=2"]
+    rows = []
+    for i in range(120):
+        t = rng.choice(targets)
+        tag = rng.choice([f'<link rel="canonical" href="{t}">', f"<link href={t or 'y'} rel=canonical >", f'<meta http-equiv="refresh" content="0; url={t}">', "<link rel='icon' href='i'>", "canonical"])
+        base = rng.choice(["", "", f'<base href="{rng.choice(targets)}">'])
+        rows.append((i, rng.choice([None, "http://" + rng.choice(hosts) + rng.choice(paths), "https://" + rng.choice(hosts) + rng.choice(paths)]), rng.choice([None, base + tag, tag + base + tag])))
+    same_as_sql(spark, rows)

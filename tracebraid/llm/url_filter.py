@@ -11,8 +11,8 @@ allowed.
 Cases: a null url and one without ``://`` has empty host and path, no rule and no
 aliases; null html has no links; targets without a page count as addresses of
 their own, with the rule they would have; only a scheme at the start makes a target
-absolute, others are resolved against the page's address, dot segments removed,
-as ``urljoin`` does; ``mailto:``, ``data:`` and the like have no address; links to
+absolute, others are resolved against the page's ``<base>``, if it has one, or its
+address, dot segments removed, as ``urljoin`` does; ``mailto:``, ``data:`` and the like have no address; links to
 the page itself add nothing;
 repeated rows get equal verdicts; an empty table gives an empty result; other
 columns are ignored.
@@ -35,6 +35,7 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAGS = "(?i)<(?:link|meta)\\b[^>]*>"
+BASE = "(?i)<base\\b[^>]*>"
 CANONICAL = "(?i)\\brel\\s*=\\s*(?:\"(?:[^\">]*\\s)?canonical(?:\\s[^\">]*)?\"|'(?:[^'>]*\\s)?canonical(?:\\s[^'>]*)?'|canonical(?=[\\s/>]))"
 HREF = "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
 REFRESH = "(?i)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
@@ -107,16 +108,29 @@ def without_dots(path: Column) -> Column:
     return F.when(path.rlike("(^|/)\\.\\.?(/|$)"), clean).otherwise(path)
 
 
+#: The escapes that addresses need; the ampersand's own comes last.
+ESCAPES = (("(?i)&(?:#0*38|#x0*26);", "&amp;"), ("(?i)&(?:#0*47|#x0*2f|sol);", "/"), ("(?i)&(?:#0*58|#x0*3a|colon);", ":"), ("(?i)&amp;", "&"))
+
+
+def unescaped(target: Column) -> Column:
+    for escape, char in ESCAPES:
+        target = F.regexp_replace(target, escape, char)
+    return target
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges (source, target) between addresses, from canonical links and refresh redirects in the html."""
-    tag = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag"))
+    has = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv"))
+    base = F.nullif(F.regexp_extract(F.regexp_extract("html", BASE, 0), HREF, 1), F.lit(""))
+    # Written, so that a page is searched once and not for every tag, and resolving is not done within resolving.
+    tags = written(has.select("url", base.alias("base"), F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)).alias("tags")), "page-tags")
+    tag = tags.select("url", "base", F.explode("tags").alias("tag"))
     target = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
-    tag = tag.select("url", target.alias("target")).filter("target <> ''")
-    # The escapes that addresses need; the ampersand's own comes last.
-    for escape, char in (("(?i)&(?:#0*38|#x0*26);", "&amp;"), ("(?i)&(?:#0*47|#x0*2f|sol);", "/"), ("(?i)&(?:#0*58|#x0*3a|colon);", ":"), ("(?i)&amp;", "&")):
-        tag = tag.withColumn("target", F.regexp_replace("target", escape, char))
-    tag = tag.distinct()
-    edges = tag.select(address_of(F.col("url")).alias("source"), address_of(resolved(F.col("target"), F.col("url"))).alias("target"))
+    tag = tag.select("url", "base", target.alias("target")).filter("target <> ''").distinct()
+    tag = written(tag.select("url", unescaped(F.col("base")).alias("base"), unescaped(F.col("target")).alias("target")), "targets")
+    against = F.when(F.col("base").isNotNull(), F.coalesce(resolved(F.col("base"), F.col("url")), F.col("url"))).otherwise(F.col("url"))
+    tag = written(tag.select("url", against.alias("base"), "target"), "link-targets")
+    edges = tag.select(address_of(F.col("url")).alias("source"), address_of(resolved(F.col("target"), F.col("base"))).alias("target"))
     return edges.dropna().filter("source <> target")
 
 
@@ -127,7 +141,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         source, target = redirects.columns[:2]
         more = redirects.select(address_of(F.col(f"`{source}`")).alias("source"), address_of(F.col(f"`{target}`")).alias("target"))
         edges = edges.unionByName(more.dropna().filter("source <> target"))
-    parts = connected_components(edges.distinct())
+    parts = connected_components(edges)
     # An address reads like an url behind "://".
     url = F.concat(F.lit("://"), F.col("node"))
     ruled = parts.withColumn("own", rule_of(host_of(url), path_of(url), rules))
@@ -157,6 +171,31 @@ def _sql_rule(host: str, path: str) -> str:
 
 
 _TR = f"'{UPPER}', '{LOWER}'"
+_HREF = r"""'(?i)\bhref\s*=\s*["'']?([^"''\s>]+)'"""
+
+
+def _unescaped(x: str) -> str:
+    for escape, char in ESCAPES:
+        x = f"regexp_replace({x}, '{escape}', '{char}', 'g')"
+    return x
+
+
+def _resolved(target: str, url: str) -> str:
+    """``resolved`` in SQL."""
+    part = lambda pattern, x: f"regexp_extract({x}, '{pattern}', 1)"
+    base, t = part("^([^#]*)", url), part("^([^#]*)", target)
+    scheme, host, path = (part(x, base) for x in ("^([A-Za-z][A-Za-z0-9+.-]*:)//", "^[^:/?#]*://([^/?#]*)", "^[^:/?#]*://[^/?#]*([^?]*)"))
+    own, query = part("^([^?]*)", t), part("^[^?]*([?].*)$", t)
+    joined = f"CASE WHEN starts_with({own}, '/') THEN {own} ELSE coalesce(nullif({part('^(.*/)[^/]*$', path)}, ''), '/') || {own} END"
+    kept = f"""list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({joined}, '/')[2:], lambda x: [x])),
+      lambda done, x: CASE WHEN x[1] = '..' THEN done[1:greatest(len(done) - 1, 0)] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"""
+    ends = f"CASE WHEN regexp_matches({joined}, '(^|/)[.][.]?$') THEN '/' ELSE '' END"
+    clean = f"""CASE WHEN regexp_matches({joined}, '(^|/)[.][.]?(/|$)') THEN regexp_replace('/' || array_to_string({kept}, '/') || {ends}, '^//$', '/') ELSE {joined} END"""
+    return f"""CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t} WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN starts_with({t}, '//') THEN {scheme} || {t} WHEN {t} = '' THEN {base} WHEN {own} = '' THEN {scheme} || '//' || {host} || {path} || {query}
+      ELSE {scheme} || '//' || {host} || {clean} || {query} END"""
+
+
 ORACLE = rf"""
 WITH RECURSIVE own AS (
   SELECT page_id, url, html,
@@ -165,17 +204,19 @@ WITH RECURSIVE own AS (
     regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS tail FROM pages),
 addressed AS (SELECT *, CASE WHEN host <> '' THEN host || tail END AS address, {_sql_rule('host', 'path')} AS own_rule FROM own),
 tags AS (
-  SELECT url, address, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM addressed
+  SELECT address, url, nullif(regexp_extract(regexp_extract(html, '(?i)<base\b[^>]*>'), {_HREF}, 1), '') AS base,
+    unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM addressed
   WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
 targets AS (
-  SELECT url, address, CASE
-    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
-      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  SELECT address, url, base, CASE
+    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical[\s/>])')
+      THEN regexp_extract(tag, {_HREF}, 1)
     WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
       THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["''][^"''>]*\burl\s*=\s*([^"''>\s]+)', 1) END AS t FROM tags),
-whole AS (
-  SELECT address AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:]*://)', 1) || regexp_extract(url, '://([^/?#]*)', 1) || t END AS u FROM targets),
+based AS (
+  SELECT address, {_unescaped('t')} AS t, CASE WHEN base IS NULL THEN url ELSE coalesce({_resolved(_unescaped('base'), 'url')}, url) END AS base
+  FROM targets WHERE t <> ''),
+whole AS (SELECT address AS a, {_resolved('t', 'base')} AS u FROM based),
 links AS (
   SELECT a, translate(regexp_extract(u, '://([^/?#]*)', 1), {_TR}) || regexp_extract(u, '://[^/?#]*([^#]*)', 1) AS b FROM whole
   WHERE a IS NOT NULL AND regexp_extract(u, '://([^/?#]*)', 1) <> ''),
