@@ -67,7 +67,7 @@ def test_prompts_carry_all_signals_by_normalised_name(spark):
 def test_answers_of_pairs_and_broken_answers(spark):
     assert adjudication.parse_pairs('so {no} ```{"causal_pairs": [["a", "b"], ["c"], "d", ["e", "f", 1]], "root_causes": [1, 2, 3, 4]}```') == ([("a", "b"), ("e", "f")], ["1", "2", "3"], "json")
     assert adjudication.parse_pairs(None) == adjudication.parse_pairs("[1]") == ([], [], "failed")
-    assert adjudication.parse_answer("{x} {\"causal_ids\": [3], \"root_causes\": null} tail }") == ([3], [], "json")
+    assert adjudication.parse_answer("{x} {\"causal_ids\": [3], \"root_causes\": null} tail }") == (["3"], [], "json")
     assert adjudication.parse_answer("Root_Causes = [\"a b\", 'c', 5] causal_ids=[]") == ([], ["a b", "c"], "regex_fallback")
     known = spark.createDataFrame([("x", 0, "a", MASKED, "b"), ("x", 1, "b", CAUSAL, "d"), ("y", 0, "b", CAUSAL, "d")], "case_id string, pos long, source string, relation string, target string")
     answers = spark.createDataFrame([("x", '{"causal_pairs": [["a", "b"], ["q", "r"]], "root_causes": ["a"]}')], "case_id string, answer string")

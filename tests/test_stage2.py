@@ -117,8 +117,31 @@ def test_visible_causal_edges_stay(spark):
     known, e, s = chain(spark)
     known = known.withColumn("relation", F.when(F.col("source") == "ts-cache", CAUSAL).otherwise(F.col("relation")))
     assert ("ts-cache", "ts-other") in pairs_of(incident.predict(known, e, s)[1])
-    only = incident.graph_only_roots(known, e, s)
-    assert [r["node"] for r in only.orderBy("rank").collect()] == ["ts-other", "ts-cache"]
+    only = incident.graph_only_roots(e, s)
+    assert [r["node"] for r in only.orderBy("rank").collect()] == ["ts-db", "ts-worker", "ts-other"]
+
+
+def test_roots_are_sources_and_no_symptoms(spark):
+    """a -> b -> d with symptom d, and evidence at z that no edge touches."""
+    known = edges(spark, ("a", "b"), ("b", "d"), relation=CAUSAL)
+    e = ev(spark, ("a", 0.6, 1), ("b", 0.8, 2), ("d", 0.9, 3), ("z", 0.95, 9))
+    found = incident.predict(known, e, nodes(spark, "d"))[2].orderBy("rank").collect()
+    assert [r["node"] for r in found] == ["a", "b"]
+    # a: earliest of the two, nothing comes in; b: latest of the two, a's edge comes in.
+    assert [round(r["score"], 6) for r in found] == [round(0.38 + 0.30 * 0.6 + 0.20 + 0.12, 6), round(0.38 + 0.30 * 0.8, 6)]
+    assert [r["node"] for r in incident.graph_only_roots(e, nodes(spark, "d")).orderBy("rank").collect()] == ["z", "b", "a"]
+
+
+def test_without_a_source_that_is_no_symptom_evidence_ranks(spark):
+    e = ev(spark, ("d", 0.9, 3), ("x", 0.7, 1), ("y", 0.6, 2))
+    found = incident.predict(edges(spark, ("d", "x"), relation=CAUSAL), e, nodes(spark, "d"))[2].orderBy("rank").collect()
+    assert [r["node"] for r in found] == ["x", "y"]
+
+
+def test_scores_are_ranked_as_they_are(spark):
+    e = ev(spark, ("p", 0.6, 1), ("q", 0.6 + 1e-10, 1))
+    found = incident.rank_by_evidence(e, nodes(spark, "none")).orderBy("rank").collect()
+    assert [r["node"] for r in found] == ["q", "p"]
 
 
 def test_normalised_names(spark):
@@ -156,6 +179,13 @@ def test_reachability(spark):
     own = metrics.path_reachability(e.limit(0), nodes(spark, "db"), nodes(spark, "db"), nodes(spark, "db"), cases(spark)).first()
     assert (good[1], bad[1], own[1]) == (1, 0, 1)
     assert metrics.mean_reachability(e, nodes(spark, "db", "x"), nodes(spark, "api"), cases(spark)).first()["reachability"] == 0.5
+    # Lists count as they are: db twice, and a load generator that no edge reaches but itself.
+    assert metrics.mean_reachability(e, nodes(spark, "db", "db", "loadgen"), nodes(spark, "api", "loadgen"), cases(spark)).first()["reachability"] == 0.5
+
+
+def test_paths_lead_to_symptoms_without_alarms(spark):
+    both = metrics.alarms_or_symptoms(nodes(spark, "a", case="c"), nodes(spark, "s", case="c").union(nodes(spark, "t", case="d")))
+    assert {(r["case_id"], r["node"]) for r in both.collect()} == {("c", "a"), ("d", "t")}
 
 
 def test_root_hits(spark):
@@ -213,8 +243,8 @@ def test_evidence_signals(spark):
 
 def test_answers(spark):
     parse = adjudication.parse_answer
-    assert parse('```json\n{"causal_ids":[0,"2","x"],"root_causes":["a"]}\n```') == ([0, 2], ["a"], "json")
-    assert parse("causal_ids: [1, -3] and root_causes = ['b', \"c\"]") == ([1, -3], ["b", "c"], "regex_fallback")
+    assert parse('```json\n{"causal_ids":[0,"2","x"],"root_causes":["a"]}\n```') == (["0", "2"], ["a"], "json")
+    assert parse("causal_ids: [1, -3] and root_causes = ['b', \"c\"]") == (["1", "-3"], ["b", "c"], "regex_fallback")
     assert parse("no idea") == parse(None) == ([], [], "failed")
     known = edges(spark, ("ts-a", "ts-b"), ("loadgen", "ts-a"), ("ts-b", "ts-d"), relation=MASKED)
     answers = spark.createDataFrame([("c", '{"causal_ids": [1, 1, 9], "root_causes": ["B", "zz", "ts-a", "a", "d", "yy"]}')], "case_id string, answer string")
@@ -223,6 +253,9 @@ def test_answers(spark):
     assert [r["node"] for r in roots.orderBy("rank").collect()] == ["ts-b", "ts-a", "ts-d"]
     r = n.first()
     assert (r["mode"], r["n_valid_ids"], r["n_invalid_ids"], r["n_invalid_roots"]) == ("json", 1, 1, 1)
+    huge = spark.createDataFrame([("c", '{"causal_ids":[0,99999999999,%d]}' % 10**30)], "case_id string, answer string")
+    found, _, n = adjudication.decide(huge, known, None)
+    assert pairs_of(found) == {("ts-a", "ts-b")} and (n.first()["n_valid_ids"], n.first()["n_invalid_ids"]) == (1, 2)
 
 
 def test_prompts_show_no_gold(spark):
@@ -249,6 +282,11 @@ def test_reports(spark, tmp_path):
     assert [r["case_id"] for r in reports.merge_shards(spark, f"{tmp_path}/s*.json", 2).collect()] == ["a", "b"]
     with pytest.raises(ValueError):
         reports.merge_shards(spark, f"{tmp_path}/s*.json", 3)
+    with pytest.raises(ValueError):
+        reports.markdown(spark.range(1001), "t")
+    for n in (0, 2):
+        with pytest.raises(ValueError):
+            reports.write_summary(spark.range(n), f"{tmp_path}/out")
 
 
 def test_result_files(spark, tmp_path):

@@ -166,8 +166,8 @@ def _whole(x: object) -> int | None:
         return None
 
 
-def parse_answer(text: str | None) -> tuple[list[int], list[str], str]:
-    """(ids, roots, mode): from JSON, else from lists behind the keys (``regex_fallback``), else nothing (``failed``)."""
+def parse_answer(text: str | None) -> tuple[list[str], list[str], str]:
+    """(ids as decimal text, of any size, roots, mode): from JSON, else from lists behind the keys (``regex_fallback``), else nothing (``failed``)."""
     try:
         answer = parse_object(text or "")
         numbers, names, mode = list(answer.get("causal_ids") or []), list(answer.get("root_causes") or []), "json"
@@ -175,7 +175,7 @@ def parse_answer(text: str | None) -> tuple[list[int], list[str], str]:
         lists = _listed(text or "")
         numbers, names = lists.get("causal_ids", []), lists.get("root_causes", [])
         mode = "regex_fallback" if lists else "failed"
-    ids = [n for n in map(_whole, numbers) if n is not None]
+    ids = [str(n) for n in map(_whole, numbers) if n is not None]
     return ids, [str(x) for x in names], mode
 
 
@@ -189,7 +189,7 @@ def parse_pairs(text: str | None) -> tuple[list[tuple[str, str]], list[str], str
         return [], [], "failed"
 
 
-_PARSED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("roots", T.ArrayType(T.StringType())), T.StructField("mode", T.StringType())])
+_PARSED = T.StructType([T.StructField("ids", T.ArrayType(T.StringType())), T.StructField("roots", T.ArrayType(T.StringType())), T.StructField("mode", T.StringType())])
 
 
 @F.pandas_udf(_PARSED)
@@ -224,7 +224,8 @@ def decide(answers: DataFrame, known: DataFrame, ev: DataFrame | None, keep_load
     """
     p = answers.withColumn("p", parsed("answer")).select("case_id", "p.*")
     c = candidates(known, keep_loadgen).select("case_id", "id", "source", "target")
-    ids = p.select("case_id", F.explode(F.array_distinct("ids")).alias("id"))
+    # An id that is no candidate's, however large, joins with none and counts as invalid.
+    ids = p.select("case_id", F.explode(F.array_distinct("ids")).alias("id")).withColumn("id", F.col("id").try_cast("long"))
     edges = ids.join(c, ["case_id", "id"]).select("case_id", "source", F.lit(CAUSAL).alias("relation"), "target")
     nodes = known.select("case_id", F.explode(F.array("source", "target")).alias("node"))
     if ev is not None:

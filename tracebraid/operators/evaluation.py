@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import normalize_service, ratio_of
 from ..functions.predicates import structural, without_loadgen
-from ..schemas import CAUSAL
+from ..schemas import CAUSAL, DERIVED
 from . import incident, masking, metrics, structural as s1
 from .incident import PAIR
 from .metrics import prf, with_scores
 
 EDGE = ["source", "relation", "target"]
-#: Marks of a reference that was made from the model's own observations (fixed values).
-DERIVED = ("observation_abduction", "telemetry_observation", "collector_observation", "recover_structural_relations")
 
 
 def typed_prf(predicted: DataFrame, truth: DataFrame, cases: DataFrame) -> DataFrame:
@@ -138,7 +136,7 @@ def topology_rca(topologies: DataFrame, ev: DataFrame, symptoms: DataFrame, gold
         named(metrics.node_prf(edges, gold_edges, all_cases, roots, gold_roots), "node"),
         named(metrics.root_prf(roots, gold_roots, all_cases), "root"),
         metrics.root_hits(roots, gold_roots, all_cases),
-        metrics.path_reachability(edges, roots, gold_roots, alarms, all_cases),
+        metrics.path_reachability(edges, roots, gold_roots, metrics.alarms_or_symptoms(alarms, symptoms), all_cases),
     ):
         out = out.join(df, "case_id")
     for df, name in ((roots, "n_predicted_roots"), (edges, "n_predicted_edges")):
@@ -190,7 +188,7 @@ def ablation(known: DataFrame, gold: DataFrame, ev: DataFrame, symptoms: DataFra
     elif mode == "edge":
         known, _ = masking.removal_mask(known, ratio, seed, picks)
     if variant == "graph_only":
-        edges, roots = known.filter(F.col("relation") == CAUSAL), incident.graph_only_roots(known, ev, symptoms)
+        edges, roots = known.filter(F.col("relation") == CAUSAL), incident.graph_only_roots(ev, symptoms)
     else:
         uses, logic = ABLATIONS[variant]
         scorer = semantic if uses else None
@@ -200,7 +198,7 @@ def ablation(known: DataFrame, gold: DataFrame, ev: DataFrame, symptoms: DataFra
         metrics.node_prf(edges, gold, cases, roots, gold_roots).select("case_id", F.col("f1").alias("node_f1")),
         metrics.root_prf(roots, gold_roots, cases).select("case_id", F.col("f1").alias("root_f1")),
         metrics.root_hits(roots, gold_roots, cases),
-        metrics.path_reachability(edges, roots, gold_roots, alarms, cases),
+        metrics.path_reachability(edges, roots, gold_roots, metrics.alarms_or_symptoms(alarms, symptoms), cases),
     ]
     if truth is not None:
         more.append(metrics.classification(edges, truth, cases).select("case_id", F.when(F.col("n") > 0, F.col("f1")).alias("relation_f1"), F.when(F.col("n") > 0, F.col("accuracy")).alias("relation_accuracy")))

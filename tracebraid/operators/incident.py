@@ -179,12 +179,16 @@ def early(value: Column, partition: str = "case_id") -> Column:
     return F.coalesce(1 - (value - F.min(value).over(w)) / span, F.lit(0.0))
 
 
-def rank_roots(h: DataFrame, ev: DataFrame, most: int = 3) -> DataFrame:
-    """Nodes of scored edges (case_id, source, target, score) by outgoing score, anomaly, earliness, lack of incoming score."""
-    ends = h.select("case_id", F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("score").alias("out"), F.lit(0.0).alias("inc")), F.struct(F.col("target").alias("node"), F.lit(0.0).alias("out"), F.col("score").alias("inc")))).alias("x")).select("case_id", "x.*")
-    n = ends.groupBy("case_id", "node").agg(F.max("out").alias("out"), F.max("inc").alias("inc"))
-    n = n.join(node_anomaly(ev), ["case_id", "node"], "left").withColumn("early", early(F.col("first_s")))
-    score = 0.38 * F.col("out") + 0.30 * F.coalesce("anomaly", F.lit(0.0)) + 0.20 * F.col("early") + 0.12 * (1 - F.col("inc"))
+def rank_roots(h: DataFrame, ev: DataFrame, symptoms: DataFrame, most: int = 3) -> DataFrame:
+    """Sources of scored edges (case_id, source, target, score) that are no symptoms, by outgoing score, anomaly, earliness, lack of incoming score.
+
+    Earliness compares these nodes alone.  A case whose sources are all symptoms has no row.
+    """
+    n = h.groupBy("case_id", F.col("source").alias("node")).agg(F.max("score").alias("out"))
+    n = n.join(symptoms.select("case_id", "node").distinct(), ["case_id", "node"], "left_anti")
+    into = h.groupBy("case_id", F.col("target").alias("node")).agg(F.max("score").alias("inc"))
+    n = n.join(into, ["case_id", "node"], "left").join(node_anomaly(ev), ["case_id", "node"], "left").withColumn("early", early(F.col("first_s")))
+    score = 0.38 * F.col("out") + 0.30 * F.coalesce("anomaly", F.lit(0.0)) + 0.20 * F.col("early") + 0.12 * (1 - F.coalesce("inc", F.lit(0.0)))
     return _ranked(n.withColumn("score", score), most)
 
 
@@ -197,15 +201,13 @@ def rank_by_evidence(ev: DataFrame, symptoms: DataFrame, most: int = 3) -> DataF
 
 
 def _ranked(n: DataFrame, most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "node"))
+    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "node"))
     return n.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("case_id", "node", "score", "rank")
 
 
-def graph_only_roots(known: DataFrame, ev: DataFrame, symptoms: DataFrame, most: int = 3) -> DataFrame:
-    """The baseline: nodes of visible causal edges by anomaly, first time, name; symptoms left out."""
-    nodes = known.filter(F.col("relation") == CAUSAL).select("case_id", F.explode(F.array("source", "target")).alias("node")).distinct()
-    n = nodes.join(symptoms.select("case_id", "node"), ["case_id", "node"], "left_anti").join(node_anomaly(ev), ["case_id", "node"], "left")
-    n = n.withColumn("anomaly", F.coalesce("anomaly", F.lit(0.0)))
+def graph_only_roots(ev: DataFrame, symptoms: DataFrame, most: int = 3) -> DataFrame:
+    """The baseline's roots: all nodes with evidence but symptoms, by anomaly, first anomalous time, name; edges have no say."""
+    n = node_anomaly(ev).join(symptoms.select("case_id", "node").distinct(), ["case_id", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("anomaly"), F.col("first_s").asc_nulls_last(), "node"))
     return n.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("case_id", "node", F.col("anomaly").alias("score"), "rank")
 
@@ -228,6 +230,6 @@ def predict(known: DataFrame, ev: DataFrame, symptoms: DataFrame, semantic=None,
     hard = known.filter(F.col("relation") == CAUSAL).select("case_id", *PAIR).distinct()
     edges = hard.unionByName(chosen.select("case_id", *PAIR)).distinct().withColumn("relation", F.lit(CAUSAL))
     scored = chosen.select("case_id", *PAIR, F.col("final_score").alias("score")).unionByName(hard.withColumn("score", F.lit(1.0)))
-    roots = rank_roots(scored, ev, most_roots)
+    roots = rank_roots(scored, ev, symptoms, most_roots)
     fallback = rank_by_evidence(ev.join(roots.select("case_id").distinct(), "case_id", "left_anti"), symptoms, most_roots)
     return h, edges, roots.unionByName(fallback)

@@ -88,12 +88,19 @@ def path_reachability(predicted: DataFrame, roots: DataFrame, gold_roots: DataFr
     return cases.select("case_id").distinct().join(hit, "case_id", "left").select("case_id", F.coalesce("hit", F.lit(0.0)).alias("path_reachability"))
 
 
+def alarms_or_symptoms(alarms: DataFrame, symptoms: DataFrame) -> DataFrame:
+    """Where paths are to lead: a case's alarms or, without any, its symptoms."""
+    rest = symptoms.join(alarms.select("case_id").distinct(), "case_id", "left_anti")
+    return alarms.select("case_id", "node").unionByName(rest.select("case_id", "node"))
+
+
 def mean_reachability(predicted: DataFrame, roots: DataFrame, symptoms: DataFrame, cases: DataFrame) -> DataFrame:
-    """The older measure: the share of (root, symptom) pairs that are connected."""
-    r, s = _roots(roots).distinct(), _roots(symptoms).distinct()
-    reach = reachable(service_pairs(predicted), r).withColumn("reached", F.lit(1.0))
-    pairs = r.withColumnRenamed("node", "root").join(s, "case_id")
-    m = pairs.join(reach, ["case_id", "root", "node"], "left").groupBy("case_id").agg(F.avg(F.coalesce("reached", F.lit(0.0))).alias("reachability"))
+    """The older measure: the share of (root, symptom) pairs that are connected; both lists as they are, with repeats and load generators."""
+    named = lambda df: df.groupBy("case_id", normalize_service("node").alias("node")).agg(F.count("*").alias("n"))
+    r, s = named(roots), named(symptoms)
+    reach = reachable(service_pairs(predicted), r).withColumn("reached", F.lit(1))
+    pairs = r.withColumnsRenamed({"node": "root", "n": "n_root"}).join(s, "case_id").withColumn("pairs", F.col("n_root") * F.col("n"))
+    m = pairs.join(reach, ["case_id", "root", "node"], "left").groupBy("case_id").agg((F.sum(F.when(F.col("reached") == 1, F.col("pairs")).otherwise(0)) / F.sum("pairs")).alias("reachability"))
     return cases.select("case_id").distinct().join(m, "case_id", "left").na.fill(0.0, ["reachability"])
 
 

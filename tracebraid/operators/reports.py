@@ -143,13 +143,21 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """A one-row summary as JSON."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A one-row summary as JSON; an error if there are more rows, or none."""
+    n = len(df.limit(2).collect())
+    if n != 1:
+        raise ValueError(f"a summary has one row, not {'none' if n == 0 else 'several'}")
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def markdown(summary: DataFrame, title: str, percent: tuple[str, ...] = (), most: int = 1000) -> str:
-    """A small summary table as Markdown: two decimals, ``-`` for null, the given columns in percent."""
-    rows = summary.limit(most).collect()
+    """A small summary table as Markdown: two decimals, ``-`` for null, the given columns in percent.
+
+    It is made on the driver; an error if it has more than ``most`` rows.
+    """
+    rows = summary.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
     names = summary.columns
 
     def shown(name: str, v) -> str:

@@ -96,7 +96,7 @@ def _hits(s: Sample) -> DataFrame:
 
 
 def _graph_only(s: Sample) -> DataFrame:
-    r = incident.graph_only_roots(s.gold_edges, s.evidence, s.symptoms)
+    r = incident.graph_only_roots(s.evidence, s.symptoms)
     return r.select("case_id", "node", "rank", *r6("score"))
 
 
@@ -309,7 +309,7 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "node_prf": lambda s: scores(metrics.node_prf(s.prediction[1], s.gold_edges, s.cases, s.prediction[2], s.gold_roots), "case_id"),
     "root_prf": lambda s: scores(_root_rows(s), "case_id"),
     "root_hits": _hits,
-    "path_reachability": lambda s: metrics.path_reachability(s.prediction[1], s.prediction[2], s.gold_roots, s.alarms, s.cases),
+    "path_reachability": lambda s: metrics.path_reachability(s.prediction[1], s.prediction[2], s.gold_roots, metrics.alarms_or_symptoms(s.alarms, s.symptoms), s.cases),
     "per_system_summary": _per_system,
     "coverage_audit": _coverage,
     "observation_audit": lambda s: reports.observation_audit(s.cases, s.observed).select("n_cases", "n_observed_cases", "n_observations", *r6("mean_observations")),

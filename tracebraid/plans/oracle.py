@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from ..sources.telemetry import CASES, EVENT_CUT, EVENT_SERVICES, LINE_CUT, SERVICES, START
-from .sample import GROUPS, RATIO
+#: The sample run's numbers, stated here again and not taken from the library.
+CASES, SERVICES, EVENT_SERVICES, GROUPS, RATIO = 20, 61, 6, 4, 0.4
+LINE_CUT, EVENT_CUT, START = "1998-05-24", "2024-01-21", 10370.0
 
 
 def norm(x: str) -> str:
@@ -156,14 +157,15 @@ CTES: list[tuple[str, str]] = [
         CASE WHEN t.first_s - s.first_s IS NULL OR t.first_s < s.first_s THEN 0.0::DOUBLE WHEN t.first_s - s.first_s <= 5 THEN 1.0 WHEN t.first_s - s.first_s <= 30 THEN 0.8 WHEN t.first_s - s.first_s <= 120 THEN 0.55 ELSE 0.2 END AS t,
         least(s.anomaly, t.anomaly) AS a FROM known k JOIN node_an s ON s.case_id = k.case_id AND s.node = k.source JOIN node_an t ON t.case_id = k.case_id AND t.node = k.target)"""),
     ("chosen", f"SELECT case_id, source, target, abd AS score FROM chyp WHERE {clamp('abd')} >= 0.5"),
-    ("ends", "SELECT case_id, source AS node, score AS o, 0.0::DOUBLE AS i FROM chosen UNION ALL SELECT case_id, target, 0.0, score FROM chosen"),
-    ("cand", "SELECT case_id, node, o, i, coalesce(anomaly, 0) AS anomaly, first_s FROM (SELECT case_id, node, max(o) AS o, max(i) AS i FROM ends GROUP BY ALL) LEFT JOIN node_an USING (case_id, node)"),
+    ("ends", "SELECT case_id, source AS node, max(score) AS o FROM chosen WHERE (case_id, source) NOT IN (SELECT case_id, node FROM symptoms) GROUP BY ALL"),
+    ("cand", """SELECT case_id, node, o, coalesce(i, 0) AS i, coalesce(anomaly, 0) AS anomaly, first_s FROM ends
+      LEFT JOIN (SELECT case_id, target AS node, max(score) AS i FROM chosen GROUP BY ALL) USING (case_id, node) LEFT JOIN node_an USING (case_id, node)"""),
     ("root_scores", """SELECT case_id, node, 0.38::DOUBLE * o + 0.30::DOUBLE * anomaly + 0.20::DOUBLE * early + 0.12::DOUBLE * (1 - i) AS score FROM (SELECT *, coalesce(1 - (first_s - min(first_s) OVER w) / greatest(max(first_s) OVER w - min(first_s) OVER w, 1e-9), 0) AS early
       FROM cand WINDOW w AS (PARTITION BY case_id))"""),
-    ("roots1", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, node) AS rank FROM root_scores) WHERE rank <= 3"),
+    ("roots1", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, node) AS rank FROM root_scores) WHERE rank <= 3"),
     ("ev_nodes", "SELECT n.*, s.node IS NOT NULL AS sym, bool_or(s.node IS NULL) OVER (PARTITION BY n.case_id) AS others FROM node_an n LEFT JOIN (SELECT DISTINCT case_id, node FROM symptoms) s USING (case_id, node)"),
     ("ev_scores", """SELECT case_id, node, 0.75::DOUBLE * anomaly + 0.25::DOUBLE * coalesce(1 - (first_s - min(first_s) OVER w) / greatest(max(first_s) OVER w - min(first_s) OVER w, 1e-9), 0) AS score FROM ev_nodes WHERE NOT sym OR NOT others WINDOW w AS (PARTITION BY case_id)"""),
-    ("ev_roots", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, node) AS rank FROM ev_scores) WHERE rank <= 3"),
+    ("ev_roots", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, node) AS rank FROM ev_scores) WHERE rank <= 3"),
     ("roots", "SELECT * FROM roots1 UNION ALL SELECT * FROM ev_roots WHERE case_id NOT IN (SELECT case_id FROM roots1)"),
     ("gold_spans", """SELECT c.case_id, c.service_name AS source, p.service_name AS target, count(*) AS n FROM traces c JOIN traces p ON c.case_id = p.case_id AND c.trace_id = p.trace_id AND c.parent_span_id = p.span_id
       WHERE c.win = 'abnormal' AND p.win = 'abnormal' AND c.err AND p.err AND c.service_name <> p.service_name GROUP BY ALL"""),
@@ -173,7 +175,7 @@ CTES: list[tuple[str, str]] = [
     ("gold_pairs", f"SELECT DISTINCT case_id, {norm('source')} AS source, {norm('target')} AS target FROM gold_spans"),
     ("pred_roots", f"SELECT case_id, {norm('node')} AS node, rank FROM roots"),
     ("true_roots", f"SELECT case_id, {norm('node')} AS node FROM gold_roots"),
-    ("true_alarms", f"SELECT case_id, {norm('node')} AS node FROM alarms"),
+    ("true_alarms", f"SELECT case_id, {norm('node')} AS node FROM (SELECT case_id, node FROM alarms UNION ALL SELECT case_id, node FROM symptoms WHERE case_id NOT IN (SELECT case_id FROM alarms))"),
     ("edge_rows", _prf("pred_pairs", "gold_pairs", "source, target")),
     ("pred_nodes", "SELECT case_id, source AS node FROM pred_pairs UNION SELECT case_id, target FROM pred_pairs UNION SELECT case_id, node FROM pred_roots"),
     ("gold_nodes", "SELECT case_id, source AS node FROM gold_pairs UNION SELECT case_id, target FROM gold_pairs UNION SELECT case_id, node FROM true_roots"),
@@ -266,8 +268,8 @@ def _ablation(known: str, score: str = "abd", truth: bool = True, graph_only: bo
     if graph_only:
         at = dict(tables)
         at["chosen_a"] = "SELECT case_id, source, target, 1.0 AS score FROM hard_a"
-        at["roots_a"] = """SELECT * FROM (SELECT case_id, node, coalesce(anomaly, 0) AS score, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(anomaly, 0) DESC, first_s NULLS LAST, node) AS rank
-          FROM (SELECT case_id, source AS node FROM hard_a UNION SELECT case_id, target FROM hard_a) LEFT JOIN node_an USING (case_id, node) WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)) WHERE rank <= 3"""
+        at["roots_a"] = """SELECT * FROM (SELECT case_id, node, anomaly AS score, row_number() OVER (PARTITION BY case_id ORDER BY anomaly DESC, first_s NULLS LAST, node) AS rank
+          FROM node_an WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)) WHERE rank <= 3"""
         tables = list(at.items())
     columns = ["edge_precision", "edge_recall", "edge_f1", "node_f1", "root_f1", "any_hit", "all_hit", "exact", "hit_1", "hit_3", "path_reachability"]
     if not truth:
@@ -375,8 +377,8 @@ ORACLES: dict[str, str] = {
     "root_ranking": sql(f"SELECT case_id, node, rank, {_R('score')} FROM roots"),
     "root_ranking_evidence_only": sql(f"SELECT case_id, node, rank, {_R('score')} FROM ev_roots"),
     "graph_only_roots": sql(
-        "SELECT case_id, node, rank, round(anomaly, 6) AS score FROM (SELECT case_id, node, coalesce(anomaly, 0) AS anomaly, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(anomaly, 0) DESC, first_s NULLS LAST, node) AS rank "
-        "FROM (SELECT case_id, source AS node FROM gold_spans UNION SELECT case_id, target FROM gold_spans) LEFT JOIN node_an USING (case_id, node) WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)) WHERE rank <= 3"
+        "SELECT case_id, node, rank, round(anomaly, 6) AS score FROM (SELECT case_id, node, anomaly, row_number() OVER (PARTITION BY case_id ORDER BY anomaly DESC, first_s NULLS LAST, node) AS rank "
+        "FROM node_an WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)) WHERE rank <= 3"
     ),
     "edge_prf": sql(f"SELECT case_id, {_SCORES} FROM edge_rows"),
     "node_prf": sql(f"SELECT case_id, {_SCORES} FROM node_rows"),
