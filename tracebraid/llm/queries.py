@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, lm_score, mixing, quality_classifier, quality_rules, token_output, url_filter, warc
+from . import decontaminate, hard_negatives, jaccard_join, language_id, lm_score, mixing, quality_classifier, quality_rules, token_output, url_filter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": _tables("pages", url_filter.op8_url_filter),
         "op9_token_output": _tables("documents", lambda d: token_output.op9_token_output(d, tokenizer_path())),
         "op10_warc": _tables("pages", warc.op10_warc),
+        "op11_hard_negatives": _tables("embeddings", hard_negatives.op11_hard_negatives),
     }
 
 
@@ -95,4 +96,4 @@ FROM p LEFT JOIN largest USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": mixing.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_warc": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": mixing.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_warc": OP10_SQL, "op11_hard_negatives": hard_negatives.ORACLE}
