@@ -64,6 +64,11 @@ def test_runs_of_small_alphabets():
         assert [tuple(x) for x in r.tolist()] == sorted(brute_runs(t), key=lambda x: (x[0], x[2])), t
 
 
+def test_grid_without_run():
+    """Equal words at three neighbouring grid pairs alone make no run."""
+    assert [len(r) for r in periodic_runs.runs_of([np.array([1, 2, 1, 3, 1, 4, 1, 5])])] == [0]
+
+
 def test_extensions_and_minima():
     rng = np.random.default_rng(4)
     s = rng.integers(0, 2, 300)

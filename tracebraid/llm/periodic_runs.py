@@ -173,7 +173,7 @@ def runs_of(texts: list[np.ndarray]) -> list[np.ndarray]:
     # The smallest period of a stretch, once.
     order = np.lexsort((p, length, start, of))
     of, p, start, length = of[order], p[order], start[order], length[order]
-    same = np.r_[False, (of[1:] == of[:-1]) & (start[1:] == start[:-1]) & (length[1:] == length[:-1])]
+    same = np.r_[False, (of[1:] == of[:-1]) & (start[1:] == start[:-1]) & (length[1:] == length[:-1])][: len(p)]
     of, p, start, length = of[~same], p[~same], start[~same], length[~same]
     order = np.lexsort((p, start, of))
     rows = np.stack((start, length, p), axis=1)[order]
