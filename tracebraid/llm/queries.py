@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hard_negatives, jaccard_join, language_id, lm_score, mixing, periodic_runs, quality_classifier, quality_rules, token_output, url_filter, warc
+from . import decontaminate, hard_negatives, jaccard_join, language_id, lm_score, mixing, periodic_runs, pii, quality_classifier, quality_rules, token_output, url_filter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": _tables("pages", warc.op10_warc),
         "op11_hard_negatives": _tables("embeddings", hard_negatives.op11_hard_negatives),
         "op12_periodic_runs": _tables("documents", periodic_runs.op12_periodic_runs),
+        "op13_pii": _tables("documents", pii.op13_pii),
     }
 
 
