@@ -76,3 +76,13 @@ def test_learning_rows_are_bounded_and_stable(spark):
     assert one.languages == two.languages and set(one.languages) <= {"de", "en", "fr"} and "de" in one.languages
     assert (one.weights == two.weights).all() and (one.transition == two.transition).all()
     assert language_id.train(df.limit(0)).languages == []
+
+
+def test_a_language_whose_rows_share_an_id_is_learned(spark):
+    from zlib import crc32
+
+    hot = next(i for i in range(10**6, 10**6 + 9) if crc32(str(i).encode()) % 3 != 1)
+    rows = [(hot, f"der hund {i} schläft und die katze auch", "de") for i in range(600)] + [(i, f"the dog {i} sleeps and the cat too", "en") for i in range(60)]
+    rows += [(hot, "ein satz der immer gleich ist", "nl")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train(df, docs=12, most=4).languages == ["de", "en", "nl"]

@@ -169,10 +169,16 @@ def test_mix_rows_shards_and_columns(spark):
     assert mixing.op6_mixing(df.limit(0)).count() == 0
 
 
-def test_tree_halves_and_adds_up(spark):
-    units = spark.range(101).select(F.concat(F.lit("s"), F.col("id") % 3).alias("skey"), F.col("id").cast("string").alias("unit"), F.lit(1).alias("pass"))
-    got = mixing.split_tree(units, 3).groupBy("shard").count().collect()
-    assert len(got) == 8 and sum(r["count"] for r in got) == 101 and {r["count"] for r in got} <= {12, 13}
+def test_tree_gives_every_shard_its_quota(spark):
+    tickets = spark.range(101).select(F.concat(F.lit("s"), F.col("id") % 3).alias("skey"), F.col("id").cast("string").alias("unit"), F.lit(1).alias("pass"))
+    quotas = mixing.shard_quotas(tickets, 3)
+    size = {r["shard"]: r["n"] for r in quotas.groupBy("shard").agg(F.sum("quota").alias("n")).collect()}
+    assert len(size) == 8 and sum(size.values()) == 101 and set(size.values()) <= {12, 13}
+    assert {r["skey"]: r["n"] for r in quotas.groupBy("skey").agg(F.sum("quota").alias("n")).collect()} == {"s0": 34, "s1": 34, "s2": 33}
+    drawn = mixing.draw_tickets(tickets, quotas)
+    assert drawn.count() == drawn.select("unit").distinct().count() == 101
+    key = lambda df, n: sorted((r["skey"], r["shard"], r[n]) for r in df.collect() if r[n])
+    assert key(drawn.groupBy("skey", "shard").agg(F.count("*").alias("n")), "n") == key(quotas, "quota")
 
 
 def test_url_rules_and_aliases(spark):

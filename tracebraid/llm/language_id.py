@@ -199,14 +199,16 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, docs: int = LEARNED_DOCS, most: int = LEARNED_PER_LANGUAGE, most_bytes: int = LEARNED_BYTES) -> Tagger:
     """A tagger learned from documents with a language outside the held-out fold."""
     known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
-    known = known.select("lang", F.lower("text").cast("binary").alias("text"), F.xxhash64("doc_id", F.lit("lang")).alias("h"))
+    known = known.select("lang", F.lower("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text", F.lit("lang")).alias("h"))
     long = F.octet_length("text") > most_bytes
-    counts = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~long).alias("short")), "languages")
+    least = lambda c: F.min(F.when(c, F.pmod("h", F.lit(1 << 40))))
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~long).alias("short"), F.coalesce(least(~long), least(long)).alias("least")), "languages")
     share = max(1, min(most, docs // max(1, counts.count())))
-    # By the hash about twice as many as are wanted come first, so that no language has many rows in one place.
+    # By the hash about twice as many as are wanted come first, so that no language has many rows in one place;
+    # the row of the smallest hash always comes, so that hashes that lie close together lose no language.
     enough = F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n"))
     known = known.join(bounded_broadcast(counts.withColumnRenamed("lang", "of")), F.col("lang") == F.col("of"))
-    known = known.filter(~long | (F.col("short") == 0)).filter(F.pmod("h", F.lit(1 << 40)) * enough < float(1 << 40) * (2 * share + 40))
+    known = known.filter(~long | (F.col("short") == 0)).filter((F.pmod("h", F.lit(1 << 40)) * enough < float(1 << 40) * (2 * share + 40)) | (F.pmod("h", F.lit(1 << 40)) == F.col("least")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     chosen = known.withColumn("place", place).filter((F.col("place") <= share) & (~long | (F.col("place") == 1)))
     one = chosen.select("h", "lang", "text").repartition(1).sortWithinPartitions("h", "lang", "text").select("lang", "text")
