@@ -173,9 +173,8 @@ def disclosing_terms(documents: DataFrame, text_col: str = "text", discloses: fl
     entities = met.select("key", "entity", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("c_e"))
     pairs = met.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.sum("copies").alias("c_te"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts)
     pairs = written(pairs.join(entities, "entity"), "pii-pairs")
-    wanted = bounded_broadcast(pairs.select("term").distinct())
-    words = _texts(documents, text_col).select(F.explode_outer(words_of(F.col("text"))).alias("term"))
-    counts = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
+    # Counted before they meet the pairs: a task sends each of its words once.
+    counts = _texts(documents, text_col).select(F.explode_outer(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
     n = F.lit(float(max(2, documents.count())))
     # A word near an email's cut-off rest may be counted near the entity but not in the text.
     share = 1 - F.log(F.greatest(F.col("c_t"), F.col("c_te")) / F.col("c_te")) / F.log(n / F.least(F.col("c_e"), n / 2))
