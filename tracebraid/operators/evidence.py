@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.expressions import clip01, fixed, to_number
 from ..functions.predicates import is_time_metric, log_error, trace_error
 from ..sources.telemetry import Telemetry
+from .graph import cut
+from .selection import ACCURACY, quantiles
 
 
 def service_stats(traces: DataFrame) -> DataFrame:
-    """Per case, window and service: spans, error rate, exact p95 and p99 of the durations (0 without any)."""
+    """Per case, window and service: spans, error rate, exact p95 and p99 of the durations (0 without any), first time of an error."""
     d = to_number("duration") if "duration" in traces.columns else F.lit(None).cast("double")
-    t = traces.filter("service_name IS NOT NULL").select("case_id", "win", "service_name", d.alias("d"), trace_error(traces).cast("double").alias("e"))
-    return t.groupBy("case_id", "win", "service_name").agg(
-        F.count("*").alias("n"),
-        F.avg("e").alias("error_rate"),
-        F.coalesce(F.percentile("d", 0.95), F.lit(0.0)).alias("p95"),
-        F.coalesce(F.percentile("d", 0.99), F.lit(0.0)).alias("p99"),
-    )
+    at = F.col("ts_s") if "ts_s" in traces.columns else F.lit(None).cast("double")
+    t = traces.filter("service_name IS NOT NULL").select("case_id", "win", "service_name", d.alias("d"), trace_error(traces).alias("e"), at.alias("at"))
+    others = (F.count("*").alias("n"), F.avg(F.col("e").cast("double")).alias("error_rate"), F.min(F.when(F.col("e"), F.col("at"))).alias("first_error"))
+    q = quantiles(t, ["case_id", "win", "service_name"], "d", (0.95, 0.99), ACCURACY, *others)
+    p = lambda i: F.coalesce(F.get("q", F.lit(i)), F.lit(0.0))
+    return q.select("case_id", "win", "service_name", "n", "error_rate", p(0).alias("p95"), p(1).alias("p99"), "first_error")
 
 
 def log_rates(logs: DataFrame) -> DataFrame:
@@ -32,21 +33,18 @@ def metric_shift(metrics: DataFrame) -> DataFrame:
     """Per case, service and metric of both windows: medians, robust scale, score and onset.
 
     Needs three normal and two abnormal numbers.  Medians are exact; the median
-    deviation is a second pass against the first.
+    deviation is a selection of its own, against the first.
     """
     key = ["case_id", "service_name", "metric"]
     m = metrics.filter(~is_time_metric()).select(*key, "win", "ts_s", to_number("value").alias("v")).filter("v IS NOT NULL AND service_name IS NOT NULL")
-    base = m.groupBy(*key).agg(
-        F.median(F.when(F.col("win") == "normal", F.col("v"))).alias("normal_median"),
-        F.median(F.when(F.col("win") == "abnormal", F.col("v"))).alias("abnormal_median"),
-        F.count_if(F.col("win") == "normal").alias("n_normal"),
-        F.count_if(F.col("win") == "abnormal").alias("n_abnormal"),
-    )
-    base = base.filter("n_normal >= 3 AND n_abnormal >= 2")
-    j = m.join(base, key)
+    middle = quantiles(m, [*key, "win"], "v", (0.5,)).select(*key, "win", F.col("_n").alias("n"), F.get("q", F.lit(0)).alias("median"))
+    of = lambda win, c: F.max(F.when(F.col("win") == win, F.col(c)))
+    sides = [x for w in ("normal", "abnormal") for x in (of(w, "median").alias(f"{w}_median"), F.coalesce(of(w, "n"), F.lit(0)).alias(f"n_{w}"))]
+    # Read three times below.
+    base = cut(middle.groupBy(*key).agg(*sides).filter("n_normal >= 3 AND n_abnormal >= 2"))
     gap = F.abs(F.col("v") - F.col("normal_median"))
-    mad = j.filter("win = 'normal'").groupBy(*key).agg(F.median(gap).alias("mad"))
-    base = base.join(mad, key)
+    gaps = m.filter("win = 'normal'").join(base, key).select(*key, gap.alias("gap"))
+    base = base.join(quantiles(gaps, key, "gap", (0.5,)).select(*key, F.get("q", F.lit(0)).alias("mad")), key)
     scale = F.greatest(1.4826 * F.col("mad"), 0.05 * F.abs("normal_median"), F.lit(1e-9))
     base = base.withColumn("scale", scale).withColumn("score", clip01(F.abs(F.col("abnormal_median") - F.col("normal_median")) / F.col("scale") / 6))
     late = m.filter("win = 'abnormal'").join(base.select(*key, "normal_median", "scale"), key).filter(gap / F.col("scale") >= 3)
@@ -64,7 +62,7 @@ def best_metric(shift: DataFrame) -> DataFrame:
 def evidence(t: Telemetry) -> DataFrame:
     """All evidence rows with ids in the fixed order of phases, services and signals."""
     key = ["case_id", "service_name"]
-    stats = service_stats(t.traces)
+    stats = cut(service_stats(t.traces))
 
     def side(df: DataFrame, win: str, names: list[str], prefix: str) -> DataFrame:
         return df.filter(F.col("win") == win).select(*key, *[F.col(c).alias(prefix + c) for c in names])
@@ -73,11 +71,10 @@ def evidence(t: Telemetry) -> DataFrame:
     normal, abnormal = side(stats, "normal", values, "n_"), side(stats, "abnormal", values, "a_")
     both = normal.join(abnormal, key, "full_outer").na.fill(0)
     starts = t.starts
-    error = trace_error(t.traces)
     spans = t.traces.filter("win = 'abnormal' AND service_name IS NOT NULL")
-    first_error = spans.filter(error).groupBy(*key).agg(F.min("ts_s").alias("first_error"))
     slow = spans.join(normal, key).filter(to_number("duration") > F.greatest(1.25 * F.col("n_p99"), 1.5 * F.col("n_p95")))
     first_slow = slow.groupBy(*key).agg(F.min("ts_s").alias("first_slow"))
+    first_error = stats.filter("win = 'abnormal'").select(*key, "first_error")
     both = both.join(first_error, key, "left").join(first_slow, key, "left").join(starts, "case_id")
 
     def signal(df: DataFrame, order: int, kind: str, name: str | Column, score: Column, least: float, at: Column, text: Column) -> DataFrame:

@@ -52,34 +52,14 @@ def local_score() -> Column:
     return clip01(0.55 * t + 0.45 * a + 0.20 * margin - (0.30 * (1 - a) + 0.15 * (1 - t)))
 
 
-def soft_logic(h: DataFrame, known: DataFrame, symptoms: DataFrame, rounds: int = 12) -> DataFrame:
-    """Local scores, and how far symptoms reach back over them: a best-product fixpoint by joins.
-
-    A round takes the best product over one edge for all cases at once; rounds
-    end when no node gains 1e-6, which takes no more than a case has nodes.  The reach table is written in every round.
-    """
-    from .graph import cut
+def soft_logic(h: DataFrame, known: DataFrame, symptoms: DataFrame) -> DataFrame:
+    """Local scores, and how far symptoms reach back over them and over visible causes: best products of paths."""
+    from .graph import best_reach
 
     h = h.withColumn("local", local_score())
     edges = h.select("case_id", *PAIR, F.col("local").alias("w"))
     hard = known.filter(F.col("relation") == CAUSAL).select("case_id", *PAIR, F.lit(1.0).alias("w"))
-    edges = cut(edges.unionByName(hard).groupBy("case_id", *PAIR).agg(F.max("w").alias("w")))
-    reach = cut(symptoms.select("case_id", "node").distinct().withColumn("reach", F.lit(1.0)))
-    # A gain takes as many rounds as its path has edges, and two more show that there is none.
-    longest = edges.select("case_id", F.explode(F.array("source", "target")).alias("node")).groupBy("case_id").agg(F.countDistinct("node").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    for _ in range(max(rounds * 8, longest + 2)):
-        new = edges.join(reach.withColumnRenamed("node", "target"), ["case_id", "target"]).select("case_id", F.col("source").alias("node"), (F.col("w") * F.col("reach")).alias("reach"))
-        # The largest gain of a single node, a new one's whole value, decides.
-        better = reach.unionByName(new.select("case_id", "node", "reach")).groupBy("case_id", "node").agg(F.max("reach").alias("reach"))
-        old = reach.select("case_id", "node", F.col("reach").alias("was"))
-        reach = cut(better.join(old, ["case_id", "node"], "left").withColumn("gain", F.col("reach") - F.coalesce("was", F.lit(0.0))).drop("was"))
-        gain = reach.agg(F.max("gain")).first()[0]
-        reach = reach.drop("gain")
-        if gain is None or gain < 1e-6:
-            break
-    else:
-        raise RuntimeError("reach over causes did not settle")
-    down = reach.select("case_id", F.col("node").alias("target"), "reach")
+    down = best_reach(edges.unionByName(hard), symptoms).withColumnRenamed("node", "target")
     j = h.join(down, ["case_id", "target"], "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
     return j.withColumn("soft_logic_score", clip01(0.82 * F.col("local") + 0.18 * F.least("local", "reach"))).drop("reach")
 

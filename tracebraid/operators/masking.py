@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import half_even, mask_rank, normalize_service
 from ..functions.predicates import structural
@@ -20,25 +20,69 @@ def _checked(ratio: float) -> float:
     return float(ratio)
 
 
+#: Hex digits of the hash that name a bucket: a group has 16 ** BUCKET_DIGITS of them, of which one is looked into.
+BUCKET_DIGITS = 3
+
+
+def _hashed(relations: DataFrame, group: str, seed: int) -> DataFrame:
+    """Distinct typed relations of each group with their hash and its bucket."""
+    r = relations.filter(structural()).select(group, *EDGE).distinct()
+    return r.withColumn("_h", mask_rank(seed, group)).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+
+
+def _histogram(hashed: DataFrame, group: str) -> DataFrame:
+    """Rows by group and bucket, ``_n`` of the group and ``_before``, those in earlier buckets.
+
+    A window goes over a group's buckets, whose number is fixed, not over its relations.
+    """
+    counts = hashed.groupBy(group, "_bucket").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("_before", before).withColumn("_n", F.sum("_c").over(w))
+
+
+def _wanted(ratio: float) -> Column:
+    return half_even(F.col("_n") * F.lit(float(ratio)))
+
+
 def hash_mask(relations: DataFrame, group: str, ratio: float, seed: int = 42) -> DataFrame:
-    """Distinct typed relations of each group with ``missing``.
+    """Distinct typed relations of each group with their ``rank`` and ``missing``.
 
     Relations are ranked by a hash of seed, group and triple; the first
     ``rint(n * ratio)`` are missing, so that larger ratios contain smaller ones.
+    A rank is the number of relations in earlier buckets and the place within the bucket.
     """
     _checked(ratio)
-    r = relations.filter(structural()).select(group, *EDGE).distinct()
-    w = Window.partitionBy(group)
-    rank = F.row_number().over(w.orderBy(mask_rank(seed, group), *EDGE))
-    return r.withColumn("rank", rank.cast("long")).withColumn("missing", rank <= half_even(F.count("*").over(w) * F.lit(float(ratio))))
+    hashed = _hashed(relations, group, seed)
+    j = hashed.join(_histogram(hashed, group), [group, "_bucket"])
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_h", *EDGE))
+    return j.select(group, *EDGE, rank.cast("long").alias("rank"), (rank <= _wanted(ratio)).alias("missing"))
+
+
+def thresholds(relations: DataFrame, group: str, ratio: float, seed: int = 42) -> DataFrame:
+    """(group, last): the last missing (hash, source, relation, target) of each group; none where nothing is missing.
+
+    Only the bucket that holds it is looked into.
+    """
+    hashed = _hashed(relations, group, seed)
+    at = _histogram(hashed, group).withColumn("_k", _wanted(ratio)).filter("_before < _k AND _k <= _before + _c")
+    inside = hashed.join(at, [group, "_bucket"])
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_h", *EDGE))
+    return inside.withColumn("_place", place).filter(F.col("_place") == F.col("_k")).select(group, F.struct("_h", *EDGE).alias("last"))
+
+
+def with_missing(relations: DataFrame, group: str, ratio: float, seed: int = 42) -> DataFrame:
+    """All relations with ``missing``: typed ones up to their group's threshold, by a comparison for each row."""
+    _checked(ratio)
+    j = relations.join(thresholds(relations, group, ratio, seed), group, "left")
+    upto = F.struct(mask_rank(seed, group).alias("_h"), *EDGE) <= F.col("last")
+    return j.withColumn("missing", structural() & F.coalesce(upto, F.lit(False))).drop("last")
 
 
 def group_mask(relations: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(visible, missing) relations of every case; cases of one ``group_id`` share their mask."""
-    mask = hash_mask(relations, "group_id", ratio, seed)
-    missing = mask.filter("missing").select("group_id", *EDGE)
-    typed = relations.filter(structural())
-    return typed.join(missing, ["group_id", *EDGE], "left_anti"), typed.join(missing, ["group_id", *EDGE], "left_semi")
+    """(visible, missing) typed relations of every case; cases of one ``group_id`` share their mask."""
+    rows = with_missing(relations, "group_id", ratio, seed).filter(structural())
+    return rows.filter(~F.col("missing")).select(*relations.columns), rows.filter("missing").select(*relations.columns)
 
 
 def case_mask(relations: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +92,8 @@ def case_mask(relations: DataFrame, ratio: float, seed: int = 42) -> tuple[DataF
 
 def type_mask(relations: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """Masked relations stay visible under another name; ``truth`` keeps theirs."""
-    missing = hash_mask(relations, "case_id", ratio, seed).select("case_id", *EDGE, "missing")
-    j = relations.join(missing, ["case_id", *EDGE], "left").withColumn("truth", F.col("relation"))
-    return j.withColumn("relation", F.when(F.col("missing"), MASKED_STRUCTURAL).otherwise(F.col("relation"))).withColumn("missing", F.coalesce("missing", F.lit(False)))
+    j = with_missing(relations, "case_id", ratio, seed).withColumn("truth", F.col("relation"))
+    return j.withColumn("relation", F.when(F.col("missing"), MASKED_STRUCTURAL).otherwise(F.col("relation")))
 
 
 def case_seed(case_id: str, seed: int) -> int:

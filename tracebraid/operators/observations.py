@@ -13,7 +13,7 @@ RAW = ("case_id", "source", "target", "evidence_kind", "confidence", "text")
 
 
 def _observed(df: DataFrame, source: Column, target: Column, kind: str, confidence: float, text: Column) -> DataFrame:
-    times = [F.col("times")] if "times" in df.columns else []
+    times = [F.col(c) for c in ("times", "normal_times") if c in df.columns]
     return df.select("case_id", *times, source.alias("source"), target.alias("target"), F.lit(kind).alias("evidence_kind"), F.lit(confidence).alias("confidence"), text.alias("text"))
 
 
@@ -99,15 +99,94 @@ def dedupe(rows: DataFrame) -> DataFrame:
     return g.withColumn("observation_id", observation_id("evidence_kind", "source", "target"))
 
 
+def call_counts(traces: DataFrame) -> DataFrame | None:
+    """case_id, caller, callee, times, normal_times of parent and child spans, from one scan; none without the columns.
+
+    A span is a row at its own key and one at its parent's.  Rows of a key are
+    counted by role, service and window before they meet, so a key holds no more
+    than its services, however many spans there are.
+    """
+    need = ("trace_id", "span_id", "parent_span_id", "service_name")
+    if any(c not in traces.columns for c in need):
+        return None
+    s = traces.select("case_id", _is_normal(traces).alias("normal"), *[clean(c).alias(c) for c in need]).filter("trace_id IS NOT NULL AND service_name IS NOT NULL")
+    role = lambda c, parent: F.struct(F.col(c).alias("key"), F.lit(parent).alias("parent"))
+    s = s.select("case_id", "trace_id", "normal", "service_name", F.inline_outer(F.array(role("span_id", True), role("parent_span_id", False)))).filter("key IS NOT NULL")
+    g = s.groupBy("case_id", "trace_id", "key", "parent", "service_name", "normal").agg(F.count("*").alias("n"))
+    met = g.groupBy("case_id", "trace_id", "key").agg(F.collect_list(F.struct("parent", "service_name", "normal", "n")).alias("x")).select("case_id", F.filter("x", lambda x: x.parent).alias("up"), F.filter("x", lambda x: ~x.parent).alias("down"))
+    pair = lambda p, c: F.struct(p.service_name.alias("caller"), c.service_name.alias("callee"), (p.n * c.n).alias("n"), (p.normal & c.normal).alias("normal"))
+    pairs = met.select("case_id", F.inline_outer(F.flatten(F.transform("up", lambda p: F.transform("down", lambda c: pair(p, c)))))).filter("caller <> callee")
+    return pairs.groupBy("case_id", "caller", "callee").agg(F.sum("n").alias("times"), F.sum(F.when(F.col("normal"), F.col("n")).otherwise(0)).alias("normal_times"))
+
+
+def _is_normal(df: DataFrame) -> Column:
+    return F.coalesce(F.col("win") == "normal", F.lit(False)) if "win" in df.columns else F.lit(True)
+
+
+def _typed(df: DataFrame, frame: int, traces: bool, system: Column | None) -> DataFrame | None:
+    """What each row of a frame observes, all kinds at once: frame, kind and up to three names, distinct, with whether the normal window has it."""
+    pod, node, service = first_column(df, POD_COLUMNS), first_column(df, NODE_COLUMNS), "service_name" if "service_name" in df.columns else None
+    said = [("service_pod_cooccurrence", service, pod, None), ("pod_node_cooccurrence", pod, node, None)]
+    if traces:
+        for kind, systems, targets in (("db_client_context", DB_SYSTEM_COLUMNS, DB_TARGET_COLUMNS), ("messaging_context", MSG_SYSTEM_COLUMNS, MSG_TARGET_COLUMNS)):
+            said.append((kind, service, first_column(df, systems), first_column(df, targets)))
+    name = lambda c: col(c).cast("string") if c else F.lit(None).cast("string")
+    # Nodes by pod and so on: a row whose first two names are null says nothing.
+    rows = [F.struct(F.lit(frame).alias("frame"), F.lit(kind).alias("kind"), name(a).alias("a"), name(b).alias("b"), name(c).alias("c")) for kind, a, b, c in said if a and b]
+    if system is not None and service:
+        # Services of all frames are one list.
+        rows.append(F.struct(F.lit(-1).alias("frame"), F.lit("system_inventory").alias("kind"), F.concat(F.lit("system:"), system).alias("a"), clean(service).alias("b"), F.lit(None).cast("string").alias("c")))
+    if not rows:
+        return None
+    return df.select("case_id", _is_normal(df).alias("normal"), F.inline_outer(F.array(*rows))).filter("a IS NOT NULL AND b IS NOT NULL")
+
+
+def _said(rows: DataFrame) -> DataFrame:
+    """Observations of typed rows: source, target, confidence and text by kind."""
+    d = rows.select("case_id", "kind", "normal", *[F.when(F.col("kind") == "system_inventory", F.col(c)).otherwise(clean(c)).alias(c) for c in "abc"]).filter("a IS NOT NULL AND b IS NOT NULL")
+    k, a, b, c = (F.col(x) for x in ("kind", "a", "b", "c"))
+    context = lambda said, at: F.concat(F.lit("A span from "), a, F.lit(f" carries {said} system "), b, F.coalesce(F.concat(F.lit(f" and {at} "), c), F.lit("")), F.lit("."))
+    kinds = {
+        "service_pod_cooccurrence": (entity("service", "a"), entity("pod", "b"), 0.98, F.concat(F.lit("Telemetry for "), a, F.lit(" is emitted with Kubernetes pod "), b, F.lit("."))),
+        "pod_node_cooccurrence": (entity("pod", "a"), entity("node", "b"), 0.98, F.concat(F.lit("Pod "), a, F.lit(" is observed with node/host resource "), b, F.lit("."))),
+        "db_client_context": (entity("service", "a"), entity("database", F.concat_ws(":", "b", "c")), 0.95, context("database", "database/server target")),
+        "messaging_context": (entity("service", "a"), entity("messaging", F.concat_ws(":", "b", "c")), 0.95, context("messaging", "destination")),
+        "system_inventory": (a, entity("service", "b"), 1.0, F.concat(F.lit("System inventory contains service "), b, F.lit("."))),
+    }
+    pick = lambda i: F.coalesce(*[F.when(k == n, F.lit(v[i]) if i == 2 else v[i]) for n, v in kinds.items()])
+    return d.select("case_id", pick(0).alias("source"), pick(1).alias("target"), k.alias("evidence_kind"), pick(2).alias("confidence"), pick(3).alias("text"), F.lit(1).cast("long").alias("times"), F.col("normal").cast("long").alias("normal_times"))
+
+
+def collect_windows(traces: DataFrame, metrics: DataFrame | None = None, logs: DataFrame | None = None, system: Column | None = None) -> DataFrame:
+    """All collectors, deduplicated, over both windows at once; ``normal_count`` and ``normal_text`` are those of the normal window alone.
+
+    Each frame is scanned once, traces once more for calls: a generator makes the
+    typed rows of a span, a partial aggregation the distinct ones.
+    """
+    frames = [(f, i == 0) for i, f in enumerate((traces, metrics, logs)) if f is not None]
+    typed = [d for i, (f, is_traces) in enumerate(frames) if (d := _typed(f, i, is_traces, system)) is not None]
+    parts = []
+    if typed:
+        names = ("frame", "kind", "a", "b", "c")
+        parts.append(_said(reduce(DataFrame.unionByName, typed).groupBy("case_id", *names).agg(F.max("normal").alias("normal"))))
+    if (calls := call_counts(traces)) is not None:
+        parts.append(_call_rows(calls))
+    if not parts:
+        parts.append(_none(traces).withColumns({"times": F.lit(1).cast("long"), "normal_times": F.lit(1).cast("long")}))
+    rows = reduce(DataFrame.unionByName, parts)
+    normal = F.min(F.when(F.col("normal_times") > 0, F.col("text"))).alias("normal_text")
+    g = rows.groupBy("case_id", "source", "target", "evidence_kind").agg(F.sum("times").alias("observation_count"), F.max("confidence").alias("confidence"), F.min("text").alias("text"), F.sum("normal_times").alias("normal_count"), normal)
+    return g.withColumn("observation_id", observation_id("evidence_kind", "source", "target"))
+
+
+def normal_only(rows: DataFrame) -> DataFrame:
+    """Of ``collect_windows`` the observations of the normal window, as ``collect`` gives them."""
+    return rows.filter("normal_count > 0").select("case_id", "source", "target", "evidence_kind", F.col("normal_count").alias("observation_count"), "confidence", F.col("normal_text").alias("text"), "observation_id")
+
+
 def collect(traces: DataFrame, metrics: DataFrame | None = None, logs: DataFrame | None = None, system: Column | None = None) -> DataFrame:
-    """All collectors, deduplicated.  Calls are counted by pair before any sentence is made of them."""
-    frames = [f for f in (traces, metrics, logs) if f is not None]
-    calls = _calls(traces)
-    counted = _none(traces) if calls is None else _call_rows(calls.groupBy("case_id", "caller", "callee").agg(F.count("*").alias("times")))
-    parts = [counted, deployments(frames), databases(traces), messaging(traces)]
-    if system is not None:
-        parts.append(inventory(frames, system))
-    return dedupe(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    """All collectors, deduplicated."""
+    return collect_windows(traces, metrics, logs, system).drop("normal_count", "normal_text")
 
 
 def _none(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def scores(df: DataFrame, *key: str) -> DataFrame:
 
 def observed(*kinds: str) -> Callable[[Sample], DataFrame]:
     columns = ["case_id", "source", "target", "evidence_kind", "observation_count", "confidence", "text", "observation_id"]
-    return lambda s: s.observed.filter(F.col("evidence_kind").isin(*kinds)).select(*columns)
+    return lambda s: s.collected.filter(F.col("evidence_kind").isin(*kinds)).select(*columns)
 
 
 def _hypotheses(s: Sample) -> DataFrame:

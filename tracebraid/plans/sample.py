@@ -25,15 +25,23 @@ class Sample:
     def cases(self) -> DataFrame:
         return self.t.starts.select("case_id", F.concat(F.lit("sys-"), F.substring_index("case_id", "-", -1).cast("int") % GROUPS).alias("group_id"))
 
+    @cached_property
+    def collected(self) -> DataFrame:
+        """Observations of both windows, for queries that read a few kinds of them once."""
+        return observations.collect_windows(self.t.traces, self.t.metrics, self.t.logs, F.lit("shop"))
+
+    @cached_property
+    def both_windows(self) -> DataFrame:
+        return cut(self.collected)
+
     @cached_property
     def observed(self) -> DataFrame:
         """Observations of both windows."""
-        return observations.collect(self.t.traces, self.t.metrics, self.t.logs, F.lit("shop"))
+        return self.both_windows.drop("normal_count", "normal_text")
 
     @cached_property
     def observed_normal(self) -> DataFrame:
-        n = self.t.window("normal")
-        return cut(observations.collect(n.traces, n.metrics, n.logs, F.lit("shop")))
+        return observations.normal_only(self.both_windows)
 
     @cached_property
     def relations(self) -> DataFrame:
@@ -73,9 +81,7 @@ class Sample:
     def gold_spans(self) -> DataFrame:
         """Pairs of failing spans in the abnormal window, callee first, with their number."""
         t = self.t.traces.filter("win = 'abnormal'").filter(trace_error(self.t.traces))
-        raw = observations.span_calls(t)
-        name = lambda c: F.substring_index(c, ":", -1)
-        return raw.groupBy("case_id", name("target").alias("source"), name("source").alias("target")).agg(F.count("*").alias("n"))
+        return observations.call_counts(t).select("case_id", F.col("callee").alias("source"), F.col("caller").alias("target"), F.col("times").alias("n"))
 
     @cached_property
     def gold_edges(self) -> DataFrame:
