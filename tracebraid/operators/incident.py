@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import clip01
-from ..schemas import CAUSAL, MASKED, NON_CAUSAL, OBSERVED
+from ..schemas import CAUSAL, MASKED, OBSERVED
 from .evidence import node_anomaly
+from .graph import best_reach
+from .joint import psl, solve_global
 from .structural import unscored
 
+__all__ = ["causal_hypotheses", "final_score", "graph_only_roots", "local_score", "predict", "psl", "rank_by_evidence", "rank_roots", "soft_logic", "solve_global", "temporal_score"]
+
 PAIR = ["source", "target"]
 
 
@@ -54,8 +54,6 @@ def local_score() -> Column:
 
 def soft_logic(h: DataFrame, known: DataFrame, symptoms: DataFrame) -> DataFrame:
     """Local scores, and how far symptoms reach back over them and over visible causes: best products of paths."""
-    from .graph import best_reach
-
     h = h.withColumn("local", local_score())
     edges = h.select("case_id", *PAIR, F.col("local").alias("w"))
     hard = known.filter(F.col("relation") == CAUSAL).select("case_id", *PAIR, F.lit(1.0).alias("w"))
@@ -64,94 +62,6 @@ def soft_logic(h: DataFrame, known: DataFrame, symptoms: DataFrame) -> DataFrame
     return j.withColumn("soft_logic_score", clip01(0.82 * F.col("local") + 0.18 * F.least("local", "reach"))).drop("reach")
 
 
-def solve_global(t: np.ndarray, a: np.ndarray, s: np.ndarray | None, k: np.ndarray | None, source: np.ndarray, target: np.ndarray, fixed: list[tuple[int, int, float]], symptom: np.ndarray, steps: int = 4000) -> np.ndarray:
-    """The minimum of the squared hinges of one case, by accelerated projected gradient.
-
-    Variables are the hypotheses' causes and the reach of nodes that are no
-    symptoms; fixed causes are visible labels.  A rule is grounded only where all
-    its observed atoms exist.
-    """
-    m, n = len(t), len(symptom)
-    fs = np.array([f[0] for f in fixed], int)
-    ft = np.array([f[1] for f in fixed], int)
-    fv = np.array([f[2] for f in fixed], float)
-    src, dst = np.concatenate((source, fs)), np.concatenate((target, ft))
-    place = {(int(x), int(y)): i for i, (x, y) in enumerate(zip(src, dst, strict=True))}
-    back = np.array([place.get((int(y), int(x)), -1) for x, y in zip(src, dst, strict=True)])
-    pair = np.flatnonzero(back >= 0)
-
-    def gradient(c: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        allc = np.concatenate((c, fv))
-        gc, gr = np.zeros(len(allc)), np.zeros(n)
-        gc[:m] += -2.4 * np.maximum(0, t - c) - 2.2 * np.maximum(0, a - c) + 1.6 * np.maximum(0, c - t) + 2.4 * np.maximum(0, c - a) + 0.5 * c
-        if s is not None:
-            gc[:m] += -2.0 * np.maximum(0, s - c) + 2.0 * np.maximum(0, k + c - 1)
-        v = 3.2 * np.maximum(0, allc + r[dst] - 1 - r[src])
-        gc += v
-        np.add.at(gr, dst, v)
-        np.add.at(gr, src, -v)
-        v = 1.6 * np.maximum(0, t + r[target] - 1 - c)
-        gc[:m] -= v
-        np.add.at(gr, target, v)
-        v = np.maximum(0, allc[pair] + allc[back[pair]] - 1)
-        np.add.at(gc, pair, v)
-        np.add.at(gc, back[pair], v)
-        return gc[:m], gr
-
-    degree = np.bincount(np.concatenate((src, dst)), minlength=n).max() if len(src) else 1
-    step = 1 / (12.0 + 5.0 * degree)
-    c, r = np.full(m, 0.5), np.where(symptom, 1.0, 0.5)
-    yc, yr, momentum = c.copy(), r.copy(), 1.0
-    for _ in range(steps):
-        gc, gr = gradient(yc, yr)
-        nc = np.clip(yc - step * gc, 0, 1)
-        nr = np.where(symptom, 1.0, np.clip(yr - step * gr, 0, 1))
-        following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        moved = max(np.abs(nc - c).max(initial=0), np.abs(nr - r).max(initial=0))
-        if ((nc - c) @ (yc - nc) + (nr - r) @ (yr - nr)) > 0:
-            following = momentum = 1.0
-        yc, yr = nc + (momentum - 1) / following * (nc - c), nr + (momentum - 1) / following * (nr - r)
-        c, r, momentum = nc, nr, following
-        if moved < 1e-9:
-            break
-    return c
-
-
-def psl(h: DataFrame, known: DataFrame, symptoms: DataFrame) -> DataFrame:
-    """Joint inference per case; a case is a small graph, so cases are the unit of parallel work."""
-    schema = h.schema
-    side = h.select("case_id", *PAIR, "temporal_score", "anomaly_score", "semantic_support", "semantic_contradiction")
-    hyp = side.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*side.columns[1:]))).alias("h"))
-    hard = known.filter(F.col("relation").isin(CAUSAL, NON_CAUSAL)).groupBy("case_id").agg(
-        F.array_sort(F.collect_set(F.struct("source", "target", (F.col("relation") == CAUSAL).cast("double").alias("v")))).alias("fixed")
-    )
-    nodes = symptoms.groupBy("case_id").agg(F.collect_set("node").alias("symptoms"))
-    rows = hyp.join(hard, "case_id", "left").join(nodes, "case_id", "left")
-    scored = rows.mapInPandas(_solved, "case_id string, source string, target string, _y double")
-    out = h.drop("soft_logic_score").join(scored, ["case_id", *PAIR]).withColumn("soft_logic_score", F.col("_y"))
-    return out.select(*schema.names)
-
-
-def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples():
-            h = list(row.h)
-            hard = [] if row.fixed is None else list(row.fixed)
-            names = sorted({x[e] for x in (*h, *hard) for e in PAIR})
-            at = {x: i for i, x in enumerate(names)}
-            symptom = np.zeros(len(names), bool)
-            symptom[[at[x] for x in (() if row.symptoms is None else row.symptoms) if x in at]] = True
-            semantic = any(x["semantic_support"] is not None for x in h)
-            number = lambda c: np.array([x[c] or 0.0 for x in h], float)  # noqa: E731, B023
-            y = solve_global(
-                number("temporal_score"), number("anomaly_score"),
-                number("semantic_support") if semantic else None, number("semantic_contradiction") if semantic else None,
-                np.array([at[x["source"]] for x in h]), np.array([at[x["target"]] for x in h]),
-                [(at[x["source"]], at[x["target"]], x["v"]) for x in hard], symptom,
-            )
-            yield pd.DataFrame({"case_id": row.case_id, "source": [x["source"] for x in h], "target": [x["target"] for x in h], "_y": y})
-
-
 def early(value: Column, partition: str = "case_id") -> Column:
     """1 for the earliest first anomaly of the candidates, 0 for the latest; 0 without one."""
     w = Window.partitionBy(partition)

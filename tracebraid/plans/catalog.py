@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import entity_kind, entity_value
-from ..operators import adjudication, evaluation, evidence, incident, masking, metrics, reports, semantic, structural
+from ..operators import adjudication, evaluation, evidence, incident, joint, masking, metrics, reports, semantic, structural
 from ..operators.graph import cut
 from ..schemas import MASKED
 from .sample import RATIO, Sample
@@ -151,6 +151,14 @@ def _psl(s: Sample) -> DataFrame:
     return h.select("case_id", "source", "target", F.round("soft_logic_score", 4).alias("score"))
 
 
+def _optimality(s: Sample) -> DataFrame:
+    """Whether every variable of the joint logic over hidden labels is optimal."""
+    known = s.hidden[0]
+    h = cut(incident.causal_hypotheses(known, s.evidence))
+    y, reach = joint.infer(h, known, s.symptoms)
+    return joint.residuals(h, known, s.symptoms, y, reach).select("case_id", "kind", "source", "target", (F.col("residual") < 1e-5).alias("optimal"))
+
+
 def _causal_mask(s: Sample) -> DataFrame:
     return s.hidden[0].select(*EDGE, "pos")
 
@@ -319,6 +327,7 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "entity_parts": lambda s: s.observed.select("source").distinct().select("source", entity_kind("source").alias("kind"), entity_value("source").alias("value")),
     "claims": _claims,
     "incident_soft_logic": _soft_logic,
+    "incident_psl_optimality": _optimality,
     "causal_mask": _causal_mask,
     "removal_mask": _removal_mask,
     "contrastive_scores": _contrastive,

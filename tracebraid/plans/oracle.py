@@ -422,6 +422,12 @@ ORACLES: dict[str, str] = {
         f"SELECT l.case_id, l.source, l.target, round(w, 6) AS local, round({clamp('0.82::DOUBLE * w + 0.18::DOUBLE * least(w, coalesce(value, 0.0))')}, 6) AS soft_logic_score FROM local l LEFT JOIN soft_reach r ON r.case_id = l.case_id AND r.node = l.target",
         _SOFT,
     ),
+    # The minimum is no SQL; that every variable is at it is: all hypotheses and all nodes but symptoms, in cases with hypotheses.
+    "incident_psl_optimality": sql(
+        "SELECT case_id, 'cause' AS kind, source, target, true AS optimal FROM chyp_m UNION ALL SELECT case_id, 'reach', node, NULL, true FROM ("
+        "SELECT case_id, source AS node FROM joint_edges UNION SELECT case_id, target FROM joint_edges) WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)",
+        [*_SEM, ("joint_edges", f"SELECT case_id, source, target FROM chyp_m UNION SELECT case_id, source, target FROM ({_HIDDEN}) WHERE relation <> '__MASKED_RELATION__' AND case_id IN (SELECT case_id FROM chyp_m)")],
+    ),
     "causal_mask": sql(_HIDDEN),
     "removal_mask": sql(_REMOVED),
     "contrastive_scores": sql(
