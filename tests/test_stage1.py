@@ -48,6 +48,42 @@ def test_frames_without_columns_give_nothing(spark):
     assert observations.collect(bare, bare).count() == 0
 
 
+def _spans(spark, n=400):
+    """Random spans of both windows with nulls, blanks, spaces, a parent with many children, repeated rows."""
+    rng = random.Random(6)
+    some = lambda *x: rng.choice([*x, None, "", " "])
+    rows = []
+    for i in range(n):
+        rows.append((f"c{i % 2}", rng.choice(["normal", "abnormal"]), rng.choice(["t1", "t2", "t3", None]), str(rng.randrange(60)), rng.choice([str(rng.randrange(60)), "0", "0", "", None]), some("cart", "pay ", "pay", "mail"), some("pod-a", "pod-b", " pod-a"), some("n1", "n2"), some("redis", "mysql"), some("kafka"), some("host", "h2")))
+    names = ["trace_id", "span_id", "parent_span_id", "service_name", "attr.k8s.pod.name", "attr.k8s.node.name", "attr.db.system", "attr.messaging.system", "attr.server.address"]
+    return spark.createDataFrame(rows + rows[:20], "case_id string, win string, " + ", ".join(f"`{c}` string" for c in names))
+
+
+def test_one_pass_is_the_union_of_all_collectors(spark):
+    t = _spans(spark)
+    logs = t.select("case_id", "win", "service_name", "`attr.k8s.pod.name`").filter("case_id = 'c1'")
+    key = lambda df: sorted(tuple(r[c] for c in ("case_id", "source", "target", "evidence_kind", "observation_count", "confidence", "text", "observation_id")) for r in df.collect())
+
+    def each(traces, logs):
+        parts = [observations.span_calls(traces), observations.deployments([traces, logs]), observations.databases(traces), observations.messaging(traces), observations.inventory([traces, logs], F.lit("shop"))]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return observations.dedupe(out)
+
+    both = observations.collect_windows(t, None, logs, F.lit("shop"))
+    assert key(observations.collect(t, None, logs, F.lit("shop"))) == key(both) == key(each(t, logs))
+    normal = "win = 'normal'"
+    assert key(observations.normal_only(both)) == key(each(t.filter(normal), logs.filter(normal)))
+
+
+def test_collecting_scans_traces_twice(spark, tmp_path):
+    _spans(spark).write.parquet(f"{tmp_path}/t")
+    df = observations.collect_windows(spark.read.parquet(f"{tmp_path}/t"), system=F.lit("shop"))
+    df.collect()
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+
+
 def test_first_existing_column_wins_even_if_null(spark):
     df = traces(spark).withColumn("db.system", F.lit("mysql"))
     kinds = observations.databases(df)
@@ -97,6 +133,19 @@ def relations(spark, n=10, cases=("c1", "c2")):
     return spark.createDataFrame([(c, f"service:s{i}", "calls", f"service:t{i}", "g") for c in cases for i in range(n)], REL + ", group_id string")
 
 
+def test_thresholds_mask_as_ranks_do(spark):
+    r = relations(spark, 57).unionByName(relations(spark, 3, ("c3",)).withColumn("group_id", F.lit("h")))
+    for ratio in (0.0, 0.1, 0.4, 0.5, 1.0):
+        ranked = masking.hash_mask(r, "group_id", ratio)
+        for group, n in (("g", 57), ("h", 3)):
+            ranks = sorted(x["rank"] for x in ranked.filter(F.col("group_id") == group).collect())
+            assert ranks == list(range(1, n + 1))
+        missing = {(x["group_id"], x["source"]) for x in ranked.filter("missing").collect()}
+        seen, gone = masking.group_mask(r, ratio)
+        assert {(x["group_id"], x["source"]) for x in gone.collect()} == missing
+        assert seen.count() + gone.count() == r.count() and seen.columns == r.columns
+
+
 def test_masks_nest_and_are_shared(spark):
     r = relations(spark)
     seen = []

@@ -183,6 +183,42 @@ def test_reachability(spark):
     assert metrics.mean_reachability(e, nodes(spark, "db", "db", "loadgen"), nodes(spark, "api", "loadgen"), cases(spark)).first()["reachability"] == 0.5
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from tracebraid.operators import graph
+
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or real(df))
+    n = 300
+    chain_ = spark.createDataFrame([("c", f"n{i}", f"n{i + 1}") for i in range(n)] + [("d", "a", "b"), ("d", "b", "a")], PAIR)
+    got = {(r["case_id"], r["node"]) for r in reachable(chain_, nodes(spark, "n0").union(nodes(spark, "a", case="d"))).collect()}
+    assert got == {("c", f"n{i}") for i in range(n + 1)} | {("d", "a"), ("d", "b")}
+    # Starts, two single steps, nine doublings of steps and pairs.
+    assert len(written) <= 1 + 2 + 2 * 9
+    w = chain_.withColumn("w", F.lit(0.99))
+    best = {(r["case_id"], r["node"]): r["reach"] for r in graph.best_reach(w, nodes(spark, f"n{n}").union(nodes(spark, "a", case="d"))).collect()}
+    assert abs(best["c", "n0"] - 0.99**n) < 1e-12 and best["d", "a"] == 1 and abs(best["d", "b"] - 0.99) < 1e-12 and len(best) == n + 3
+
+
+def test_exact_quantiles_of_few_and_many_rows(spark):
+    import numpy as np
+
+    from tracebraid.operators.selection import quantiles
+
+    rng = np.random.default_rng(3)
+    sides = {"one": [5.0], "two": [1.0, 2.0], "ties": [3.0] * 400 + [7.0] * 3, "many": np.round(rng.lognormal(3, 2, 5000), 3).tolist(), "none": [None, None]}
+    df = spark.createDataFrame([(k, x) for k, v in sides.items() for x in v], "k string, v double")
+    shares = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0)
+    # A coarse sketch, so that keys of more than 50 rows are bracketed.
+    for accuracy in (50, 10_000):
+        got = {r["k"]: (r["_n"], r["q"]) for r in quantiles(df, ["k"], "v", shares, accuracy).collect()}
+        for k, v in sides.items():
+            v = [x for x in v if x is not None]
+            want = [None] * len(shares) if not v else np.quantile(v, shares).tolist()
+            assert got[k][0] == len(v)
+            assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(got[k][1], want, strict=True)), (k, got[k], want)
+
+
 def test_paths_lead_to_symptoms_without_alarms(spark):
     both = metrics.alarms_or_symptoms(nodes(spark, "a", case="c"), nodes(spark, "s", case="c").union(nodes(spark, "t", case="d")))
     assert {(r["case_id"], r["node"]) for r in both.collect()} == {("c", "a"), ("d", "t")}

@@ -53,7 +53,9 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
             return _all(seen)
         seen.append(new)
         late.append(new)
-        before, hops = hops, cut(_joined(hops).select("case_id", "node", "following").distinct())
+        # A case without a new node is done.
+        going = hops.join(new.select("case_id").distinct(), "case_id", "left_semi")
+        before, hops = hops, cut(_joined(going).select("case_id", "node", "following").distinct())
         spent(before)
         if hops.isEmpty():
             return _all(seen)
