@@ -85,3 +85,69 @@ def test_given_picks_mask_as_a_sample_would(spark):
     assert [(r["source"], r["relation"] == CAUSAL) for r in truth.orderBy("pos").collect()] == [("a1", True), ("a3", False)]
     kept, gone = masking.removal_mask(known, 0.5, picks=picks)
     assert kept.count() == 4 and gone.count() == 2
+
+
+def words():
+    """A tokenizer whose tokens are words; local, so that workers need not import this file."""
+
+    def make():
+        import re
+
+        return lambda texts: [[m.end() for m in re.finditer(r"\S+", t)] for t in texts]
+
+    return make
+
+
+def test_budget_cuts_at_a_token(spark):
+    from tracebraid.operators import answers
+
+    rows = spark.createDataFrame([("a", "one two  three"), ("b", "one two"), ("c", None), ("d", "")], "case_id string, prompt string")
+    got = {r["case_id"]: tuple(r)[1:] for r in answers.within_budget(rows, words(), 2).collect()}
+    assert got == {"a": ("one two", 3, 2, True), "b": ("one two", 2, 2, False), "c": ("", 0, 0, False), "d": ("", 0, 0, False)}
+    account = answers.run_account(answers.within_budget(rows, words(), 2)).first()
+    assert (account["n"], account["raw_tokens"], account["input_tokens"], account["truncation_rate"], account["seconds"]) == (4, 5, 4, 0.25, None)
+    with pytest.raises(ValueError):
+        answers.within_budget(rows, words(), 0)
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    from tracebraid.operators import answers
+
+    def client():
+        def run(prompts):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("".join(f"{p}\n" for p in prompts))
+            return [None if p == "mute" else p.upper() for p in prompts]
+
+        return run
+
+    calls = lambda: sorted((tmp_path / "calls").read_text().splitlines())
+    rows = spark.createDataFrame([("a", "one"), ("b", "one"), ("c", "mute"), ("d", None)], "case_id string, prompt string")
+    first = {r["case_id"]: (r["answer"], r["output_tokens"]) for r in answers.answered(rows, "m", client, f"{tmp_path}/store", make_tokenizer=words()).collect()}
+    assert first == {"a": ("ONE", 1), "b": ("ONE", 1), "c": (None, 0), "d": ("", 0)} and calls() == ["", "mute", "one"]
+    more = rows.union(spark.createDataFrame([("e", "two")], "case_id string, prompt string"))
+    again = {r["case_id"]: r["answer"] for r in answers.answered(more, "m", client, f"{tmp_path}/store").collect()}
+    assert again == {"a": "ONE", "b": "ONE", "c": None, "d": "", "e": "TWO"} and calls() == ["", "mute", "one", "two"]
+    answers.answered(rows, "another", client, f"{tmp_path}/store").collect()
+    assert len(calls()) == 7
+
+
+def test_scored_run_must_fit():
+    from tracebraid.operators import answers
+
+    answers.require_run({"variant": "full", "mask_ratio": 0.4}, 0.4)
+    for run in ({"variant": "abduction", "mask_ratio": 0.4}, {"variant": "full", "mask_ratio": 0.2}, {"variant": "full"}):
+        with pytest.raises(ValueError):
+            answers.require_run(run, 0.4)
+
+
+def test_scorers_are_checked(spark):
+    from tracebraid.operators import structural
+
+    o = spark.createDataFrame([("c", "service:a", f"service:{x}", "trace_parent_child", 1.0, "", x, 1) for x in "bd"], "case_id string, source string, target string, evidence_kind string, confidence double, text string, observation_id string, observation_count int")
+    whole = structural.recover(o, semantic=lambda _, h: structural.deterministic_semantics(h))
+    assert whole.count() == 2 and whole.columns == structural.recover(o, semantic=structural.deterministic_scorer).columns
+    with pytest.raises(Exception, match="lost a hypothesis"):
+        structural.recover(o, semantic=lambda _, h: structural.deterministic_semantics(h).filter("target = 'service:b'")).collect()
+    with pytest.raises(TypeError):
+        structural.recover(o, semantic=lambda _, h: h)

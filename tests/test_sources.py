@@ -9,9 +9,9 @@ FULL = {
     "case_id": "x",
     "symptom_nodes": ["api"],
     "known_edges": [["db", "r", "api"], {"source": "a", "target": "b"}],
-    "evidence": [{"evidence_id": "e1", "node": "db", "kind": "trace", "signal": "s", "abnormality": 0.9}],
+    "evidence": [{"evidence_id": "e1", "node": "db", "kind": "trace", "signal": "s", "abnormality": 0.9, "metadata": {"unit": "ms", "tags": ["a", {"b": 1}]}}],
     "structural_relations": [{"source": "service:a", "relation": "calls", "target": "service:b"}],
-    "relation_observations": [{"observation_id": "ro", "source": "service:a", "target": "service:b", "evidence_kind": "trace_parent_child", "metadata": {"observation_count": 3}}],
+    "relation_observations": [{"observation_id": "ro", "source": "service:a", "target": "service:b", "evidence_kind": "trace_parent_child", "metadata": {"observation_count": 3, "collector": "otel"}}],
     "gold_root_causes": ["db"],
     "gold_paths": [["db", "api"]],
     "metadata": {"system": "s", "reference_topology_provenance": {"source": "cmdb", "version": "1", "independent_of_model_observations": True, "evaluator_only": True}},
@@ -43,6 +43,8 @@ def test_round_trip(spark, read, tmp_path):
     for name in ("edges", "nodes", "evidence", "observations", "paths"):
         key = lambda df: sorted(map(repr, df.collect()))
         assert key(getattr(read, name)) == key(getattr(again, name)), name
+    assert json.loads(again.evidence.first()["metadata"]) == {"unit": "ms", "tags": ["a", {"b": 1}]}
+    assert json.loads(again.observations.first()["metadata"]) == {"observation_count": 3, "collector": "otel"}
 
 
 def test_audit(read):

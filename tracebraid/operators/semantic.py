@@ -71,6 +71,8 @@ def entailments(claims: DataFrame, make_model: Callable[[], Model], key: list[st
             for i in range(0, len(b), BATCH):
                 part = b.iloc[i : i + BATCH]
                 got = model([*part.premise, *part.premise], [*part.positive, *part.negative])
+                if len(got) != 2 * len(part):
+                    raise ValueError(f"the model gave {len(got)} scores for {2 * len(part)} claims")
                 out["e_pos"] += got[: len(part)]
                 out["e_neg"] += got[len(part) :]
             yield b[key].assign(**out)
@@ -88,6 +90,7 @@ def structural_scorer(make_model: Callable[[], Model]):
         e = entailments(structural_claims(h, observations), make_model, key)
         return h.drop("semantic_support", "semantic_contradiction", "semantic_neutral").join(e, key).withColumns(contrast(F.col("e_pos"), F.col("e_neg"))).drop("e_pos", "e_neg")
 
+    score.whole = True
     return score
 
 

@@ -68,6 +68,14 @@ def deterministic_semantics(h: DataFrame, base="abductive_support") -> DataFrame
     return h.withColumn("semantic_support", s).withColumn("semantic_contradiction", 1 - s).withColumn("semantic_neutral", F.lit(0.0))
 
 
+def deterministic_scorer(_: DataFrame, h: DataFrame) -> DataFrame:
+    """``deterministic_semantics`` as a scorer for ``recover``."""
+    return deterministic_semantics(h)
+
+
+deterministic_scorer.whole = True
+
+
 def with_conflicts(h: DataFrame, visible: DataFrame | None) -> DataFrame:
     """``conflict`` = 1 where a functional relation is visible with another end, and not with this one."""
     if visible is None:
@@ -186,7 +194,9 @@ def recover(
         raise ValueError("threshold must be in [0, 1]")
     h = hypotheses(observations, **options)
     if semantic is not None:
-        h = semantic(observations, h)
+        scored = semantic(observations, h)
+        # Scorers marked whole keep every hypothesis; any other's result is compared with what it was given.
+        h = scored_all(h, scored, rows=not getattr(semantic, "whole", False))
     if logic is not None:
         several = any(not isinstance(r, str) and len(r) > 1 for r in (options.get("schema") or {}).values())
         h = logic(h, visible, competing=True) if logic is psl and several else logic(h, visible)
@@ -194,6 +204,19 @@ def recover(
     return h.withColumn("selected", F.col("final_score") >= threshold)
 
 
+def scored_all(h: DataFrame, scored: DataFrame, rows: bool = True, key: tuple[str, ...] = ("case_id", *EDGE)) -> DataFrame:
+    """What a scorer made of hypotheses, each of them once; an error, when it runs, if one is lost, and at once if columns lack."""
+    lacking = [c for c in (*h.columns, "semantic_support", "semantic_contradiction") if c not in scored.columns]
+    if lacking:
+        raise TypeError(f"the scorer's result lacks {', '.join(lacking)}")
+    if not rows:
+        return scored
+    marked = scored.dropDuplicates(list(key)).withColumn("_scored", F.lit(True))
+    j = h.select(*key).join(marked, list(key), "left")
+    lost = F.raise_error(F.lit("the scorer lost a hypothesis")).cast("double")
+    return j.withColumn("semantic_support", F.when(F.col("_scored"), F.col("semantic_support")).otherwise(lost)).select(*scored.columns)
+
+
 def recover_missing(visible: DataFrame, observations: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(recovered topology, relations added to the visible ones), both distinct."""
     found = recover(observations, visible, **options).filter("selected").select("case_id", *EDGE)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import entity_kind, entity_value
-from ..operators import adjudication, evaluation, evidence, incident, joint, masking, metrics, reports, semantic, structural
+from ..operators import adjudication, answers, evaluation, evidence, incident, joint, masking, metrics, reports, semantic, structural
 from ..operators.graph import cut
 from ..schemas import MASKED
 from .sample import RATIO, Sample
@@ -44,7 +45,7 @@ def _logic(run) -> Callable[[Sample], DataFrame]:
 
 
 def _structural_semantics(s: Sample) -> DataFrame:
-    h = structural.recover(s.observed, semantic=lambda _, h: structural.deterministic_semantics(h))
+    h = structural.recover(s.observed, semantic=structural.deterministic_scorer)
     return h.select(*EDGE, F.round("semantic_support", 6).alias("support"), F.round("semantic_contradiction", 6).alias("contradiction"), *r6("final_score"))
 
 
@@ -81,7 +82,7 @@ def _variants(s: Sample) -> DataFrame:
     """Pooled scores of every stage-1 variant; the semantic ones with the deterministic scorer."""
     out = []
     for name in evaluation.STAGE1_VARIANTS:
-        run = evaluation.stage1_variant(s.relations, s.observed_normal, s.cases, RATIO, name, semantic=lambda _, h: structural.deterministic_semantics(h))
+        run = evaluation.stage1_variant(s.relations, s.observed_normal, s.cases, RATIO, name, semantic=structural.deterministic_scorer)
         out.append(scores(run["micro"].withColumn("variant", F.lit(name)), "variant"))
     return reduce(DataFrame.unionByName, out)
 
@@ -209,12 +210,41 @@ def _adjudicated(part: int) -> Callable[[Sample], DataFrame]:
         h, _, roots = incident.predict(s.hidden[0], s.evidence, s.symptoms, semantic=semantic.deterministic_causal)
         h, roots = cut(h), cut(roots)
         adjudication.require_scored(s.hidden[0], h)
-        answers = adjudication.ask(adjudication.prompts(s.hidden[0], s.evidence, s.symptoms, h, keep_loadgen=False, roots=roots), _reading_client)
-        return adjudication.decide(cut(answers), s.hidden[0], s.evidence, scored_roots=roots)[part]
+        said = adjudication.ask(adjudication.prompts(s.hidden[0], s.evidence, s.symptoms, h, keep_loadgen=False, roots=roots), _reading_client)
+        return adjudication.decide(cut(said), s.hidden[0], s.evidence, scored_roots=roots)[part]
 
     return f
 
 
+def _splitting_tokenizer():
+    """Tokens are what stands between bars and line ends."""
+    return lambda texts: [[m.end() for m in re.finditer(r"[^|\n]+", t)] for t in texts]
+
+
+def _budgeted(s: Sample) -> DataFrame:
+    """The lines of masked candidates of each case, cut at 32 tokens."""
+    c = adjudication.candidates(s.hidden[0])
+    text = adjudication.lines(c, F.concat_ws("|", "id", "source", "target"), ["id"], "prompt")
+    return answers.within_budget(text, _splitting_tokenizer, 32)
+
+
+def _budgets(s: Sample) -> DataFrame:
+    return _budgeted(s).select("case_id", "raw_tokens", "input_tokens", "truncated", "prompt")
+
+
+def _account(s: Sample) -> DataFrame:
+    return answers.run_account(_budgeted(s)).select("n", "raw_tokens", "input_tokens", *r6("truncation_rate"))
+
+
+def _capped(s: Sample) -> DataFrame:
+    """The three best candidates of each case."""
+    return incident.causal_hypotheses(s.known, s.evidence, 3).select("case_id", "source", "target", "pos", *r6("abductive_score"))
+
+
+def _legacy_reachability(s: Sample) -> DataFrame:
+    return metrics.mean_reachability(s.prediction[1], s.prediction[2], s.symptoms, s.cases).select("case_id", *r6("reachability"))
+
+
 def _pair_client():
     """A client of a few rules for direct prompts: hidden pairs in alphabetical order, the last symptom."""
 
@@ -230,8 +260,8 @@ def _direct(part: int) -> Callable[[Sample], DataFrame]:
     """Of edges and roots the ``part``-th."""
 
     def f(s: Sample) -> DataFrame:
-        answers = adjudication.ask(adjudication.pair_prompts(s.hidden[0], s.evidence, s.symptoms), _pair_client)
-        return adjudication.decide_pairs(cut(answers), s.hidden[0])[part]
+        said = adjudication.ask(adjudication.pair_prompts(s.hidden[0], s.evidence, s.symptoms), _pair_client)
+        return adjudication.decide_pairs(cut(said), s.hidden[0])[part]
 
     return f
 
@@ -328,6 +358,10 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "claims": _claims,
     "incident_soft_logic": _soft_logic,
     "incident_psl_optimality": _optimality,
+    "prompt_budgets": _budgets,
+    "run_account": _account,
+    "candidate_cap": _capped,
+    "legacy_reachability": _legacy_reachability,
     "causal_mask": _causal_mask,
     "removal_mask": _removal_mask,
     "contrastive_scores": _contrastive,

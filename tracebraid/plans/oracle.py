@@ -321,6 +321,11 @@ _VARIANTS = " UNION ALL ".join(
 )
 
 
+#: Lines of hidden pairs, three tokens each; what 32 tokens leave of them.
+_LINES = f"SELECT *, 32 - 3 * id AS room FROM (SELECT case_id, source, target, row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1 AS id FROM ({_HIDDEN}) WHERE relation = '__MASKED_RELATION__')"
+_BUDGETS = f"""SELECT case_id, 3 * count(*) AS raw_tokens, least(3 * count(*), 32) AS input_tokens, 3 * count(*) > 32 AS truncated,
+  string_agg(CASE WHEN room >= 3 THEN id || '|' || source || '|' || target WHEN room = 2 THEN id || '|' || source ELSE id::VARCHAR END, chr(10) ORDER BY id) FILTER (room > 0) AS prompt FROM ({_LINES}) GROUP BY case_id"""
+
 _EDGE = "case_id, source, relation, target"
 _R = lambda *c: ", ".join(f"round({x}, 6) AS {x.split('.')[-1]}" for x in c)
 _SCORES = "tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, " + _R("precision", "recall", "f1")
@@ -428,6 +433,14 @@ ORACLES: dict[str, str] = {
         "SELECT case_id, source AS node FROM joint_edges UNION SELECT case_id, target FROM joint_edges) WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)",
         [*_SEM, ("joint_edges", f"SELECT case_id, source, target FROM chyp_m UNION SELECT case_id, source, target FROM ({_HIDDEN}) WHERE relation <> '__MASKED_RELATION__' AND case_id IN (SELECT case_id FROM chyp_m)")],
     ),
+    "prompt_budgets": sql(_BUDGETS),
+    "run_account": sql(f"SELECT count(*) AS n, sum(raw_tokens)::BIGINT AS raw_tokens, sum(input_tokens)::BIGINT AS input_tokens, round(avg(truncated::INT), 6) AS truncation_rate FROM ({_BUDGETS})"),
+    "candidate_cap": sql("SELECT case_id, source, target, pos, round(abd, 6) AS abductive_score FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY abd DESC, pos) AS place FROM chyp) WHERE place <= 3"),
+    "legacy_reachability": sql(
+        "SELECT case_id, round(coalesce(x, 0), 6) AS reachability FROM cases LEFT JOIN (SELECT p.case_id, avg((EXISTS (SELECT 1 FROM far f WHERE f.case_id = p.case_id AND f.root = p.node AND f.node = s.norm))::INT) AS x "
+        f"FROM pred_roots p JOIN (SELECT case_id, {norm('node')} AS norm FROM symptoms) s USING (case_id) GROUP BY p.case_id) USING (case_id)",
+        [("far", "SELECT case_id, node AS root, node FROM pred_roots UNION SELECT f.case_id, f.root, e.target FROM far f JOIN pred_pairs e ON e.case_id = f.case_id AND e.source = f.node")],
+    ),
     "causal_mask": sql(_HIDDEN),
     "removal_mask": sql(_REMOVED),
     "contrastive_scores": sql(

@@ -36,7 +36,7 @@ def read_cases(spark: SparkSession, path: str) -> Cases:
         one = raw.select("case_id", F.lit(role).alias("role"), F.posexplode(column).alias("pos", "node"))
         nodes = one if nodes is None else nodes.unionByName(one)
     evidence = raw.select("case_id", F.posexplode("evidence").alias("pos", "e")).select(
-        "case_id", "pos", "e.evidence_id", "e.node", "e.kind", "e.signal", "e.abnormality", F.col("e.timestamp").alias("ts_s"), F.coalesce("e.text", F.lit("")).alias("text")
+        "case_id", "pos", "e.evidence_id", "e.node", "e.kind", "e.signal", "e.abnormality", F.col("e.timestamp").alias("ts_s"), F.coalesce("e.text", F.lit("")).alias("text"), F.coalesce(F.to_json("e.metadata"), F.lit("{}")).alias("metadata")
     )
     count = F.try_variant_get("o.metadata", "$.observation_count", "bigint")
     observations = raw.select("case_id", F.posexplode("relation_observations").alias("pos", "o")).select(
@@ -49,6 +49,7 @@ def read_cases(spark: SparkSession, path: str) -> Cases:
         F.coalesce("o.confidence", F.lit(1.0)).alias("confidence"),
         F.coalesce("o.text", F.lit("")).alias("text"),
         F.coalesce(count, F.lit(1)).alias("observation_count"),
+        F.coalesce(F.to_json("o.metadata"), F.lit("{}")).alias("metadata"),
     )
     paths = raw.select("case_id", F.posexplode("gold_paths").alias("pos", "path"))
     return Cases(raw.select("case_id", "metadata"), edges, nodes, evidence, observations, paths)
@@ -65,6 +66,11 @@ def _edges(raw: DataFrame, role: str, column: str) -> DataFrame:
     return e.select("case_id", F.lit(role).alias("role"), "pos", part["source"].alias("source"), F.coalesce(part["relation"], F.lit(CAUSAL)).alias("relation"), part["target"].alias("target"))
 
 
+def _with_objects(df: DataFrame, name: str) -> DataFrame:
+    """Metadata texts of a list's items as objects again; lists are sorted before, for objects have no order."""
+    return df.withColumn(name, F.transform(name, lambda x: x.withField("metadata", F.parse_json(x.metadata))))
+
+
 def case_rows(cases: Cases) -> DataFrame:
     """One nested row per case, in the field order of the format."""
 
@@ -75,9 +81,12 @@ def case_rows(cases: Cases) -> DataFrame:
     out = cases.cases
     columns = [gathered(cases.nodes.filter(F.col("role") == r), F.col("node"), c) for r, c in NODE_ROLES.items()]
     columns += [gathered(cases.edges.filter(F.col("role") == r), edge, c) for r, c in EDGE_ROLES.items()]
-    item = F.struct("evidence_id", "node", "kind", "signal", "abnormality", F.col("ts_s").alias("timestamp"), "text")
-    columns.append(gathered(cases.evidence, item, "evidence"))
-    columns.append(gathered(cases.observations, F.struct("observation_id", "source", "target", "evidence_kind", "confidence", "text", F.struct("observation_count").alias("metadata")), "relation_observations"))
+    said = lambda df: F.col("metadata") if "metadata" in df.columns else F.lit(None).cast("string")
+    item = F.struct("evidence_id", "node", "kind", "signal", "abnormality", F.col("ts_s").alias("timestamp"), "text", F.coalesce(said(cases.evidence), F.lit("{}")).alias("metadata"))
+    columns.append(_with_objects(gathered(cases.evidence, item, "evidence"), "evidence"))
+    counted = F.coalesce(said(cases.observations), F.to_json(F.struct("observation_count")))
+    item = F.struct("observation_id", "source", "target", "evidence_kind", "confidence", "text", counted.alias("metadata"))
+    columns.append(_with_objects(gathered(cases.observations, item, "relation_observations"), "relation_observations"))
     columns.append(gathered(cases.paths, F.col("path"), "gold_paths"))
     for df in columns:
         out = out.join(df, "case_id", "left")
