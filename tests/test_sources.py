@@ -113,3 +113,26 @@ def test_cases_are_built_and_written(spark, tmp_path):
     assert {r["case_id"] for r in again.cases.collect()} == {"case-1", "case-2"}
     assert again.edges.filter("role = 'known'").count() == made.edges.filter("role = 'known'").count() > 0
     assert again.evidence.count() > 0 and again.observations.count() == made.observations.count()
+
+
+def test_causal_graph_documents(spark, tmp_path):
+    from tracebraid.plans.build import gold_of_folder
+
+    docs = {
+        "a": {
+            "component_to_service": {"pod-1": "cart", "odd": ""}, "root_causes": ["pod-1", {"component": "service|pay|v2"}, {"name": "x"}, "unknown", 5], "alarm_nodes": ["service|late"],
+            "path_terminal_alarm_nodes": ["span|web::GET /|x"], "edges": [{"source": "pod-1", "target": "span|web::GET"}, {"source": "pod-1", "target": "service|cart"}, {"source": "odd", "target": "pod-1"}, {"target": "pod-1"}, {"source": "pod-1", "target": "span|web::PUT"}],
+        },
+        "b": {"alarm_nodes": ["service|late"], "path_terminal_alarm_nodes": [], "root_causes": None},
+        "c": [1, 2],
+    }
+    for name, d in docs.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "causal_graph.json").write_text(json.dumps(d, indent=1))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "causal_graph.json").write_text("{broken")
+    gold = gold_of_folder(spark, str(tmp_path))
+    key = lambda df, *c: sorted(tuple(r[x] for x in ("case_id", *c)) for r in df.collect())
+    assert key(gold.edges, "source", "target") == [("a", "cart", "web")]
+    assert key(gold.roots, "node") == [("a", "cart"), ("a", "pay|v2")]
+    assert key(gold.alarms, "node") == [("a", "web"), ("b", "late")]

@@ -132,13 +132,15 @@ def gold_of_graph(edges: DataFrame, components: DataFrame, roots: DataFrame, ala
     """(roots, edges, alarms) of a causal graph of components, as services.
 
     ``components`` maps component to service per case; an unmapped name keeps
-    the part behind ``service|``, or the first part behind ``span|``.
+    what is behind its ``service|``, or behind its ``span|`` up to ``::``.  Names that
+    are neither, or map to nothing, and edges within a service are left out.
     """
 
     def named(df: DataFrame, c: str) -> DataFrame:
         m = components.select("case_id", F.col("component").alias(c), F.col("service").alias("_s"))
-        own = F.when(F.col(c).startswith("service|"), F.substring_index(c, "|", -1)).when(F.col(c).startswith("span|"), F.substring_index(F.substring_index(c, "|", -1), "::", 1))
-        return df.join(m, ["case_id", c], "left").withColumn(c, F.coalesce("_s", own)).drop("_s").filter(F.col(c).isNotNull())
+        rest = F.expr(f"substr({c}, instr({c}, '|') + 1)")
+        own = F.when(F.col(c).startswith("service|"), rest).when(F.col(c).startswith("span|"), F.substring_index(rest, "::", 1))
+        return df.join(m, ["case_id", c], "left").withColumn(c, F.coalesce("_s", own)).drop("_s").filter(F.col(c) != "")
 
     pairs = named(named(edges.select("case_id", "source", "target"), "source"), "target").filter("source <> target").distinct()
     return named(roots.select("case_id", "node"), "node").distinct(), pairs, named(alarms.select("case_id", "node"), "node").distinct()

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import evidence, observations, structural
 from ..operators.evaluation import with_positions
 from ..operators.graph import cut
 from ..sources.cases import Cases
-from ..sources.telemetry import Telemetry
+from ..sources.telemetry import Telemetry, read_causal_graphs
 
 EDGE = ["source", "relation", "target"]
 
@@ -24,6 +24,12 @@ class Gold:
     alarms: DataFrame
 
 
+def gold_of_folder(spark: SparkSession, base: str) -> Gold:
+    """The gold of all case folders below ``base``, from their causal graph documents."""
+    roots, edges, alarms = evidence.gold_of_graph(*read_causal_graphs(spark, base))
+    return Gold(edges, roots, alarms)
+
+
 def attributed(t: Telemetry, labels: DataFrame) -> Telemetry:
     """The cases whose label says so; before anything of the others is read."""
     keep = F.broadcast(labels.filter("attributed").select("case_id"))

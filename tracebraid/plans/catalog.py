@@ -13,6 +13,7 @@ from ..functions.expressions import entity_kind, entity_value
 from ..operators import adjudication, answers, evaluation, evidence, incident, joint, masking, metrics, reports, semantic, structural
 from ..operators.graph import cut
 from ..schemas import MASKED
+from ..sources import telemetry
 from .sample import RATIO, Sample
 
 EDGE = ["case_id", "source", "relation", "target"]
@@ -245,6 +246,22 @@ def _legacy_reachability(s: Sample) -> DataFrame:
     return metrics.mean_reachability(s.prediction[1], s.prediction[2], s.symptoms, s.cases).select("case_id", *r6("reachability"))
 
 
+def _graph_gold(s: Sample) -> DataFrame:
+    """Gold read back from causal graph documents: spans as sources, mapped components as targets, roots as objects, terminal alarms in every other case."""
+    span = F.concat(F.lit("span|"), "source", F.lit("::get|x"))
+    part = F.concat(F.lit("part-"), "target")
+    e = s.gold_edges.groupBy("case_id").agg(F.collect_list(F.struct(span.alias("source"), part.alias("target"))).alias("edges"), F.map_from_entries(F.collect_set(F.struct(part, "target"))).alias("component_to_service"))
+    listed = lambda df, item, name: df.groupBy("case_id").agg(F.collect_list(item).alias(name))
+    named = F.concat(F.lit("service|"), "node")
+    d = e.join(listed(s.gold_roots, F.struct(named.alias("component")), "root_causes"), "case_id", "left").join(listed(s.alarms, named, "alarms"), "case_id", "left")
+    even = F.substring_index("case_id", "-", -1).cast("int") % 2 == 0
+    none = F.array().cast("array<string>")
+    d = d.select("case_id", "edges", "component_to_service", "root_causes", F.when(even, F.col("alarms")).otherwise(none).alias("path_terminal_alarm_nodes"), F.when(even, none).otherwise(F.col("alarms")).alias("alarm_nodes"))
+    roots, edges, alarms = evidence.gold_of_graph(*telemetry.causal_graphs(cut(d.select("case_id", F.to_json(F.struct(*d.columns[1:])).alias("value")))))
+    node = lambda df, role: df.select("case_id", F.lit(role).alias("role"), F.col("node").alias("source"), F.lit(None).cast("string").alias("target"))
+    return edges.select("case_id", F.lit("edge").alias("role"), "source", "target").unionByName(node(roots, "root")).unionByName(node(alarms, "alarm"))
+
+
 def _pair_client():
     """A client of a few rules for direct prompts: hidden pairs in alphabetical order, the last symptom."""
 
@@ -358,6 +375,7 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "claims": _claims,
     "incident_soft_logic": _soft_logic,
     "incident_psl_optimality": _optimality,
+    "causal_graph_gold": _graph_gold,
     "prompt_budgets": _budgets,
     "run_account": _account,
     "candidate_cap": _capped,

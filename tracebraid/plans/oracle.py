@@ -433,6 +433,7 @@ ORACLES: dict[str, str] = {
         "SELECT case_id, source AS node FROM joint_edges UNION SELECT case_id, target FROM joint_edges) WHERE (case_id, node) NOT IN (SELECT case_id, node FROM symptoms)",
         [*_SEM, ("joint_edges", f"SELECT case_id, source, target FROM chyp_m UNION SELECT case_id, source, target FROM ({_HIDDEN}) WHERE relation <> '__MASKED_RELATION__' AND case_id IN (SELECT case_id FROM chyp_m)")],
     ),
+    "causal_graph_gold": sql("SELECT case_id, 'edge' AS role, source, target FROM gold_spans UNION ALL SELECT case_id, 'root', node, NULL FROM gold_roots UNION ALL SELECT case_id, 'alarm', node, NULL FROM alarms"),
     "prompt_budgets": sql(_BUDGETS),
     "run_account": sql(f"SELECT count(*) AS n, sum(raw_tokens)::BIGINT AS raw_tokens, sum(input_tokens)::BIGINT AS input_tokens, round(avg(truncated::INT), 6) AS truncation_rate FROM ({_BUDGETS})"),
     "candidate_cap": sql("SELECT case_id, source, target, pos, round(abd, 6) AS abductive_score FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY abd DESC, pos) AS place FROM chyp) WHERE place <= 3"),

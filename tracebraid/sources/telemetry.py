@@ -47,6 +47,31 @@ def read_cases(spark: SparkSession, base: str) -> Telemetry:
     return Telemetry(frames("traces"), frames("metrics"), frames("logs"), starts)
 
 
+def causal_graphs(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, components, roots, alarms) of causal graph documents (case_id, value), as ``evidence.gold_of_graph`` takes them.
+
+    Roots and alarms are names or objects with a ``component``.  Alarms are the
+    terminal ones of paths or, where that list is missing or empty, all.  A
+    document that is no JSON object has no part in any table.
+    """
+    d = documents.select("case_id", F.try_parse_json("value").alias("g"))
+    items = lambda key: F.coalesce(F.try_variant_get("g", f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+    # An object without a component names nothing.
+    name = lambda x: F.when(F.to_json(x).startswith("{"), F.try_variant_get(x, "$.component", "string")).otherwise(F.try_variant_get(x, "$", "string"))
+    nodes = lambda listed: d.select("case_id", F.explode(listed).alias("x")).select("case_id", name(F.col("x")).alias("node")).filter("node IS NOT NULL")
+    terminal = items("path_terminal_alarm_nodes")
+    end = lambda c: F.try_variant_get("x", f"$.{c}", "string").alias(c)
+    edges = d.select("case_id", F.explode(items("edges")).alias("x")).select("case_id", end("source"), end("target")).dropna()
+    components = d.select("case_id", F.explode(F.try_variant_get("g", "$.component_to_service", "map<string,string>")).alias("component", "service"))
+    return edges, components, nodes(items("root_causes")), nodes(F.when(F.size(terminal) > 0, terminal).otherwise(items("alarm_nodes")))
+
+
+def read_causal_graphs(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``causal_graphs`` of the ``causal_graph.json`` of all case folders below ``base``."""
+    text = spark.read.text(f"{base}/*/causal_graph.json", wholetext=True)
+    return causal_graphs(text.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/causal_graph", 1).alias("case_id"), "value"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest's rows; blank lines are skipped."""
     schema = "name string, system string, primary_kind string, subtypes array<string>, hybrid boolean, root_services array<string>"
@@ -55,7 +80,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, base: str) -> DataFrame:
     """case_id and whether its label.txt says attributed."""
-    text = spark.read.option("wholetext", True).text(f"{base}/*/label.txt")
+    text = spark.read.text(f"{base}/*/label.txt", wholetext=True)
     case = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/label", 1)
     return text.select(case.alias("case_id"), (F.lower(F.trim(F.regexp_replace("value", "\\s+", " "))) == "attributed").alias("attributed"))
 
