@@ -28,7 +28,7 @@ def test_soft_logic_reaches_a_chain_of_any_length(spark, monkeypatch):
     known = spark.createDataFrame([("c", f"n{i}", CAUSAL, f"n{i + 1}") for i in range(1, 4)], "case_id string, source string, relation string, target string")
     symptoms = spark.createDataFrame([("c", "n4")], "case_id string, node string")
     # No rounds but those that the nodes ask for.
-    assert abs(incident.soft_logic(h, known, symptoms, rounds=0).first()["soft_logic_score"] - 0.5) < 1e-9
+    assert abs(incident.soft_logic(h, known, symptoms).first()["soft_logic_score"] - 0.5) < 1e-9
 
 
 def test_competing_relations_of_a_pair_are_solved_together(spark):
