@@ -207,6 +207,19 @@ def ablation(known: DataFrame, gold: DataFrame, ev: DataFrame, symptoms: DataFra
     return out
 
 
+QUALIFIED = ("causal_relation_accuracy", "causal_relation_precision", "causal_relation_recall", "causal_relation_f1", "root_hit_at_1", "root_hit_at_3", "process_path_reachability")
+
+
+def qualification(known: DataFrame, gold: DataFrame, ev: DataFrame, symptoms: DataFrame, gold_roots: DataFrame, alarms: DataFrame, cases: DataFrame, ratio: float = 0.0, seed: int = 42, semantic=None, logic=None, picks: DataFrame | None = None) -> DataFrame:
+    """The controlled run over hidden labels: per case how hidden pairs were classified (0 without any), root hits, paths to gold alarms."""
+    visible, truth = masking.causal_mask(known, gold, ratio, seed, picks)
+    _, edges, roots = incident.predict(visible, ev, symptoms, semantic=semantic, logic=logic)
+    out = metrics.classification(edges, truth, cases).select("case_id", *[F.col(c).alias(f"causal_relation_{c}") for c in ("accuracy", "precision", "recall", "f1")])
+    out = out.join(metrics.root_hits(roots, gold_roots, cases).select("case_id", F.col("hit_1").alias("root_hit_at_1"), F.col("hit_3").alias("root_hit_at_3")), "case_id")
+    reach = metrics.path_reachability(edges, roots, gold_roots, alarms, cases)
+    return out.join(reach.withColumnRenamed("path_reachability", "process_path_reachability"), "case_id")
+
+
 def pair_diagnostics(truth: DataFrame, predicted: DataFrame, h: DataFrame) -> DataFrame:
     """Hidden pairs in order, as ``candidate_id``, with their truth, the decision and the hypothesis's scores (null without one).
 

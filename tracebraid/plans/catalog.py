@@ -299,6 +299,18 @@ def _ablation(variant: str, mode: str = "relation", seeded: bool = False) -> Cal
     return f
 
 
+def _qualified(s: Sample) -> DataFrame:
+    return evaluation.qualification(s.known, s.gold_edges, s.evidence, s.symptoms, s.gold_roots, s.alarms, s.cases, RATIO, semantic=semantic.deterministic_causal, picks=s.picks())
+
+
+def _qualification(s: Sample) -> DataFrame:
+    return _qualified(s).select("case_id", *r6(*evaluation.QUALIFIED))
+
+
+def _qualification_summary(s: Sample) -> DataFrame:
+    return reports.means(_qualified(s), list(evaluation.QUALIFIED)).select("n", *r6(*evaluation.QUALIFIED))
+
+
 def _rca(s: Sample) -> DataFrame:
     whole = ["n_predicted_roots", "n_predicted_edges"]
     return s.rca.select("case_id", "condition", *whole, *r6(*[c for c in s.rca.columns if c not in ("case_id", "condition", *whole)]))
@@ -398,6 +410,8 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "ablation_edge_mask": _ablation("abduction", "edge"),
     "ablation_no_mask": _ablation("abduction", "none"),
     "standard_track": _standard,
+    "qualification": _qualification,
+    "qualification_summary": _qualification_summary,
     # Without SQL: the joint solver and samples by a seed.
     "incident_psl": _psl,
     "ablation_abduction_psl": _ablation("abduction_psl"),

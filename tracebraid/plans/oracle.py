@@ -286,6 +286,25 @@ def _ablation(known: str, score: str = "abd", truth: bool = True, graph_only: bo
     return sql(f"SELECT case_id, {', '.join(f'round({c}, 6) AS {c}' for c in columns)}, {more} FROM ({scores_of('a')}) LEFT JOIN hidden_rows USING (case_id)", tables)
 
 
+#: The controlled run over hidden labels with the deterministic scorer: seven values per case.
+_QUALIFIED = ("causal_relation_accuracy", "causal_relation_precision", "causal_relation_recall", "causal_relation_f1", "root_hit_at_1", "root_hit_at_3", "process_path_reachability")
+_QUALIFICATION = [
+    *run("q", _HIDDEN, moved("abd")),
+    (
+        "judged_q",
+        f"""SELECT l.case_id, truth = 'causal_propagates_to' AS y, EXISTS (SELECT 1 FROM pred_pairs_q p WHERE p.case_id = l.case_id AND p.source = {norm('l.source')} AND p.target = {norm('l.target')}) AS p
+          FROM ({_LABELLED}) l WHERE picked""",
+    ),
+    ("counted_q", "SELECT case_id, avg((p = y)::INT) AS accuracy, count(*) FILTER (p AND y) AS tp, count(*) FILTER (p) AS said, count(*) FILTER (y) AS true_ FROM judged_q GROUP BY case_id"),
+    (
+        "qualified",
+        f"""SELECT s.case_id, coalesce(accuracy, 0) AS causal_relation_accuracy, coalesce(tp / nullif(said, 0), 0) AS causal_relation_precision, coalesce(tp / nullif(true_, 0), 0) AS causal_relation_recall,
+          coalesce(2 * tp / nullif(said + true_, 0), 0) AS causal_relation_f1, hit_1 AS root_hit_at_1, hit_3 AS root_hit_at_3,
+          EXISTS (SELECT 1 FROM reach_q r JOIN (SELECT case_id, {norm('node')} AS node FROM alarms) a USING (case_id, node) WHERE r.case_id = s.case_id)::INT::DOUBLE AS process_path_reachability
+          FROM ({scores_of('q')}) s LEFT JOIN counted_q c ON s.case_id = c.case_id""",
+    ),
+]
+
 _SEM = run("m", _HIDDEN, moved("abd"))
 _DECIDED = "SELECT f.case_id, f.source, f.target FROM final_m f JOIN known_m k USING (case_id, source, target) WHERE k.relation = '__MASKED_RELATION__' AND score >= 0.5"
 _WORDS = lambda x: f"list_distinct(string_split({x}, ' '))"
@@ -486,6 +505,8 @@ ORACLES: dict[str, str] = {
     "ablation_semantic": _ablation(_HIDDEN, moved("abd")),
     "ablation_edge_mask": _ablation(_REMOVED, truth=False),
     "ablation_no_mask": _ablation("SELECT * FROM known", truth=False),
+    "qualification": sql("SELECT case_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _QUALIFIED) + " FROM qualified", _QUALIFICATION),
+    "qualification_summary": sql("SELECT count(*) AS n, " + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in _QUALIFIED) + " FROM qualified", _QUALIFICATION),
     "standard_track": sql(
         "SELECT case_id, root_causes, coalesce(propagation, '') AS propagation FROM (SELECT case_id, string_agg(node, ',' ORDER BY rank) AS root_causes FROM roots GROUP BY case_id) LEFT JOIN "
         "(SELECT case_id, string_agg(source || '->' || target, ';' ORDER BY source, target) AS propagation FROM (SELECT DISTINCT case_id, source, target FROM chosen) GROUP BY case_id) USING (case_id)"

@@ -24,7 +24,7 @@ class Cases:
     paths: DataFrame
 
 
-def read_cases(spark: SparkSession, path: str) -> Cases:
+def read_cases(spark: SparkSession, path: str | list[str]) -> Cases:
     """Read cases; blank lines and missing optional fields are allowed."""
     raw = spark.read.schema(CASE_SCHEMA).json(path).filter("case_id IS NOT NULL")
     edges = None
