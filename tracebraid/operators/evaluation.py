@@ -141,7 +141,7 @@ def topology_rca(topologies: DataFrame, ev: DataFrame, symptoms: DataFrame, gold
         out = out.join(df, "case_id")
     for df, name in ((roots, "n_predicted_roots"), (edges, "n_predicted_edges")):
         out = out.join(df.groupBy("case_id").agg(F.count("*").alias(name)), "case_id", "left").na.fill(0, [name])
-    return out.withColumn("condition", F.substring_index("case_id", "|", -1)).withColumn("case_id", F.substring_index("case_id", "|", 1))
+    return out.withColumn("condition", F.substring_index("case_id", "|", -1)).withColumn("case_id", F.regexp_replace("case_id", "\\|[^|]*$", ""))
 
 
 #: Scores of a row that are summarised, and those whose differences are reported.
