@@ -99,17 +99,31 @@ def dedupe(rows: DataFrame) -> DataFrame:
     return g.withColumn("observation_id", observation_id("evidence_kind", "source", "target"))
 
 
+SPAN_KEY = ("trace_id", "span_id", "parent_span_id", "service_name")
+
+
+def spans(traces: DataFrame) -> DataFrame | None:
+    """case_id, normal and the cleaned ids and service of each span that has a trace and a service; none without the columns."""
+    if any(c not in traces.columns for c in SPAN_KEY):
+        return None
+    s = traces.select("case_id", _is_normal(traces).alias("normal"), *[clean(c).alias(c) for c in SPAN_KEY])
+    return s.filter("trace_id IS NOT NULL AND service_name IS NOT NULL")
+
+
 def call_counts(traces: DataFrame) -> DataFrame | None:
-    """case_id, caller, callee, times, normal_times of parent and child spans, from one scan; none without the columns.
+    """case_id, caller, callee, times, normal_times of parent and child spans, from one scan; none without the columns."""
+    s = spans(traces)
+    return None if s is None else count_calls(s)
+
+
+def count_calls(s: DataFrame) -> DataFrame:
+    """Calls of ``spans``.
 
     A span is a row at its own key and one at its parent's.  Rows of a key are
     counted by role, service and window before they meet, so a key holds no more
-    than its services, however many spans there are.
+    than its services, however many spans there are.  Spans laid out by (case_id,
+    trace_id) meet without an exchange.
     """
-    need = ("trace_id", "span_id", "parent_span_id", "service_name")
-    if any(c not in traces.columns for c in need):
-        return None
-    s = traces.select("case_id", _is_normal(traces).alias("normal"), *[clean(c).alias(c) for c in need]).filter("trace_id IS NOT NULL AND service_name IS NOT NULL")
     role = lambda c, parent: F.struct(F.col(c).alias("key"), F.lit(parent).alias("parent"))
     s = s.select("case_id", "trace_id", "normal", "service_name", F.inline_outer(F.array(role("span_id", True), role("parent_span_id", False)))).filter("key IS NOT NULL")
     g = s.groupBy("case_id", "trace_id", "key", "parent", "service_name", "normal").agg(F.count("*").alias("n"))

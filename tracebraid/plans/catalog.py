@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import entity_kind, entity_value
-from ..operators import adjudication, answers, evaluation, evidence, incident, joint, masking, metrics, reports, semantic, structural
+from ..operators import adjudication, answers, evaluation, evidence, incident, joint, masking, metrics, observations, reports, semantic, structural
 from ..operators.graph import cut
 from ..schemas import MASKED
-from ..sources import telemetry
+from ..sources import layout, telemetry
+from ..sources.shared import shared_dir
 from .sample import RATIO, Sample
 
 EDGE = ["case_id", "source", "relation", "target"]
@@ -32,6 +34,13 @@ def observed(*kinds: str) -> Callable[[Sample], DataFrame]:
     return lambda s: s.collected.filter(F.col("evidence_kind").isin(*kinds)).select(*columns)
 
 
+def _laid_out_calls(s: Sample) -> DataFrame:
+    """Calls with their numbers, from a table of spans laid out by trace."""
+    spark = s.t.traces.sparkSession
+    table = layout.write_spans(s.t.traces, f"spans_{uuid.uuid4().hex}", shared_dir(spark, "spans"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return observations.count_calls(table)
+
+
 def _hypotheses(s: Sample) -> DataFrame:
     h = structural.hypotheses(s.observed)
     return h.select(*EDGE, F.round("abductive_support", 6).alias("support"), F.array_join("observation_ids", ",").alias("observation_ids"), F.size("evidence_kinds").cast("long").alias("n_kinds"))
@@ -335,6 +344,7 @@ def _standard(s: Sample) -> DataFrame:
 
 QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "span_calls_observations": observed("trace_parent_child"),
+    "laid_out_calls": _laid_out_calls,
     "deployment_observations": observed("service_pod_cooccurrence", "pod_node_cooccurrence"),
     "db_msg_observations": observed("db_client_context", "messaging_context"),
     "system_inventory": observed("system_inventory"),

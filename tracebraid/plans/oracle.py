@@ -357,6 +357,8 @@ def _observations(*kinds: str) -> str:
 
 ORACLES: dict[str, str] = {
     "span_calls_observations": _observations("trace_parent_child"),
+    "laid_out_calls": sql("""SELECT c.case_id, p.service_name AS caller, c.service_name AS callee, count(*)::BIGINT AS times, count(*) FILTER (p.win = 'normal' AND c.win = 'normal')::BIGINT AS normal_times
+      FROM traces c JOIN traces p ON c.case_id = p.case_id AND c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.service_name <> p.service_name GROUP BY ALL"""),
     "deployment_observations": _observations("service_pod_cooccurrence", "pod_node_cooccurrence"),
     "db_msg_observations": _observations("db_client_context", "messaging_context"),
     "system_inventory": _observations("system_inventory"),
