@@ -11,9 +11,11 @@ allowed.
 Cases: a null url and one without ``://`` has empty host and path, no rule and no
 aliases; null html has no links; targets without a page count as addresses of
 their own, with the rule they would have; only a scheme at the start makes a target
-absolute, others are resolved against the page's address, dot segments removed,
-as ``urljoin`` does; ``mailto:``, ``data:`` and the like have no address; links to
-the page itself add nothing;
+absolute, others are resolved against the page's first ``<base>``, if that has an
+address, or its own, dot segments removed, as ``urljoin`` does; ``mailto:``, ``data:``
+and the like have no address; links to the page itself add nothing; comments, an open
+one up to the end, hold no links; a ``>`` in a quoted value ends no tag, a quote in a tag
+opens a value wherever it stands;
 repeated rows get equal verdicts; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -34,11 +36,17 @@ RULES = (
     ("block", "org", "/es/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TAGS = "(?i)<(?:link|meta)\\b[^>]*>"
-CANONICAL = "(?i)\\brel\\s*=\\s*(?:\"(?:[^\">]*\\s)?canonical(?:\\s[^\">]*)?\"|'(?:[^'>]*\\s)?canonical(?:\\s[^'>]*)?'|canonical(?=[\\s/>]))"
-HREF = "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
-REFRESH = "(?i)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
-TARGET = "(?i)\\bcontent\\s*=\\s*[\"'][^\"'>]*\\burl\\s*=\\s*([^\"'>\\s]+)"
+COMMENT = "(?s)<!--.*?(?:-->|\\z)"
+#: Links, redirects and bases, found in one search; the SQL's has no possessive repeats, which change no match here.
+TAGS = "(?i)<(?:link|meta|base)\\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: What stands before an attribute's name.
+AT = "[\\s\"'/]"
+CANONICAL = f"(?i){AT}rel\\s*=\\s*(?:\"(?:[^\">]*\\s)?canonical(?:\\s[^\">]*)?\"|'(?:[^'>]*\\s)?canonical(?:\\s[^'>]*)?'|canonical[\\s/>])"
+HREF = f"(?i){AT}href\\s*=\\s*[\"']?([^\"'\\s>]+)"
+REFRESH = f"(?i){AT}http-equiv\\s*=\\s*[\"']?refresh\\b"
+TARGET = f"(?i){AT}content\\s*=\\s*[\"'][^\"'>]*\\burl\\s*=\\s*[\"']?([^\"'>\\s]+)"
+#: The escapes that addresses need; the ampersand's own comes last.
+ESCAPES = (("(?i)&(?:#0*38|#x0*26);", "&amp;"), ("(?i)&(?:#0*47|#x0*2f|sol);", "/"), ("(?i)&(?:#0*58|#x0*3a|colon);", ":"), ("(?i)&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -107,16 +115,25 @@ def without_dots(path: Column) -> Column:
     return F.when(path.rlike("(^|/)\\.\\.?(/|$)"), clean).otherwise(path)
 
 
+def unescaped(target: Column) -> Column:
+    for escape, char in ESCAPES:
+        target = F.regexp_replace(target, escape, char)
+    return target
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges (source, target) between addresses, from canonical links and refresh redirects in the html."""
-    tag = pages.filter(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag"))
-    target = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
-    tag = tag.select("url", target.alias("target")).filter("target <> ''")
-    # The escapes that addresses need; the ampersand's own comes last.
-    for escape, char in (("(?i)&(?:#0*38|#x0*26);", "&amp;"), ("(?i)&(?:#0*47|#x0*2f|sol);", "/"), ("(?i)&(?:#0*58|#x0*3a|colon);", ":"), ("(?i)&amp;", "&")):
-        tag = tag.withColumn("target", F.regexp_replace("target", escape, char))
-    tag = tag.distinct()
-    edges = tag.select(address_of(F.col("url")).alias("source"), address_of(resolved(F.col("target"), F.col("url"))).alias("target"))
+    html = F.col("html")
+    shown = F.when(html.contains("<!--"), F.regexp_replace(html, COMMENT, "")).otherwise(html)
+    tags = pages.filter(html.rlike("(?i)canonical|http-equiv")).select("url", F.regexp_extract_all(shown, F.lit(TAGS), F.lit(0)).alias("tags"))
+    base = F.regexp_extract(F.get(F.filter("tags", lambda t: t.rlike("(?i)^<base")), F.lit(0)), HREF, 1)
+    # The base is resolved before the tags are spread, once a page and not within the resolving of their targets.
+    against = F.when(base != "", F.coalesce(resolved(unescaped(base), F.col("url")), F.col("url"))).otherwise(F.col("url"))
+    tag = tags.filter("size(tags) > 0").select("url", against.alias("base"), F.explode("tags").alias("tag"))
+    target = F.when(F.col("tag").rlike("(?i)^<base"), F.lit(None)).when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
+    tag = tag.select("url", "base", target.alias("target")).filter("target <> ''").distinct()
+    tag = tag.select("url", "base", unescaped(F.col("target")).alias("target"))
+    edges = tag.select(address_of(F.col("url")).alias("source"), address_of(resolved(F.col("target"), F.col("base"))).alias("target"))
     return edges.dropna().filter("source <> target")
 
 
@@ -157,6 +174,33 @@ def _sql_rule(host: str, path: str) -> str:
 
 
 _TR = f"'{UPPER}', '{LOWER}'"
+def _quoted(pattern: str) -> str:
+    """A pattern as a SQL string, its possessive repeats as plain ones."""
+    return "'" + pattern.replace("++", "+").replace("*+", "*").replace("'", "''") + "'"
+
+
+def _unescaped(x: str) -> str:
+    for escape, char in ESCAPES:
+        x = f"regexp_replace({x}, '{escape}', '{char}', 'g')"
+    return x
+
+
+def _resolved(target: str, url: str) -> str:
+    """``resolved`` in SQL."""
+    part = lambda pattern, x: f"regexp_extract({x}, '{pattern}', 1)"
+    base, t = part("^([^#]*)", url), part("^([^#]*)", target)
+    scheme, host, path = (part(x, base) for x in ("^([A-Za-z][A-Za-z0-9+.-]*:)//", "^[^:/?#]*://([^/?#]*)", "^[^:/?#]*://[^/?#]*([^?]*)"))
+    own, query = part("^([^?]*)", t), part("^[^?]*([?].*)$", t)
+    joined = f"CASE WHEN starts_with({own}, '/') THEN {own} ELSE coalesce(nullif({part('^(.*/)[^/]*$', path)}, ''), '/') || {own} END"
+    kept = f"""list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({joined}, '/')[2:], lambda x: [x])),
+      lambda done, x: CASE WHEN x[1] = '..' THEN done[1:greatest(len(done) - 1, 0)] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"""
+    ends = f"CASE WHEN regexp_matches({joined}, '(^|/)[.][.]?$') THEN '/' ELSE '' END"
+    clean = f"""CASE WHEN regexp_matches({joined}, '(^|/)[.][.]?(/|$)') THEN regexp_replace('/' || array_to_string({kept}, '/') || {ends}, '^//$', '/') ELSE {joined} END"""
+    return f"""CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t} WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN starts_with({t}, '//') THEN {scheme} || {t} WHEN {t} = '' THEN {base} WHEN {own} = '' THEN {scheme} || '//' || {host} || {path} || {query}
+      ELSE {scheme} || '//' || {host} || {clean} || {query} END"""
+
+
 ORACLE = rf"""
 WITH RECURSIVE own AS (
   SELECT page_id, url, html,
@@ -164,18 +208,19 @@ WITH RECURSIVE own AS (
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
     regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS tail FROM pages),
 addressed AS (SELECT *, CASE WHEN host <> '' THEN host || tail END AS address, {_sql_rule('host', 'path')} AS own_rule FROM own),
-tags AS (
-  SELECT url, address, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM addressed
-  WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+tagged AS (
+  SELECT url, address, regexp_extract_all(CASE WHEN contains(html, '<!--') THEN regexp_replace(html, {_quoted(COMMENT)}, '', 'g') ELSE html END, {_quoted(TAGS)}) AS tags
+  FROM addressed WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+named AS (
+  SELECT *, {_unescaped(f"regexp_extract(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base'))[1], {_quoted(HREF)}, 1)")} AS base FROM tagged),
+based AS (SELECT address, url, tags, CASE WHEN base <> '' THEN coalesce({_resolved('base', 'url')}, url) ELSE url END AS base FROM named),
+spread AS (SELECT address, base, unnest(tags) AS tag FROM based),
 targets AS (
-  SELECT url, address, CASE
-    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
-      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
-      THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["''][^"''>]*\burl\s*=\s*([^"''>\s]+)', 1) END AS t FROM tags),
-whole AS (
-  SELECT address AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:]*://)', 1) || regexp_extract(url, '://([^/?#]*)', 1) || t END AS u FROM targets),
+  SELECT address, base, CASE WHEN regexp_matches(tag, '(?i)^<base') THEN NULL
+    WHEN regexp_matches(tag, {_quoted(CANONICAL)}) THEN regexp_extract(tag, {_quoted(HREF)}, 1)
+    WHEN regexp_matches(tag, {_quoted(REFRESH)}) THEN regexp_extract(tag, {_quoted(TARGET)}, 1) END AS t FROM spread),
+meant AS (SELECT address, base, {_unescaped('t')} AS t FROM targets WHERE t <> ''),
+whole AS (SELECT address AS a, {_resolved('t', 'base')} AS u FROM meant),
 links AS (
   SELECT a, translate(regexp_extract(u, '://([^/?#]*)', 1), {_TR}) || regexp_extract(u, '://[^/?#]*([^#]*)', 1) AS b FROM whole
   WHERE a IS NOT NULL AND regexp_extract(u, '://([^/?#]*)', 1) <> ''),
