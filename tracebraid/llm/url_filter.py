@@ -127,13 +127,14 @@ def link_edges(pages: DataFrame) -> DataFrame:
     shown = F.when(html.contains("<!--"), F.regexp_replace(html, COMMENT, "")).otherwise(html)
     tags = pages.filter(html.rlike("(?i)canonical|http-equiv")).select("url", F.regexp_extract_all(shown, F.lit(TAGS), F.lit(0)).alias("tags"))
     base = F.regexp_extract(F.get(F.filter("tags", lambda t: t.rlike("(?i)^<base")), F.lit(0)), HREF, 1)
-    # The base is resolved before the tags are spread, once a page and not within the resolving of their targets.
-    against = F.when(base != "", F.coalesce(resolved(unescaped(base), F.col("url")), F.col("url"))).otherwise(F.col("url"))
-    tag = tags.filter("size(tags) > 0").select("url", against.alias("base"), F.explode("tags").alias("tag"))
+    tags = tags.filter("size(tags) > 0").select("url", "tags", unescaped(base).alias("base"))
+    # Generators stand between the steps, so that no expression is carried into another, or into a filter, more than once.
+    against = F.when(F.col("base") != "", F.coalesce(resolved(F.col("base"), F.col("url")), F.col("url"))).otherwise(F.col("url"))
+    tag = tags.select("url", against.alias("base"), F.explode("tags").alias("tag"))
     target = F.when(F.col("tag").rlike("(?i)^<base"), F.lit(None)).when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
-    tag = tag.select("url", "base", target.alias("target")).filter("target <> ''").distinct()
-    tag = tag.select("url", "base", unescaped(F.col("target")).alias("target"))
-    edges = tag.select(address_of(F.col("url")).alias("source"), address_of(resolved(F.col("target"), F.col("base"))).alias("target"))
+    tag = tag.select("url", "base", F.explode(F.array(unescaped(target))).alias("target")).filter("target <> ''").distinct()
+    edge = F.struct(address_of(F.col("url")).alias("source"), address_of(resolved(F.col("target"), F.col("base"))).alias("target"))
+    edges = tag.select(F.inline(F.array(edge)))
     return edges.dropna().filter("source <> target")
 
 
