@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words are runs of anything but space and U+0009..U+000D.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -93,12 +94,14 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
 
     The column is binary; null counts as empty.
     """
-    texts = [t or b"" for t in batch.column(column).to_pylist()]
+    texts = batch.column(column)
+    # Python's copies of the texts are made run by run.
+    taken = lambda begin, end: (slice(begin, end), [t or b"" for t in texts.slice(begin, end - begin).to_pylist()])
     begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > limit:
-            yield slice(begin, i), texts[begin:i]
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > begin and size + n > limit:
+            yield taken(begin, i)
             begin, size = i, 0
-        size += len(t)
+        size += n
     if begin < len(texts):
-        yield slice(begin, len(texts)), texts[begin:]
+        yield taken(begin, len(texts))

@@ -40,8 +40,12 @@ BATCH_ROWS = 512
 FILE_BYTES = 32 << 20
 #: The id that ends each document.
 END_ID = 0
-#: Text bytes that are encoded together.
-RUN_BYTES = 4 << 20
+#: Text bytes that are encoded together; arrays of places beside them take several times as much.
+RUN_BYTES = 1 << 20
+#: Bytes of new pieces that the tokenizer is given at a time, for what it holds of each is many times as large.
+JOINED_BYTES = 64 << 10
+#: Pieces whose ids are gathered at a time.
+GATHERED = 64 << 10
 #: Pieces whose ids a worker remembers; when it has so many, further ones are encoded anew in every run.
 REMEMBERED = 500_000
 
@@ -95,6 +99,12 @@ def _listed(values: pa.Array) -> list[bytes]:
     return [whole[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
+def _runs(places: np.ndarray, pieces: list[bytes]) -> list[np.ndarray]:
+    """The places cut into runs of about ``JOINED_BYTES`` of their pieces; none without a place."""
+    upto = np.cumsum([len(pieces[i]) for i in places.tolist()], dtype=np.int64)
+    return np.split(places, np.flatnonzero(np.diff(upto // JOINED_BYTES)) + 1) if len(places) else []
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file; distinct pieces of texts are encoded once and remembered.
 
@@ -146,7 +156,11 @@ class PieceEncoder:
         number = number[coded.indices.to_numpy()]
         sizes = (at[1:] - at[:-1])[number]
         ends = np.cumsum(sizes)
-        got = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[number] - ends + sizes, sizes)]
+        got = np.empty(ends[-1] if len(ends) else 0, self.kind)
+        for i in range(0, len(number), GATHERED):
+            part = slice(i, i + GATHERED)
+            low, high = ends[i] - sizes[i], ends[part][-1]
+            got[low:high] = flat[np.arange(low, high) + np.repeat(at[number[part]] - ends[part] + sizes[part], sizes[part])]
         begins = np.concatenate(([0], ends))[first]
         # The end ids, and the texts that were encoded as a whole.
         parts = [x for i in sorted(whole) for x in (begins[i], whole[i])]
@@ -172,21 +186,22 @@ class PieceEncoder:
         kinds = np.array([0 if _SPACED(t) else 1 if _BARE(t) else 2 for t in text])
         parts, order = [], []
         for kind, mark in ((0, ""), (1, "\n")):
-            own = np.flatnonzero(kinds == kind)
-            joined = "".join([text[i] + mark for i in own.tolist()])
-            [ids] = self._ids([joined.encode()])
-            ends = np.cumsum([len(text[i].encode()) + len(mark) for i in own.tolist()], dtype=np.int64)
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-            if mark and len(own):
-                ids, cuts = np.delete(ids, cuts - 1), cuts - np.arange(1, len(own) + 1)
-            sizes[own] = np.diff(cuts, prepend=0)
-            parts.append(ids)
+            for own in _runs(np.flatnonzero(kinds == kind), new):
+                joined = "".join([text[i] + mark for i in own.tolist()])
+                [ids] = self._ids([joined.encode()])
+                ends = np.cumsum([len(text[i].encode()) + len(mark) for i in own.tolist()], dtype=np.int64)
+                cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+                if mark and len(own):
+                    ids, cuts = np.delete(ids, cuts - 1), cuts - np.arange(1, len(own) + 1)
+                sizes[own] = np.diff(cuts, prepend=0)
+                parts.append(ids)
+                order.append(own)
+        for own in _runs(np.flatnonzero(kinds == 2), new):
+            alone = self._ids([new[i] for i in own.tolist()])
+            sizes[own] = [len(x) for x in alone]
+            parts += alone
             order.append(own)
-        own = np.flatnonzero(kinds == 2)
-        alone = self._ids([new[i] for i in own.tolist()])
-        sizes[own] = [len(x) for x in alone]
-        parts += alone
-        order = np.concatenate([*order, own]).astype(np.int64)
+        order = np.concatenate([np.zeros(0, np.int64), *order])
         # From the order of kinds to that of ``new``.
         by_kind = sizes[order]
         start = np.empty(len(new), np.int64)
