@@ -29,15 +29,15 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import shared_dir, written
+from .store import give_back, shared_dir, written
 from .text import text_chunks
 
 #: Ids of one sequence.
 SEQUENCE = 1024
 #: Sequences of one record batch.
 BATCH_ROWS = 512
-#: Text bytes of one output file, about.
-FILE_BYTES = 32 << 20
+#: Text bytes of one output file, about; a task's first Arrow batch, which both sides hold whole, is often most of them.
+FILE_BYTES = 8 << 20
 #: The id that ends each document.
 END_ID = 0
 #: Text bytes that are encoded together; arrays of places beside them take several times as much.
@@ -47,7 +47,7 @@ JOINED_BYTES = 64 << 10
 #: Pieces whose ids are gathered at a time.
 GATHERED = 64 << 10
 #: Pieces whose ids a worker remembers; when it has so many, further ones are encoded anew in every run.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 #: Kinds of bytes: the space, the line end, other white space (and what some take for it), ASCII letters, other ASCII.
 SPACE, LINE, BLANK, LETTER, SIGN, FAR = range(1, 7)
@@ -265,6 +265,7 @@ class _SequenceWriter:
 def _write_file(batches: Iterator[pa.RecordBatch], base: str, tokenizer: str, sequence: int, end_id: int, spell_special: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    give_back()
     name = f"part-{TaskContext.get().partitionId():06d}"
     fs, folder = _files(base)
     encoder, writer, temporary = None, None, f"{folder}/.{name}-{uuid.uuid4().hex}"
